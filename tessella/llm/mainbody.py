@@ -28,9 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.llm.util import maybe_broadcast
 from tessella.operators.scratch import materialize
 
 _TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
@@ -314,10 +312,8 @@ def load(s: str) -> tuple:
     return stack[0][1][0]
 
 
-_PAGE = T.StructType([
-    T.StructField("place", T.IntegerType()), T.StructField("text_key", T.LongType()), T.StructField("size", T.IntegerType()),
-    T.StructField("link", T.BooleanType()), T.StructField("seg_pos", T.IntegerType()), T.StructField("flags", T.IntegerType()),
-])
+#: Flag of a leaf that is a heading or repeats the page title; other bits are the caller's.
+HEADING = 1
 PAGE_SCHEMA = "id {kind}, shape string, leaves array<struct<place int, text_key bigint, size int, link boolean, seg_pos int, flags int>>"
 
 
@@ -341,7 +337,7 @@ def _segment_positions(texts: list[str], segments: list[str]) -> list[int]:
 def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, flagger=None) -> DataFrame:
     """Step 1: ``(id, shape, leaves)`` per page.
 
-    ``flagger(text)`` may add an integer to each leaf.  A page whose markup is
+    ``flagger(text)`` may add bits above ``HEADING`` to each leaf's flags.  A page whose markup is
     null, or has no text, yields its segments as leaves of the root; segments
     that no leaf of the markup equals are appended in the same way.
     """
@@ -373,7 +369,7 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
                             "size": len(x.text),
                             "link": x.link,
                             "seg_pos": p,
-                            "flags": flagger(x.text) if flagger else 0,
+                            "flags": (flagger(x.text) if flagger else 0) | (HEADING if x.tag in _HEADINGS or x.text == title else 0),
                         }
                         for x, p in zip(ls, pos)
                     ]
