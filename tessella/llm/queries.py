@@ -108,7 +108,7 @@ ORACLE = {
     "p2_found": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM parsed_docs WHERE text IS NOT NULL),
         s AS (SELECT DISTINCT doc_id, g FROM (
-                SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g
+                SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g
                 FROM w WHERE len(ws) >= 120)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
@@ -116,8 +116,8 @@ ORACLE = {
     "p7_found": rf"""
         WITH d AS (SELECT doc_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
         i AS (SELECT item_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
-        dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 10), k -> array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12)),
-        ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), k -> array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12))
+        dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12)),
+        ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     "p8_found": f"""
         WITH v AS (SELECT doc_id, text, {_sql_visible("text")} AS look FROM documents WHERE text IS NOT NULL)
