@@ -151,7 +151,7 @@ def platform_label(text: Column, role: Column) -> Column:
     """Store label: ``(has_label, shares, kind)``."""
     play = (role == "play_data_safety") | text.rlike(r"(?i)\bdata safety\b")
     none = text.rlike(r"(?i)no data (?:is )?shared with third parties|doesn't share (?:user )?data")
-    yes = text.rlike(r"(?i)\b(?:this app may share|data shared\b|shares? (?:these )?(?:user )?data (?:types )?with)")
+    yes = text.rlike(r"(?i)\bthis app may share|(?<!no )\bdata shared\b|(?<!doesn't )\bshares? (?:these )?(?:user )?data (?:types )?with")
     apple = text.rlike(r"(?i)\bapp privacy\b")
     tracks = text.rlike(r"(?i)data used to track you|data linked to you")
     some = lambda has, shares, kind: F.struct(F.lit(has).alias("has_label"), shares.alias("shares"), F.lit(kind).alias("kind"))
