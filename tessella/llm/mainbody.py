@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -258,7 +259,7 @@ def _aligned(a: tuple, b: Slot, memo: dict) -> list[tuple[int, int]]:
 def merge(a: tuple, b: Slot, weight: int, memo: dict | None = None) -> None:
     """Merge shape ``a``, seen ``weight`` times, into template ``b``; unmatched nodes are inserted in order."""
     memo = {} if memo is None else memo
-    b.weight += weight
+    b.weight += a[2] if len(a) > 2 else weight
     pairs = _aligned(a, b, memo)
     mate = {i: b.kids[j] for i, j in pairs}
     at = 0
@@ -277,6 +278,21 @@ def merge(a: tuple, b: Slot, weight: int, memo: dict | None = None) -> None:
         merge(x, s, weight, memo)
 
 
+def dump_template(b: Slot) -> str:
+    """Template as text; inverse of ``load_template``."""
+    return f"{b.label}\x03{b.weight}\x01" + "".join(dump_template(k) for k in b.kids) + "\x02"
+
+
+def load_template(s: str) -> tuple:
+    """Template as a shape whose nodes carry their weights."""
+
+    def weighted(x: tuple) -> tuple:
+        label, _, w = x[0].partition("\x03")
+        return (label, tuple(weighted(k) for k in x[1]), int(w))
+
+    return weighted(load(s))
+
+
 def places(a: tuple, b: Slot) -> list[int]:
     """Template node number for each node of shape ``a`` in preorder."""
     memo: dict = {}
@@ -404,18 +420,40 @@ def _nodes(shape: tuple) -> tuple[list[str], list[int]]:
     return labels, parents
 
 
-def _host_wrapper(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Step 2 for one host: template from its distinct shapes, the most frequent first.
+def _slot(x: tuple) -> Slot:
+    s = Slot(x[0])
+    s.weight = x[2]
+    s.kids = [_slot(k) for k in x[1]]
+    return s
 
-    A page's main body is the node that directly holds its title; on pages
-    without one, the node aligned with the template node that holds the title
-    on most pages.
-    """
-    pdf = pdf.sort_values(["n", "shape"], ascending=[False, True])
-    shapes = [load(s) for s in pdf["shape"]]
+
+#: Shapes, or templates of parts, that one task merges into one template.
+MERGE_BLOCK = 64
+
+
+def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Template of one block of a host's distinct shapes or partial templates, the most frequent first."""
+    pdf = pdf.sort_values(["n", "tree"], ascending=[False, True])
     top = Slot("#")
-    for s, n in zip(shapes, pdf["n"]):
-        merge(s, top, int(n))
+    for tree, n in zip(pdf["tree"], pdf["n"]):
+        merge(load_template(tree) if "\x03" in tree else load(tree), top, int(n))
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "block": [int(pdf["block"].iloc[0]) // MERGE_BLOCK], "tree": [dump_template(top)], "n": [int(pdf["n"].sum())]})
+
+
+def host_templates(kinds: DataFrame) -> DataFrame:
+    """``(host, template)`` from ``(host, shape, n)``: a tree of merges of at most ``MERGE_BLOCK`` parts each."""
+    many = kinds.groupBy("host").agg(F.ceil(F.count("*") / MERGE_BLOCK).alias("blocks"))
+    cur = kinds.join(many, "host").select("host", F.col("shape").alias("tree"), "n", F.expr("pmod(xxhash64(shape), blocks)").alias("block"))
+    while True:
+        cur = materialize(cur.groupBy("host", "block").applyInPandas(_merge_part, "host string, block bigint, tree string, n bigint"), "templates")
+        if cur.groupBy("host").count().where("count > 1").isEmpty():
+            return cur.select("host", F.col("tree").alias("template"))
+
+
+@lru_cache(maxsize=256)
+def _template(text: str) -> tuple[Slot, list[str], int]:
+    """Template, paths of its nodes, and the node that directly holds the title on most pages (-1: none)."""
+    top = _slot(load_template(text))
     paths: list[str] = []
     heads: dict[int, int] = {}
 
@@ -428,28 +466,48 @@ def _host_wrapper(pdf: pd.DataFrame) -> pd.DataFrame:
             number(k, path + "/" + _family(k.label))
 
     number(top, "")
-    common = max(heads, key=lambda k: (heads[k], -k)) if heads else -1
-    out = []
-    for text, shape in zip(pdf["shape"], shapes):
-        labels, parents = _nodes(shape)
-        slots = places(shape, top)
-        size = [1] * len(labels)
-        for k in range(len(labels) - 1, 0, -1):
-            size[parents[k]] += size[k]
-        held = [parents[k] for k, lab in enumerate(labels) if lab == "h1"]
-        if held:
-            main = max(held, key=lambda k: (size[k], -k))
-        else:
-            main = slots.index(common) if common >= 0 and common in slots else -1
-        inside, lone = [], []
-        for k, up in enumerate(parents):
-            is_in = k == main or (up >= 0 and inside[up])
-            inside.append(is_in)
-            # a block of its own within the main body: neither a text of it nor an entry of a list of it
-            box = up >= 0 and up != main and labels[up].partition(".")[0] not in _LISTS
-            lone.append(is_in and k != main and (box or (up >= 0 and lone[up])))
-        out.append((pdf["host"].iloc[0], text, [paths[j] if j >= 0 else "?" for j in slots], main, inside, lone))
-    return pd.DataFrame(out, columns=["host", "shape", "paths", "main", "inside", "lone"])
+    return top, paths, max(heads, key=lambda k: (heads[k], -k)) if heads else -1
+
+
+def _judged(shape_text: str, template: str) -> tuple[list[str], int, list[bool], list[bool]]:
+    """Paths, main node, membership in it, and nesting of the nodes of one shape.
+
+    A page's main body is the node that directly holds its title; on pages
+    without one, the node aligned with the template node that holds the title
+    on most pages.
+    """
+    top, paths, common = _template(template)
+    shape = load(shape_text)
+    labels, parents = _nodes(shape)
+    slots = places(shape, top)
+    size = [1] * len(labels)
+    for k in range(len(labels) - 1, 0, -1):
+        size[parents[k]] += size[k]
+    held = [parents[k] for k, lab in enumerate(labels) if lab == "h1"]
+    if held:
+        main = max(held, key=lambda k: (size[k], -k))
+    else:
+        main = slots.index(common) if common >= 0 and common in slots else -1
+    inside, lone = [], []
+    for k, up in enumerate(parents):
+        is_in = k == main or (up >= 0 and inside[up])
+        inside.append(is_in)
+        # a block of its own within the main body: neither a text of it nor an entry of a list of it
+        box = up >= 0 and up != main and labels[up].partition(".")[0] not in _LISTS
+        lone.append(is_in and k != main and (box or (up >= 0 and lone[up])))
+    return [paths[j] if j >= 0 else "?" for j in slots], main, inside, lone
+
+
+def host_wrappers(kinds: DataFrame) -> DataFrame:
+    """Step 2: every distinct shape of every host aligned with the host's template."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [_judged(s, t) for s, t in zip(b.column("shape").to_pylist(), b.column("template").to_pylist())]
+            cols = [pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.list_(pa.bool_())), pa.array([m[3] for m in made], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shape"), *cols], names=["host", "shape", "paths", "main", "inside", "lone"])
+
+    return kinds.select("host", "shape").join(host_templates(kinds), "host").select("host", "shape", "template").mapInArrow(fn, _WRAPPER)
 
 
 #: Occurrences that the pooled rate of like markup counts for beside a host's own.
@@ -469,8 +527,7 @@ def classify_leaves(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     """
     at = pages.join(hosts, "id", "left").withColumn("host", F.coalesce(F.col("host"), F.concat(F.lit("?"), F.col("id").cast("string"))))
     at = materialize(at, "pages")
-    kinds = at.groupBy("host", "shape").agg(F.count("*").alias("n"))
-    wrap = materialize(kinds.groupBy("host").applyInPandas(_host_wrapper, _WRAPPER), "wrapper")
+    wrap = materialize(host_wrappers(materialize(at.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")), "wrapper")
     leaf = (
         at.join(wrap, ["host", "shape"])
         .select("id", "host", "paths", "main", "inside", "lone", F.explode("leaves").alias("x"))

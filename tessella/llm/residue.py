@@ -11,6 +11,7 @@ a message.  Statuses and error columns play no part.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,43 +112,83 @@ _ABOUT = re.compile(
 )
 
 
+# A line can only match the patterns above if it has one of these words; looking words up is far cheaper than searching.
+_TRIGGERS = frozenset(
+    # messages
+    "not nicht introuvable existe exist exists expired found find gone error errors fehler erreur gateway request requests unavailable available wrong denied forbidden "
+    "blocked limit human robot captcha verify verifying browser country region location session link timed timeout connection establishing database fatal uncaught "
+    "unhandled stack trace traceback maintenance construction seite gefunden zugriff serverfehler wartungsarbeiten sitzung page accès encontrada encontrado encuentra "
+    "acceso sesión mantenimiento javascript java js script scripts scripting noscript expiré abgelaufen caducada "
+    # details
+    "ray reference incident id code ref try wait check moved mistake contact server return reload refresh später startseite überprüfen prüfen vérifiez réessayer réessayez "
+    "retour inténte inténtelo intente compruebe volver typing go start home "
+    # filler
+    "lorem blindtext blind faux texto texte placeholder filler dummy sample text content copy title headline asdf qwer qwerty heading untitled edit hier writer write "
+    "replace supply".split()
+)
+_TOKENS = re.compile(r"[^\W\d_]+")
+
+
 def flag_line(text: str) -> int:
     """Bits PLACEHOLDER, FILLER, MESSAGE, DETAIL of one block of text; 0 for the empty text."""
-    bits = 0
-    if _MAY_HOLD.search(text):
-        for m in _PLACEHOLDER.finditer(text):
-            if not _CASED.search(m.group(0)):
-                continue
-            if m.group(0).lower() in ("[on]", "[off]"):
-                continue
-            if not _EXPLAINS.search(text[max(0, m.start() - 40) : m.start()]):
-                bits |= PLACEHOLDER
-                break
-    words = text.lower().replace(",", " ").replace(".", " ").split()
+    return _flag_short(text) if len(text) <= MESSAGE_CHARS else _flag_long(text)
+
+
+def _placeholder(text: str) -> int:
+    if not ("[" in text or "{" in text or "<" in text or "%" in text or "__" in text or "(" in text or "XXXX" in text or "TODO" in text or "undefined" in text
+            or "TBD" in text or "TBC" in text or "FIXME" in text):
+        return 0
+    if not _MAY_HOLD.search(text):
+        return 0
+    for m in _PLACEHOLDER.finditer(text):
+        if _CASED.search(m.group(0)) and m.group(0).lower() not in ("[on]", "[off]") and not _EXPLAINS.search(text[max(0, m.start() - 40) : m.start()]):
+            return PLACEHOLDER
+    return 0
+
+
+def _latin(text: str, words: list[str]) -> int:
+    if _LATIN.isdisjoint(words):
+        return 0
     latin = sum(w in _LATIN for w in words)
     if (latin >= 5 and latin >= 0.5 * len(words)) or (latin >= 2 and latin >= 0.8 * len(words) and len(words) >= 3):
-        bits |= FILLER
-    elif latin >= 8:  # a stretch of filler inside other text
+        return FILLER
+    if latin >= 8:  # a stretch of filler inside other text
         run = best = 0
         for w in words:
             run = run + 1 if w in _LATIN else 0
             best = max(best, run)
         if best >= 6:
-            bits |= FILLER
-    if len(text) <= MESSAGE_CHARS:
-        if not bits & FILLER and _FILLER.search(text.strip(" .:!")):
-            bits |= FILLER
-        if not _ABOUT.search(text):
-            if _MESSAGE.search(text.strip(" .:!")):
-                bits |= MESSAGE
-            elif _DETAIL.search(text.strip(" .:!")):
-                bits |= DETAIL
-    elif not bits & FILLER and _LONG_FILLER.search(text):
+            return FILLER
+    return 0
+
+
+@lru_cache(maxsize=200_000)
+def _flag_short(text: str) -> int:
+    """Short blocks recur on many pages; each is judged once per worker."""
+    bits = _placeholder(text)
+    words = _TOKENS.findall(text.lower())
+    bits |= _latin(text, words)
+    if _TRIGGERS.isdisjoint(words) and "xception" not in text and text[:1] not in "45" and len(set(words)) > len(words) - 2:
+        return bits
+    bare = text.strip(" .:!")
+    if not bits & FILLER and _FILLER.search(bare):
+        bits |= FILLER
+    if not _ABOUT.search(text):
+        if _MESSAGE.search(bare):
+            bits |= MESSAGE
+        elif _DETAIL.search(bare):
+            bits |= DETAIL
+    return bits
+
+
+def _flag_long(text: str) -> int:
+    bits = _placeholder(text) | _latin(text, text.lower().replace(",", " ").replace(".", " ").split())
+    if not bits & FILLER and _LONG_FILLER.search(text):
         bits |= FILLER
     return bits
 
 
-_LONG_FILLER = re.compile(r"lorem ipsum|blindtext|placeholder copy|\basdf asdf\b|your text goes here", re.I)
+_LONG_FILLER = re.compile(r"[Ll]orem ipsum|[Bb]lindtext|[Pp]laceholder copy|asdf asdf|[Yy]our text goes here|LOREM IPSUM")
 
 
 def residue_documents(
