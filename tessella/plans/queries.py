@@ -261,10 +261,9 @@ def c33_collection_report(spark, d):
 # -- text -------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS cleaned FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+@query("""SELECT doc_id, trim(regexp_replace(text, '[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')) AS cleaned FROM documents""")
 def x1_clean(spark, d):
-    t = Tables(spark, d).documents.where("text IS NOT NULL").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return t.select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
+    return Tables(spark, d).documents.select("doc_id", tx.clean(F.col("text")).alias("cleaned"))
 
 
 @query(None)
