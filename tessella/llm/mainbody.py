@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.util import maybe_broadcast, work_partitions
 from tessella.operators.scratch import materialize
 
 _TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
@@ -442,10 +443,12 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def host_templates(kinds: DataFrame) -> DataFrame:
     """``(host, template)`` from ``(host, shape, n)``: a tree of merges of at most ``MERGE_BLOCK`` parts each."""
+    # a set number of partitions: these rows are few bytes but long work, and would else be coalesced into one task
+    parts = work_partitions(kinds)
     many = kinds.groupBy("host").agg(F.ceil(F.count("*") / MERGE_BLOCK).alias("blocks"))
     cur = kinds.join(many, "host").select("host", F.col("shape").alias("tree"), "n", F.expr("pmod(xxhash64(shape), blocks)").alias("block"))
     while True:
-        cur = materialize(cur.groupBy("host", "block").applyInPandas(_merge_part, "host string, block bigint, tree string, n bigint"), "templates")
+        cur = materialize(cur.repartition(parts, "host", "block").groupBy("host", "block").applyInPandas(_merge_part, "host string, block bigint, tree string, n bigint"), "templates")
         if cur.groupBy("host").count().where("count > 1").isEmpty():
             return cur.select("host", F.col("tree").alias("template"))
 
@@ -507,7 +510,8 @@ def host_wrappers(kinds: DataFrame) -> DataFrame:
             cols = [pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.list_(pa.bool_())), pa.array([m[3] for m in made], pa.list_(pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shape"), *cols], names=["host", "shape", "paths", "main", "inside", "lone"])
 
-    return kinds.select("host", "shape").join(host_templates(kinds), "host").select("host", "shape", "template").mapInArrow(fn, _WRAPPER)
+    shapes = kinds.select("host", "shape").repartition(work_partitions(kinds), "host", "shape")
+    return shapes.join(maybe_broadcast(host_templates(kinds), 5_000), "host").select("host", "shape", "template").mapInArrow(fn, _WRAPPER)
 
 
 #: Occurrences that the pooled rate of like markup counts for beside a host's own.

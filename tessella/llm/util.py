@@ -35,6 +35,12 @@ def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def work_partitions(df: DataFrame) -> int:
+    """Partitions for stages whose work isn't in proportion to their bytes: enough for every core, at least the shuffle's."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only if a count shows that it is small; otherwise the join shuffles it."""
     return F.broadcast(df) if small_enough(df, rows) else df
