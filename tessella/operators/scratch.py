@@ -44,3 +44,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that still read them must have been written before.
+
+    Without a call they go when the application ends.
+    """
+    root = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if root:
+        _delete(spark, root)

@@ -118,3 +118,21 @@ def test_flows_terms_json(spark, small):
     assert t["non_standard"] == ["contact information"] and t["misleading"] == []
     n2, e2 = g.graphs_from_json(g.graph_json(nodes, edges))
     assert n2.count() == nodes.count() and {tuple(map(str, r)) for r in e2.select("src", "dst", "purposes").collect()} == {tuple(map(str, r)) for r in edges.select("src", "dst", "purposes").collect()}
+
+
+def test_scratch_is_released(spark, tmp_path):
+    import os
+
+    from tessella.operators import scratch
+
+    saved = dict(scratch._ROOTS)
+    scratch._ROOTS.clear()
+    try:
+        assert scratch.materialize(spark.range(5), "x").count() == 5
+        root = scratch.scratch_root(spark).removeprefix("file://")
+        assert os.listdir(root)
+        scratch.release(spark)
+        assert not os.path.exists(root)
+    finally:
+        scratch._ROOTS.clear()
+        scratch._ROOTS.update(saved)
