@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tessella.llm.visual import folded
 
 RUN = 12
-#: Words of one block of items: its index takes about 100 bytes a word.
-BLOCK_WORDS = 500_000
+#: Words of one block of items: its index takes about 60 bytes a word.
+BLOCK_WORDS = 1_000_000
 #: Words of a query passage beyond run; neighbours overlap by run - 1 words.  Short passages keep the sum of the
 #: upper bounds of common words below the threshold, so that only lists of rare words drive the search.
 EXTRA = 2
@@ -36,6 +36,8 @@ _WORD = re.compile(r"[^\W_]+")
 _SPLIT = {c: " " for c in range(128) if not chr(c).isalnum()}
 _K1, _B = 1.2, 0.75
 _BLOCK = 16
+#: Cells up to which block maxima are also kept as a full table, of 4 bytes each.
+_DENSE = 16_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -55,21 +57,39 @@ class PassageIndex:
         self.ids = [i for i, _ in items]
         df = Counter(w for _, ws in items for w in set(ws))
         self.vocab = {w: k for k, w in enumerate(sorted(df))}
-        self.seqs = [[self.vocab[w] for w in ws] for _, ws in items]
+        self.seqs = [np.array([self.vocab[w] for w in ws], np.int32) for _, ws in items]
         n, avg = len(items), sum(map(len, self.seqs)) / max(1, len(items))
         idf = {self.vocab[w]: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        self.n_blocks = -(-n // _BLOCK)
-        self.block_top = np.zeros((len(self.vocab), self.n_blocks), np.float32)
-        self.post: dict[int, list[tuple[int, float]]] = {}
-        for k, seq in enumerate(self.seqs):
+        term: list[int] = []
+        item: list[int] = []
+        impact: list[float] = []
+        for k, words in enumerate(self.seqs):
+            seq = words.tolist()
             tf = Counter(seq)
             norm = _K1 * (1 - _B + _B * len(seq) / avg)
             w = {t: idf[t] * c * (_K1 + 1) / (c + norm) for t, c in tf.items()}
             least = min(sum(w[t] for t in set(seq[j : j + run])) for j in range(len(seq) - run + 1))
-            block = k // _BLOCK
-            for t, x in w.items():
-                self.post.setdefault(t * self.n_blocks + block, []).append((k, x / least))
-                self.block_top[t, block] = max(self.block_top[t, block], x / least)
+            term += w
+            item += [k] * len(w)
+            impact += [x / least for x in w.values()]
+        # postings in order of term and item, and over them a table of one row per term and block of items
+        t = np.array(term, np.int64)
+        k = np.array(item, np.int64)
+        order = np.lexsort((k, t))
+        t, self.item, self.impact = t[order], k[order].astype(np.int32), np.array(impact, np.float32)[order]
+        self.n_blocks = -(-n // _BLOCK)
+        pair = t * max(1, self.n_blocks) + self.item // _BLOCK
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        self.rows_end = np.append(first[1:], len(pair)).astype(np.int64)
+        self.rows_start = first.astype(np.int64)
+        self.row_block = (self.item[first] // _BLOCK).astype(np.int32)
+        self.row_top = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0, np.float32)
+        self.term_row = np.searchsorted(t[first], np.arange(len(self.vocab) + 1)).tolist()
+        self.pair = np.append(pair[first], np.iinfo(np.int64).max)
+        self.dense = None
+        if len(self.vocab) * self.n_blocks <= _DENSE:  # the same table with a column per block, for speed
+            self.dense = np.zeros((len(self.vocab), self.n_blocks), np.float32)
+            self.dense[t[first], self.row_block] = self.row_top
         self._grams: dict[int, set] = {}
 
     def search(self, terms: list[int], theta: float = 1.0) -> list[int]:
@@ -79,22 +99,29 @@ class PassageIndex:
         are summed for all blocks at once, only blocks whose sum reaches the
         threshold are opened, and only their postings are scored.
         """
-        theta -= 1e-4  # block maxima are single precision
-        pivots = np.flatnonzero(self.block_top[terms].sum(axis=0) >= theta)
-        found = []
-        for b in pivots.tolist():
-            score: dict[int, float] = {}
-            for t in terms:
-                for k, x in self.post.get(t * self.n_blocks + b, ()):
-                    score[k] = score.get(k, 0.0) + x
-            found += [k for k, x in score.items() if x >= theta]
-        return found
+        theta -= 1e-4  # impacts are single precision
+        if self.dense is not None:
+            bound = self.dense[terms].sum(axis=0)
+        else:
+            at = [slice(self.term_row[t], self.term_row[t + 1]) for t in terms]
+            bound = np.bincount(np.concatenate([self.row_block[a] for a in at]), np.concatenate([self.row_top[a] for a in at]), self.n_blocks)
+        pivots = np.flatnonzero(bound >= theta)
+        if not len(pivots):
+            return []
+        want = (np.array(terms, np.int64)[:, None] * self.n_blocks + pivots).ravel()
+        rows = np.searchsorted(self.pair, want)
+        rows = rows[self.pair[rows] == want]
+        found: dict[int, float] = {}
+        for a, b in zip(self.rows_start[rows].tolist(), self.rows_end[rows].tolist()):
+            for k, x in zip(self.item[a:b].tolist(), self.impact[a:b].tolist()):
+                found[k] = found.get(k, 0.0) + x
+        return [k for k, x in found.items() if x >= theta]
 
     def shares_run(self, k: int, passage: list[int]) -> bool:
         """Exact check: a run of ``run`` words of item ``k`` stands in ``passage``."""
         g = self._grams.get(k)
         if g is None:
-            s = self.seqs[k]
+            s = self.seqs[k].tolist()
             g = self._grams[k] = {tuple(s[j : j + self.run]) for j in range(len(s) - self.run + 1)}
         return any(tuple(passage[j : j + self.run]) in g for j in range(len(passage) - self.run + 1))
 
