@@ -181,3 +181,23 @@ def target_detail(sheet: DataFrame) -> DataFrame:
     """Read model: per target its rows in order, as one array of structs."""
     cols = [c for c in sheet.columns if c not in ("target_id", "_row")]
     return sheet.groupBy("target_id").agg(F.min(F.col("label_order").try_cast("int")).alias("label_no"), F.array_sort(F.collect_list(F.struct("doc_id", *[c for c in cols if c != "doc_id"]))).alias("rows"))
+
+
+def save_cells(sheet: DataFrame, updates: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """Sheet with the cells of ``updates(keys.., fields..)`` set; a null update leaves a cell, the last of several rows (``_ord``) counts."""
+    u = updates if "_ord" in updates.columns else updates.withColumn("_ord", F.monotonically_increasing_id())
+    u = u.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("_ord"))).alias(f"_u_{f}") for f in fields])
+    j = sheet.join(u, keys, "left")
+    return j.select(*[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in sheet.columns])
+
+
+def add_manual_doc(manual: DataFrame, entry: DataFrame) -> DataFrame:
+    """Sidecar with one more document ``(target_id, doc_id, url, role)``; an address that the target has already fails."""
+    dup = entry.join(manual.select("target_id", "url", F.lit(True).alias("_d")).distinct(), ["target_id", "url"], "left")
+    ok = dup.select("target_id", "doc_id", F.when(F.col("_d"), F.raise_error(F.concat(F.lit("duplicate address: "), "url"))).otherwise(F.col("url")).alias("url"), "role")
+    return manual.select("target_id", "doc_id", "url", "role").unionByName(ok)
+
+
+def remove_manual_doc(sheet: DataFrame, target_id: str, doc_id: str) -> DataFrame:
+    """Sheet or sidecar without one manually added document."""
+    return sheet.where(~((F.col("target_id") == target_id) & (F.col("doc_id") == doc_id) & (F.col("role") == "manual")))
