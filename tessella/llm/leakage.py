@@ -87,11 +87,13 @@ class PassageIndex:
         self.term_row = np.searchsorted(t[first], np.arange(len(self.vocab) + 1)).tolist()
         self.pair = np.append(pair[first], np.iinfo(np.int64).max)
         self.dense = None
-        if len(self.vocab) * self.n_blocks <= _DENSE:  # the same table with a column per block, for speed
-            self.dense = np.zeros((len(self.vocab), self.n_blocks), np.float32)
-            self.dense[t[first], self.row_block] = self.row_top
         self._grams: dict[int, set] = {}
 
+    def _spread(self) -> None:
+        """The table of block maxima with a column per block, for speed: made by each worker, never sent."""
+        self.dense = np.zeros((len(self.vocab), self.n_blocks), np.float32)
+        self.dense[self.pair[:-1] // max(1, self.n_blocks), self.row_block] = self.row_top
+
     def search(self, terms: list[int], theta: float = 1.0) -> list[int]:
         """Positions of all items whose score over the distinct ``terms`` reaches ``theta``.
 
@@ -100,6 +102,8 @@ class PassageIndex:
         threshold are opened, and only their postings are scored.
         """
         theta -= 1e-4  # impacts are single precision
+        if self.dense is None and len(self.vocab) * self.n_blocks <= _DENSE:
+            self._spread()
         if self.dense is not None:
             bound = self.dense[terms].sum(axis=0)
         else:
