@@ -252,8 +252,8 @@ def c32_stratified_sample(spark, d):
     return collect.stratified_sample(t.clean_targets(), collect.usable_targets(t.classified(), t.clean_docs()), 10)
 
 
-@query("WITH " + _DOCS + """ SELECT count(DISTINCT target_id) AS targets, count(*) AS docs, count_if(ok) AS ok_docs, count_if(role IN ('ads_txt', 'app_ads_txt', 'sellers_json', 'vendors_json', 'tcf_gvl')) AS registries,
-    count_if(role = 'vendor_list') AS vendor_list, count_if(role = 'subprocessor_list') AS subprocessor_list, count_if(role = 'do_not_sell') AS do_not_sell, count_if(role = 'partners_page') AS partners_page FROM dc""")
+@query("WITH " + _DOCS + """ SELECT count(DISTINCT target_id) AS targets, count(*) AS docs, count(*) FILTER (WHERE ok) AS ok_docs, count(*) FILTER (WHERE role IN ('ads_txt', 'app_ads_txt', 'sellers_json', 'vendors_json', 'tcf_gvl')) AS registries,
+    count(*) FILTER (WHERE role = 'vendor_list') AS vendor_list, count(*) FILTER (WHERE role = 'subprocessor_list') AS subprocessor_list, count(*) FILTER (WHERE role = 'do_not_sell') AS do_not_sell, count(*) FILTER (WHERE role = 'partners_page') AS partners_page FROM dc""")
 def c33_collection_report(spark, d):
     return collect.collection_report(Tables(spark, d).clean_docs())
 
@@ -308,8 +308,8 @@ def _sq(p: str) -> str:
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(segments) AS s FROM parsed_docs)
-    SELECT doc_id, count_if(regexp_matches(s, '{_sq(lx.CATEGORY)}')) AS category, count_if(regexp_matches(s, '{_sq(lx.GENERIC)}')) AS generic, count_if(regexp_matches(s, '{_sq(lx.SHARING)}')) AS sharing,
-    count_if(regexp_matches(s, '{_sq(lx.COLLECTION)}')) AS collection, count_if(regexp_matches(s, '{_sq(lx.DATA_NOUN)}')) AS data_noun, count_if(regexp_matches(s, '{_sq(lx.FIRST_PARTY)}')) AS first_party FROM s GROUP BY 1""")
+    SELECT doc_id, count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.CATEGORY)}')) AS category, count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.GENERIC)}')) AS generic, count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.SHARING)}')) AS sharing,
+    count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.COLLECTION)}')) AS collection, count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.DATA_NOUN)}')) AS data_noun, count(*) FILTER (WHERE regexp_matches(s, '{_sq(lx.FIRST_PARTY)}')) AS first_party FROM s GROUP BY 1""")
 def l0_lexicon_hits(spark, d):
     s = Tables(spark, d).parsed_docs.select("doc_id", F.explode("segments").alias("s"))
     hit = lambda p, n: F.count_if(F.col("s").rlike(p)).alias(n)
@@ -336,7 +336,7 @@ def l11_registry_names(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(segments) AS s FROM parsed_docs), w AS (SELECT doc_id, s, regexp_extract_all(s, '[A-Za-z][\\w''&-]*', 0) AS w FROM s)
-    SELECT doc_id, count_if(NOT regexp_matches(s, '[.!?]') AND len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.6 * len(w)) AS junk FROM w GROUP BY 1""")
+    SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(s, '[.!?]') AND len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.6 * len(w)) AS junk FROM w GROUP BY 1""")
 def l12_navigation_junk(spark, d):
     s = Tables(spark, d).parsed_docs.select("doc_id", F.explode("segments").alias("s"))
     return s.groupBy("doc_id").agg(F.count_if(tx.navigation_junk(F.col("s"))).alias("junk"))
@@ -420,7 +420,7 @@ def s13_classify_targets(spark, d):
     return a.select("target_id", typology.typology_class(F.col("facets")).alias("class"), "relevant_docs", "docs", "classified")
 
 
-@query("WITH " + _CLASSIFIED + """ SELECT target_id, array_to_string(list_sort(list_distinct(flatten(list(facets)))), ';') AS class, count_if(relevant) AS relevant_docs, count(*) AS docs, bool_or(len(facets) > 0) AS classified FROM cl GROUP BY 1""")
+@query("WITH " + _CLASSIFIED + """ SELECT target_id, array_to_string(list_sort(list_distinct(flatten(list(facets)))), ';') AS class, count(*) FILTER (WHERE relevant) AS relevant_docs, count(*) AS docs, bool_or(len(facets) > 0) AS classified FROM cl GROUP BY 1""")
 def s12_assemble_targets(spark, d):
     c = Tables(spark, d).classified().withColumn("decisive", F.size("facets") > 0)
     return typology.assemble_targets(c).select("target_id", typology.typology_class(F.col("facets")).alias("class"), "relevant_docs", "docs", "classified")
@@ -578,7 +578,7 @@ def a7_check_terms(spark, d):
 
 
 @query("WITH " + _CLASSIFIED + """, g AS (SELECT target_id, doc_id, medium = 'prose' AS g, relevant AS p FROM cl WHERE medium IS NOT NULL), t AS (SELECT target_id, bool_and(p) AS a FROM g WHERE g GROUP BY 1),
-    x AS (SELECT count(*) AS n, count_if(g AND p) AS tp, count_if(g AND NOT p) AS fn, count_if(NOT g AND p) AS fp FROM g), y AS (SELECT count(*) AS targets, count_if(a) AS complete FROM t)
+    x AS (SELECT count(*) AS n, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE g AND NOT p) AS fn, count(*) FILTER (WHERE NOT g AND p) AS fp FROM g), y AS (SELECT count(*) AS targets, count(*) FILTER (WHERE a) AS complete FROM t)
     SELECT n, tp, fn, fp, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, targets, complete,
     round(CASE WHEN targets = 0 THEN 0 ELSE complete / targets END, 6) AS target_recall FROM x, y""")
 def e1_relevance(spark, d):
@@ -588,7 +588,7 @@ def e1_relevance(spark, d):
     return r.select("n", "tp", "fn", "fp", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"), "targets", "complete", F.round("target_recall", 6).alias("target_recall"))
 
 
-@query("WITH " + _CLASSIFIED + ", t AS (SELECT target_id, bool_or(len(facets) > 0) AS c FROM cl GROUP BY 1) SELECT count(*) AS n, count_if(c) AS classified, round(count_if(c) / count(*), 6) AS coverage FROM t")
+@query("WITH " + _CLASSIFIED + ", t AS (SELECT target_id, bool_or(len(facets) > 0) AS c FROM cl GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE c) AS classified, round(count(*) FILTER (WHERE c) / count(*), 6) AS coverage FROM t")
 def e2_coverage(spark, d):
     t = typology.assemble_targets(Tables(spark, d).classified().withColumn("decisive", F.size("facets") > 0))
     return evaluate.coverage(t).select("n", "classified", F.round("coverage", 6).alias("coverage"))
@@ -596,7 +596,7 @@ def e2_coverage(spark, d):
 
 @query("WITH " + _CLASSIFIED + """, g AS (SELECT target_id, list_sort(list_distinct(flatten(list(facets)))) AS g FROM cl WHERE medium = 'prose' GROUP BY 1), p AS (SELECT target_id, list_sort(list_distinct(flatten(list(facets)))) AS p FROM cl GROUP BY 1),
     x AS (SELECT g, p, len(list_intersect(g, p)) AS i, len(list_distinct(list_concat(g, p))) AS u FROM g JOIN p USING (target_id))
-    SELECT count(*) AS n, count_if(g = p) AS exact, round(count_if(g = p) / count(*), 6) AS exact_share, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i / u END), 6) AS mean_jaccard FROM x""")
+    SELECT count(*) AS n, count(*) FILTER (WHERE g = p) AS exact, round(count(*) FILTER (WHERE g = p) / count(*), 6) AS exact_share, round(avg(CASE WHEN u = 0 THEN 1.0 ELSE i / u END), 6) AS mean_jaccard FROM x""")
 def e3_agreement(spark, d):
     c = Tables(spark, d).classified()
     gold = c.where("medium = 'prose'").groupBy("target_id").agg(F.array_distinct(F.flatten(F.collect_set("facets"))).alias("facets"))
@@ -611,8 +611,8 @@ def e5_latency(spark, d):
     return r.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("max", "mean", "p95", "under")])
 
 
-@query("WITH " + _CLASSIFIED + ", " + _TARGETS + """ SELECT CASE WHEN target_type IN ('play_store_app', 'app_store_app') THEN 'app' ELSE 'website' END AS grp, count(*) AS n, count_if(len(named_orgs) > 0) AS naming,
-    round(count_if(len(named_orgs) > 0) / count(*), 6) AS rate FROM cl JOIN tg USING (target_id) GROUP BY 1""")
+@query("WITH " + _CLASSIFIED + ", " + _TARGETS + """ SELECT CASE WHEN target_type IN ('play_store_app', 'app_store_app') THEN 'app' ELSE 'website' END AS grp, count(*) AS n, count(*) FILTER (WHERE len(named_orgs) > 0) AS naming,
+    round(count(*) FILTER (WHERE len(named_orgs) > 0) / count(*), 6) AS rate FROM cl JOIN tg USING (target_id) GROUP BY 1""")
 def e6_naming_rate(spark, d):
     t = Tables(spark, d)
     return evaluate.naming_rate(t.classified().join(t.clean_targets().select("target_id", "target_type"), "target_id")).select("grp", "n", "naming", F.round("rate", 6).alias("rate"))
@@ -648,7 +648,7 @@ def e10_ontology_accommodation(spark, d):
     return a.select("n", "known", F.round("share", 6).alias("share"), F.size("missing").cast("bigint").alias("missing"))
 
 
-@query("WITH " + _RELATIONS + """, g AS (SELECT target_id, entity, data_type, max(negative) AS neg FROM rl GROUP BY 1, 2, 3) SELECT count(*) AS n, count_if(neg) AS wrong, count(*) >= 30 AND count_if(neg) = 0 AS passed FROM g""")
+@query("WITH " + _RELATIONS + """, g AS (SELECT target_id, entity, data_type, max(negative) AS neg FROM rl GROUP BY 1, 2, 3) SELECT count(*) AS n, count(*) FILTER (WHERE neg) AS wrong, count(*) >= 30 AND count(*) FILTER (WHERE neg) = 0 AS passed FROM g""")
 def e11_propagation(spark, d):
     g = Tables(spark, d).relations().groupBy("target_id", "entity", "data_type").agg((~F.max("negative")).alias("correct"))
     return evaluate.propagation(g)
@@ -681,7 +681,7 @@ def b9_typology_gold(spark, d):
     return labels.typology_gold(s).select("target_id", F.array_join("facets", ";").alias("facets"))
 
 
-@query("WITH " + _CLASSIFIED + " SELECT target_id, count_if(medium IS NOT NULL) AS docs_done, count(*) AS docs_total, count_if(medium IS NOT NULL) = count(*) AS s1 FROM cl GROUP BY 1")
+@query("WITH " + _CLASSIFIED + " SELECT target_id, count(*) FILTER (WHERE medium IS NOT NULL) AS docs_done, count(*) AS docs_total, count(*) FILTER (WHERE medium IS NOT NULL) = count(*) AS s1 FROM cl GROUP BY 1")
 def b16_target_steps(spark, d):
     c = Tables(spark, d).classified()
     rel = c.select("target_id", "doc_id", F.when(F.col("medium").isNotNull(), F.col("relevant").cast("int").cast("string")).otherwise("").alias("gold_relevant"))
