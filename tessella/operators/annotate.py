@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella import lexicons as lx
 from tessella.functions.text import is_negated, purposes_or_other
+from tessella.operators.scratch import materialize, work_partitions
 from tessella.operators.graph import UNSPECIFIED_DATA, UNSPECIFIED_PARTY, WE
 
 # Verbs by what they do to data; action of the subject, action of a recipient.
@@ -158,7 +159,8 @@ def phrase_edges(sentences: DataFrame, tagger: Callable[[str], list[tuple]] = ta
             rows = [(t, *e[:7], list(e[7]), e[8]) for t in pdf["text"] for e in tagger(t)]
             yield pd.DataFrame(rows, columns=cols)
 
-    distinct = sentences.select("text").where("text <> ''").distinct()
+    n = work_partitions(sentences.sparkSession)
+    distinct = sentences.select("text").where("text <> ''").repartition(n, "text").dropDuplicates(["text"])
     tagged = distinct.mapInPandas(run, "text_ string, " + EDGE)
     return sentences.select("doc_id", "sent_id", "text").join(tagged.withColumnRenamed("text", "note"), F.col("text") == F.col("text_")).select(
         "doc_id", "sent_id", "src", "src_label", "dst", "dst_label", "etype", "action", "subject", "purposes", F.col("note").alias("text")
@@ -275,8 +277,6 @@ def follow_links(links: DataFrame, hops: int = 8) -> DataFrame:
     for _ in range(hops):
         nxt = cur.select("doc_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
         cur = cur.join(nxt, ["doc_id", "dst"], "left").select("doc_id", "src", F.coalesce("next", "dst").alias("dst"))
-        from tessella.operators.scratch import materialize
-
         cur = materialize(cur, "links")
     return cur.withColumnRenamed("dst", "target")
 

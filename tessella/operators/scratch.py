@@ -46,6 +46,21 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def work_partitions(spark: SparkSession) -> int:
+    """Partitions of shuffles before stages whose work is far more than their bytes: the session's, but two per core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in a partition per core if its scan has fewer, for stages whose work is far more than their bytes.
+
+    Only inputs of a few files are moved by this; larger ones keep the splits
+    of their scan and no shuffle is added.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that still read them must have been written before.
 

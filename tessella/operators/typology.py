@@ -16,6 +16,7 @@ from tessella.functions import entities as en
 from tessella.functions import text as tx
 from tessella.functions import urls
 from tessella.functions.registry import registry_names
+from tessella.operators.scratch import work_partitions
 from tessella.operators.tables import header_tokens, name_cells
 
 LONG_TABLE, LISTED_ORGS, HEADER_MAX = 12, 5, 40
@@ -188,6 +189,7 @@ def scan_prose(docs: DataFrame, gaz: en.Gazetteer) -> DataFrame:
     q = tx.positive_sharing(s) | tx.third_party_collects(s) | sale | (F.col("ctx") & en.disclosure_context(s, gaz, F.col("fp")))
     q = q & (F.col("ctx") | tx.has_first_party_anchor(s))
     seg = seg.withColumn("q", F.when(F.col("skip"), False).otherwise(F.coalesce(q, F.lit(False)))).withColumn("lead", F.rtrim(s).endswith(":"))
+    seg = seg.repartition(work_partitions(docs.sparkSession), "doc_id")
     seg = carried(seg, ["doc_id"], "pos", "q", "lead", "skip").where("carried")
     det = en.detect_orgs(s, gaz, F.col("fp"))
     seg = seg.withColumn("det", det).withColumn("orgs", en.party_orgs(s, F.col("det.orgs")))

@@ -15,6 +15,7 @@ from tessella.functions import urls
 from tessella.functions.registry import ads_txt_relations, registry_names, registry_relations
 from tessella.operators import annotate, collect, evaluate, graph, labels, relations, report, typology
 from tessella.operators.hierarchy import expand_hierarchy
+from tessella.operators.scratch import spread
 from tessella.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,7 +269,7 @@ def x1_clean(spark, d):
 
 @query(None)
 def x2_parse_html(spark, d):
-    p = hx.parse_documents(Tables(spark, d).parsed_docs, "doc_id", "raw")
+    p = hx.parse_documents(spread(Tables(spark, d).parsed_docs.select("doc_id", "raw")), "doc_id", "raw")
     return p.select(F.col("id").alias("doc_id"), "doc.title", F.length("doc.text").alias("chars"), F.size("doc.segments").alias("segments"), F.size("doc.tables").alias("tables"), F.size("doc.links").alias("links"), F.size("doc.nodes").alias("nodes"))
 
 
@@ -285,7 +286,7 @@ def x11_reflow(spark, d):
 
 @query(None)
 def x14_sentences(spark, d):
-    p = hx.parse_documents(Tables(spark, d).parsed_docs, "doc_id", "raw", ("nodes",))
+    p = hx.parse_documents(spread(Tables(spark, d).parsed_docs.select("doc_id", "raw")), "doc_id", "raw", ("nodes",))
     n = p.select(F.col("id").alias("doc_id"), F.inline("doc.nodes"))
     return hx.sentences(n).groupBy("doc_id", "variant").agg(F.count("*").alias("n"))
 
@@ -318,7 +319,7 @@ def l0_lexicon_hits(spark, d):
 
 @query(None)
 def l9_clause_predicates(spark, d):
-    s = Tables(spark, d).parsed_docs.select("doc_id", F.explode("segments").alias("s"))
+    s = spread(Tables(spark, d).parsed_docs.select("doc_id", "segments")).select("doc_id", F.explode("segments").alias("s"))
     s = s.select("doc_id", tx.positive_sharing(F.col("s")).alias("a"), tx.positive_collection(F.col("s")).alias("b"), tx.implicit_sale(F.col("s")).alias("c"), tx.third_party_collects(F.col("s")).alias("e"))
     return s.groupBy("doc_id").agg(F.count_if("a").alias("sharing"), F.count_if("b").alias("collection"), F.count_if("c").alias("sale"), F.count_if("e").alias("third_party"))
 
@@ -403,7 +404,7 @@ def _documents_to_classify(t: Tables) -> DataFrame:
     u = docs.where(F.col("role").isin(*lx.FIRST_PARTY_URL_ROLES)).groupBy("target_id").agg(F.collect_set("url").alias("urls"))
     fp = tg.join(u, "target_id", "left").select("target_id", "target_type", en.first_party_tokens(F.col("urls"), F.col("name")).alias("first_party"))
     meta = docs.where("ok").select("doc_id", "target_id", "role", "url").join(fp, "target_id", "left")
-    return t.parsed_docs.select("doc_id", "title", "text", "segments", "raw").join(meta, "doc_id")
+    return spread(t.parsed_docs.select("doc_id", "title", "text", "segments", "raw")).join(meta, "doc_id")
 
 
 @query(None)
@@ -524,7 +525,7 @@ def q10_graph_json(spark, d):
 
 @query(None)
 def g1_build_graphs(spark, d):
-    s = Tables(spark, d).parsed_docs.select("doc_id", F.posexplode("segments").alias("seg", "s"))
+    s = spread(Tables(spark, d).parsed_docs.select("doc_id", "segments")).select("doc_id", F.posexplode("segments").alias("seg", "s"))
     s = s.select("doc_id", "seg", F.posexplode(tx.split_sentences(F.col("s"))).alias("k", "text")).select("doc_id", (F.col("seg") * 1000 + F.col("k")).alias("sent_id"), "text")
     nodes, edges = annotate.build_graphs(s)
     return edges.select("graph_id", "src", "dst", "etype", "action", "subject", j("purposes"))
