@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from re import _constants as sre_constants
+from re import _parser as sre_parser
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,20 +114,82 @@ _ABOUT = re.compile(
 )
 
 
-# A line can only match the patterns above if it has one of these words; looking words up is far cheaper than searching.
-_TRIGGERS = frozenset(
-    # messages
-    "not nicht introuvable existe exist exists expired found find gone error errors fehler erreur gateway request requests unavailable available wrong denied forbidden "
-    "blocked limit human robot captcha verify verifying browser country region location session link timed timeout connection establishing database fatal uncaught "
-    "unhandled stack trace traceback maintenance construction seite gefunden zugriff serverfehler wartungsarbeiten sitzung page accès encontrada encontrado encuentra "
-    "acceso sesión mantenimiento javascript java js script scripts scripting noscript expiré abgelaufen caducada "
-    # details
-    "ray reference incident id code ref try wait check moved mistake contact server return reload refresh später startseite überprüfen prüfen vérifiez réessayer réessayez "
-    "retour inténte inténtelo intente compruebe volver typing go start home "
-    # filler
-    "lorem blindtext blind faux texto texte placeholder filler dummy sample text content copy title headline asdf qwer qwerty heading untitled edit hier writer write "
-    "replace supply".split()
-)
+def _alternatives(source: str) -> list[str]:
+    """Parts of a pattern between its outermost bars."""
+    out, depth, start, k, within = [], 0, 0, 0, False
+    while k < len(source):
+        c = source[k]
+        if c == "\\":
+            k += 1
+        elif within:
+            within = c != "]"
+        elif c == "[":
+            within = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(source[start:k])
+            start = k + 1
+        k += 1
+    return [*out, source[start:]]
+
+
+def _literals(parsed) -> frozenset[str] | None:
+    """Lower-case strings of which any match of a parsed pattern holds at least one; None if there are none such."""
+    sets: list[frozenset[str]] = []
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        if op is sre_constants.LITERAL:
+            run += chr(arg)
+            continue
+        if op is sre_constants.AT:  # of no width
+            continue
+        if run:
+            sets.append(frozenset([run.lower()]))
+            run = ""
+        inner = None
+        if op is sre_constants.BRANCH:
+            each = [_literals(x) for x in arg[1]]
+            inner = None if None in each else frozenset().union(*each)
+        elif op is sre_constants.SUBPATTERN:
+            inner = _literals(arg[3])
+        elif op in (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT) and arg[0] > 0:
+            inner = _literals(arg[2])
+        if inner:
+            sets.append(inner)
+    sets = [x for x in sets if min(map(len, x)) > 1]
+    return max(sets, key=lambda x: (min(map(len, x)), -len(x))) if sets else None
+
+
+class _AnyOf:
+    """Search for a pattern, case ignored, that tries an alternative only on texts that hold one of the strings it can't match without.
+
+    The strings are derived from the alternatives, so nothing the whole pattern finds is lost; looking them up is far cheaper than searching.
+    """
+
+    def __init__(self, pattern: re.Pattern):
+        self.pattern, self.always, self.by = pattern, [], {}
+        for alt in _alternatives(pattern.pattern):
+            search = re.compile(alt, re.I).search
+            lits = _literals(sre_parser.parse(alt, re.I))
+            if lits is None:
+                self.always.append(search)
+            for x in lits or ():
+                self.by.setdefault(x, []).append(search)
+
+    def search(self, text: str, low: str) -> bool:
+        """Whether ``text``, in lower case ``low``, has a match."""
+        if _FOLDS.search(text):
+            return bool(self.pattern.search(text))
+        for x, searches in self.by.items():
+            if x in low and any(f(text) for f in searches):
+                return True
+        return any(f(text) for f in self.always)
+
+
+# Letters that patterns take for i or s, but lower case doesn't.
+_FOLDS = re.compile("[\u0130\u0131\u017f]")
+_FIND_FILLER, _FIND_MESSAGE, _FIND_DETAIL = _AnyOf(_FILLER), _AnyOf(_MESSAGE), _AnyOf(_DETAIL)
 _TOKENS = re.compile(r"[^\W\d_]+")
 
 
@@ -165,19 +229,14 @@ def _latin(text: str, words: list[str]) -> int:
 @lru_cache(maxsize=200_000)
 def _flag_short(text: str) -> int:
     """Short blocks recur on many pages; each is judged once per worker."""
-    bits = _placeholder(text)
-    words = _TOKENS.findall(text.lower())
-    bits |= _latin(text, words)
-    if _TRIGGERS.isdisjoint(words) and "xception" not in text and text[:1] not in "45" and len(set(words)) > len(words) - 2:
-        return bits
+    low = text.lower()
+    bits = _placeholder(text) | _latin(text, _TOKENS.findall(low))
     bare = text.strip(" .:!")
-    if not bits & FILLER and _FILLER.search(bare):
+    if not bits & FILLER and _FIND_FILLER.search(bare, low):
         bits |= FILLER
-    if not _ABOUT.search(text):
-        if _MESSAGE.search(bare):
-            bits |= MESSAGE
-        elif _DETAIL.search(bare):
-            bits |= DETAIL
+    kind = MESSAGE if _FIND_MESSAGE.search(bare, low) else DETAIL if _FIND_DETAIL.search(bare, low) else 0
+    if kind and not _ABOUT.search(text):
+        bits |= kind
     return bits
 
 
