@@ -1,11 +1,10 @@
-"""Near-duplicate records with small edits (problem 2): an LSH forest over word shingles.
+"""Near-duplicate records with small edits (problem 2): locality-sensitive hashing of word shingles.
 
-Each text gets a MinHash signature per tree.  Sorting the signatures of a tree
-puts texts with a long common prefix side by side; such a run is a region and
-its members are candidates of one another.  The depth is adaptive: a run at
-the base depth with more than ``region`` members is split by one more value
-until it is small enough or the signature ends.  Candidates pass a size bound
-and a one-byte sketch before the shingle sets themselves are compared.
+Each text gets a MinHash signature per tree.  Texts with equal signatures in a
+tree are a region and its members are candidates of one another.  Regions of
+more than ``region`` members are paired in slices, and there the size bound and
+a sketch of one byte a value are applied before a pair is handed on; other candidates pass
+them afterwards.  Then the shingle sets themselves are compared.
 
 Texts with equal shingle sets are one node of all this, with a membership
 table beside it, so copies cost nothing and lose no link.
@@ -15,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +25,15 @@ from tessella.llm.util import digest, group_pairs, maybe_broadcast, small_enough
 from tessella.operators.components import connected_components
 from tessella.operators.scratch import materialize
 
-#: Trees, base depth and greatest depth.  A pair of similarity s is missed with probability (1 - s ** 4) ** 40:
+#: Trees and depth.  A pair of similarity s is missed with probability (1 - s ** 4) ** 40, however dense its regions:
 #: 0.004 at 0.6, 0.0004 at 0.65, and less than 1e-9 at 0.8.
-TREES, BASE, DEPTH = 40, 4, 6
-#: Members of a region above which it is split further.
+TREES, DEPTH = 40, 4
+#: Members of a region above which it is paired in slices, sketches first.
 REGION = 64
 #: Bytes of the sketch that filters candidates, one MinHash value modulo 256 each.
 SKETCH = 64
+#: The sketch is packed in longs of seven bytes, so that sums on them don't overflow.
+LONGS = -(-SKETCH // 7)
 _WORD = re.compile(r"[^\W_]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S = np.uint64(29)
@@ -88,11 +88,24 @@ def _signature(sh: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(sig: np.ndarray) -> np.ndarray:
+    """Sketch of a signature: its first SKETCH values modulo 256, seven in a long."""
+    out = np.zeros(LONGS * 7, np.uint8)
+    out[:SKETCH] = sig[:SKETCH] & np.uint32(255)
+    return np.pad(out.reshape(LONGS, 7), ((0, 0), (0, 1))).view("<i8").ravel()
+
+
+def _agree(a: str, b: str) -> str:
+    """SQL for the number of bytes in which two packed sketches agree."""
+    low, high = 0x7F7F7F7F7F7F7F, 0x80808080808080
+    other = " + ".join(f"bit_count(((({a}[{i}] ^ {b}[{i}]) & {low}L) + {low}L | ({a}[{i}] ^ {b}[{i}])) & {high}L)" for i in range(LONGS))
+    return f"{SKETCH} - ({other})"
+
+
 def _signed(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int) -> DataFrame:
-    """``(id, set_key, n, keys, sketch)``; keys holds per tree the prefix hashes at depths BASE..DEPTH."""
+    """``(id, set_key, n, keys, sketch)``; keys holds a hash per tree."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = dict(src.dtypes)["id"]
-    span = DEPTH - BASE + 1
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,71 +118,48 @@ def _signed(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int) -
                 sig = _signature(sh)
                 m = sig.reshape(TREES, DEPTH).astype(np.uint64)
                 acc = np.arange(TREES, dtype=np.uint64) * _M3
-                deep = []
                 for d in range(DEPTH):
                     acc = (acc ^ m[:, d]) * _M1
                     acc ^= acc >> _S
-                    if d >= BASE - 1:
-                        deep.append(acc)
                 ids.append(i)
                 sets.append(digest(sh.tobytes()))
                 ns.append(len(sh))
-                keys.append(np.stack(deep, axis=1).reshape(-1).astype(np.int64))
-                sk.append((sig[:SKETCH] & np.uint32(255)).astype(np.uint8).tobytes())
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            offs = np.arange(len(ids) + 1, dtype=np.int32) * (TREES * span)
+                keys.append(acc.astype(np.int64))
+                sk.append(_packed(sig))
+            lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, b.schema.field("id").type),
                     pa.array(sets, pa.binary()),
                     pa.array(ns, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offs), pa.array(flat)),
-                    pa.array(sk, pa.binary()),
+                    lists(keys, TREES),
+                    lists(sk, LONGS),
                 ],
                 names=["id", "set_key", "n", "keys", "sketch"],
             )
 
-    return src.mapInArrow(fn, f"id {kind}, set_key binary, n int, keys array<bigint>, sketch binary")
+    return src.mapInArrow(fn, f"id {kind}, set_key binary, n int, keys array<bigint>, sketch array<bigint>")
 
 
-def _candidates(reps: DataFrame, threshold: float, region: int) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of representatives from all trees."""
-    span = DEPTH - BASE + 1
-    rows = reps.select("rep", "n", F.posexplode("keys").alias("pos", "key")).select(
-        "rep", "n", "key", F.expr(f"cast(pos % {span} as int)").alias("level")
-    )
-    found, inside = [], None
-    for level in range(span):
-        cur = rows.where(F.col("level") == level)
-        if inside is not None:  # only members of dense regions go deeper
-            cur = (
-                reps.select("rep", "n", F.posexplode("keys").alias("pos", "above"), "keys")
-                .where(F.expr(f"pos % {span} = {level - 1}"))
-                .join(maybe_broadcast(inside.withColumnRenamed("key", "above")), "above")
-                .select("rep", "n", F.expr("element_at(keys, pos + 2)").alias("key"))
-            )
-        else:
-            cur = cur.select("rep", "n", "key")
-        if level < span - 1:
-            dense = materialize(cur.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > region).select("key"), "dense")
-            if dense.isEmpty():
-                dense = None
-        else:
-            dense = None
-        here = cur if dense is None else cur.join(maybe_broadcast(dense), "key", "left_anti")
-        if level == span - 1:
-            pairs = group_pairs(here.distinct(), "key", "rep", ["rep", "n"])
-        else:  # a region of at most `region` members
-            left = here.select("key", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"))
-            right = here.select("key", F.col("rep").alias("rep_b"), F.col("n").alias("n_b"))
-            pairs = left.join(right, "key").where("rep_a < rep_b")
-        found.append(
-            pairs.where(f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-        )
-        inside = dense
-        if dense is None:
-            break
-    return reduce(DataFrame.unionByName, found).distinct()
+def _candidates(reps: DataFrame, threshold: float, region: int, least: int) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` of representatives from all trees; those of dense regions agree in ``least`` bytes of the sketch."""
+    like = f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
+    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
+    dense = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > region).select("key"), "dense")
+    if dense.isEmpty():
+        return _region_pairs(rows).where(like).select("a", "b").distinct()
+    dense = maybe_broadcast(dense)
+    few = _region_pairs(rows.join(dense, "key", "left_anti")).where(like)
+    crowd = reps.select("rep", "n", "sketch", F.explode("keys").alias("key")).join(dense, "key", "left_semi")
+    many = group_pairs(crowd, "key", "rep", ["rep", "n", "sketch"]).where(f"{like} AND {_agree('sketch_a', 'sketch_b')} >= {least}")
+    return few.select("a", "b").unionByName(many.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).distinct()
+
+
+def _region_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b, n_a, n_b)`` within small regions."""
+    left = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"))
+    right = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"))
+    return left.join(right, "key").where("a < b")
 
 
 def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
@@ -262,29 +252,16 @@ def near_duplicates(
         signed.select("id", "set_key").join(signed.groupBy("set_key").agg(F.min("id").alias("rep")), "set_key").select("id", "rep"), "members"
     )
     reps = signed.join(members.where("id = rep").select("id"), "id", "left_semi").withColumnRenamed("id", "rep")
-    cand = _candidates(reps, threshold, region)
     sk = reps.select("rep", "sketch")
     # a sketch agrees at s + (1 - s) / 256 of its bytes; four standard deviations below the threshold are allowed
     least = int(SKETCH * threshold - 4 * (SKETCH * threshold * (1 - threshold)) ** 0.5)
-    agree = _agreement()
+    cand = _candidates(reps, threshold, region, least)
     close = (
         cand.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-        .where(agree("sa", "sb") >= least)
+        .where(f"{_agree('sa', 'sb')} >= {least}")
         .select("a", "b")
     )
     close = materialize(close, "close")
     links = materialize(_verified(df, close, id_col, text_col, shingle, threshold), "links")
     return NearDuplicates(links, members)
-
-
-def _agreement():
-    @F.arrow_udf("int")
-    def agree(x: pa.Array, y: pa.Array) -> pa.Array:
-        if len(x) == 0:
-            return pa.array([], pa.int32())
-        a = np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(len(x), SKETCH)
-        b = np.frombuffer(b"".join(y.to_pylist()), np.uint8).reshape(len(y), SKETCH)
-        return pa.array((a == b).sum(axis=1).astype(np.int32))
-
-    return agree

@@ -1,12 +1,14 @@
 """Cases of the review: each failed before its finding was settled."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import residue
+from tessella.llm import neardup, residue
 
 
 @pytest.mark.parametrize("text,bit", [
@@ -28,3 +30,27 @@ def test_lookup_passes_every_alternative(finder):
         assert finder.search(text, text.lower()) == bool(finder.pattern.search(text))
 
     check()
+
+
+def test_dense_regions_lose_no_pair(spark):
+    rnd = random.Random(3)
+    base = [f"t{rnd.randrange(900)}" for _ in range(160)]
+    rows = [(f"d{i:03}", " ".join(f"e{i}x{j}" if rnd.random() < 0.065 else w for j, w in enumerate(base))) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    pairs = lambda region: {tuple(r) for r in neardup.near_duplicates(df, shingle=3, threshold=0.6, region=region).pairs().collect()}
+    got = pairs(4)
+    assert got == pairs(10**6)
+    sets = {i: set(zip(w, w[1:], w[2:])) for i, t in rows for w in [t.split()]}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
+    assert len(want) > 400 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_sketches_agree_as_bytes(spark):
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 1 << 32, 240, dtype=np.uint32)
+    rows = []
+    for share in (0.0, 0.3, 0.7, 1.0):
+        b = np.where(rng.random(240) < share, a, rng.integers(0, 1 << 32, 240, dtype=np.uint32)).astype(np.uint32)
+        rows.append((neardup._packed(a).tolist(), neardup._packed(b).tolist(), int(((a & 255) == (b & 255))[: neardup.SKETCH].sum())))
+    df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, n int")
+    assert df.where(f"{neardup._agree('x', 'y')} <> n").count() == 0
