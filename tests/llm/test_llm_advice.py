@@ -8,7 +8,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import neardup, residue
+from tessella.llm import names, neardup, residue
 
 
 @pytest.mark.parametrize("text,bit", [
@@ -54,3 +54,26 @@ def test_sketches_agree_as_bytes(spark):
         rows.append((neardup._packed(a).tolist(), neardup._packed(b).tolist(), int(((a & 255) == (b & 255))[: neardup.SKETCH].sum())))
     df = spark.createDataFrame(rows, "x array<bigint>, y array<bigint>, n int")
     assert df.where(f"{neardup._agree('x', 'y')} <> n").count() == 0
+
+
+def classes(spark, strings):
+    return {r["name"]: r["class_id"] for r in names.link_names(spark.createDataFrame([(x,) for x in strings], "name string")).collect()}
+
+
+COMPANIONS = [f"{a}{b}" for a in ("Zortu", "Plixe", "Quandi", "Wexal", "Brinto", "Hulve", "Jasti", "Kopra", "Lumfi", "Mirdo") for b in ("man", "rel", "dok", "vix", "gup", "tis", "bon", "zaf", "lem", "cor")]
+
+
+def test_frequent_typo_of_a_common_word_is_linked(spark):
+    got = classes(spark, [f"{c} Spindle" for c in COMPANIONS] + [f"{c} Sipndle" for c in COMPANIONS[:9]])
+    assert all(got[f"{c} Spindle"] == got[f"{c} Sipndle"] for c in COMPANIONS[:9]) and len(set(got.values())) == len(COMPANIONS)
+
+
+def test_few_names_of_two_words_stay_apart(spark):
+    got = classes(spark, [f"{c} {w}" for c in COMPANIONS[::17] for w in ("Gable", "Sable")])
+    assert len(got) == len(set(got.values())) == 12
+
+
+def test_word_with_spellings_of_its_own_stays_apart(spark):
+    forms = ["Zortuman {} GmbH", "Zortuman {}", "zortuman {} Ltd", "{}, Zortuman", "ZORTUMAN {} Inc.", "Zortuman  {} Media"]
+    got = classes(spark, [f.format(w) for f in forms for w in ("Gable", "Sable")] + [f"{c} Gable" for c in COMPANIONS[1:90]])
+    assert got["Zortuman Gable"] != got["Zortuman Sable"] and len(set(got.values())) == 91
