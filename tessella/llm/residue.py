@@ -241,13 +241,17 @@ def _flag_short(text: str) -> int:
 
 
 def _flag_long(text: str) -> int:
-    bits = _placeholder(text) | _latin(text, text.lower().replace(",", " ").replace(".", " ").split())
-    if not bits & FILLER and _LONG_FILLER.search(text):
+    """Rules of filler hold for the block, those of a whole line for each of its sentences."""
+    low = text.lower()
+    bits = _placeholder(text) | _latin(text, low.replace(",", " ").replace(".", " ").split())
+    if bits & FILLER:
+        return bits
+    if _FIND_FILLER.search(text, low) or any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in _SENTENCES.split(text)):
         bits |= FILLER
     return bits
 
 
-_LONG_FILLER = re.compile(r"[Ll]orem ipsum|[Bb]lindtext|[Pp]laceholder copy|asdf asdf|[Yy]our text goes here|LOREM IPSUM")
+_SENTENCES = re.compile(r"(?<=[.!?:])\s+|\n")
 
 
 def residue_documents(

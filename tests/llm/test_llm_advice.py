@@ -77,3 +77,16 @@ def test_word_with_spellings_of_its_own_stays_apart(spark):
     forms = ["Zortuman {} GmbH", "Zortuman {}", "zortuman {} Ltd", "{}, Zortuman", "ZORTUMAN {} Inc.", "Zortuman  {} Media"]
     got = classes(spark, [f.format(w) for f in forms for w in ("Gable", "Sable")] + [f"{c} Gable" for c in COMPANIONS[1:90]])
     assert got["Zortuman Gable"] != got["Zortuman Sable"] and len(set(got.values())) == 91
+
+
+LONG = "We keep records of visits for a season and hand some of them to partners whenever the law asks for it, as the section on partners explains in more detail below. "
+
+
+@pytest.mark.parametrize("filler", [
+    "This is dummy text for the layout.", "Lorem Ipsum", "LOREM IPSUM", "BLINDTEXT", "Placeholder Copy", "YOUR TEXT GOES HERE", "Ceci est un texte de remplissage.", "Texto de relleno", "Please replace this paragraph.",
+    "The writer will supply the rest.", "Sample page.", "Heading two.", "words words words",
+])
+def test_filler_in_long_blocks(filler):
+    for text in (LONG + filler, filler + " " + LONG, LONG + filler + " " + LONG):
+        assert len(text) > residue.MESSAGE_CHARS and residue.flag_line(text) & 4
+    assert residue.flag_line(LONG * 2) == 0
