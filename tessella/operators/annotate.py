@@ -108,8 +108,9 @@ def tag_sentence(text: str) -> list[tuple]:
         _, act, to_act = VERBS[group]
         who = next((s for s in reversed(sp) if s[2] == "ENTITY" and s[1] <= a), None)
         what = [s for s in sp if s[2] == "DATA" and b <= s[0] < stop]
-        if not what:  # passive: the data stand before the verb
-            what = [s for s in sp if s[2] == "DATA" and s[1] <= a][-3:] if re.search(r"\b(?:is|are|was|were|be|been)\s+(?:\w+\s+)?$", text[:a]) else []
+        if not what:  # passive: the data stand before the verb, in its clause
+            clause = max((m.end() for m in _CLAUSE.finditer(text, 0, a)), default=0)
+            what = [s for s in sp if s[2] == "DATA" and clause <= s[0] and s[1] <= a] if re.search(r"\b(?:is|are|was|were|be|been)\s+(?:\w+\s+)?$", text[:a]) else []
             if what:
                 by = re.match(r"\s*by\s+", text[b:])
                 who = next((s for s in sp if by and s[2] == "ENTITY" and s[0] >= b), None if by else who)
