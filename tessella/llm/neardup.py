@@ -1,10 +1,18 @@
-"""Near-duplicate records with small edits (problem 2): locality-sensitive hashing of word shingles.
-
-Each text gets a MinHash signature per tree.  Texts with equal signatures in a
-tree are a region and its members are candidates of one another.  Regions of
-more than ``region`` members are paired in slices, and there the size bound and
-a sketch of one byte a value are applied before a pair is handed on; other candidates pass
-them afterwards.  Then the shingle sets themselves are compared.
+"""Near-duplicate records with small edits (problem 2): an LSH forest over word shingles.
+
+Each text gets a label per tree: ``DEPTH`` MinHash values of 16 bits, written
+one after the other in a long.  A tree is the table of labels in sorted order.
+One pass over each sorted tree finds the longest prefix that neighbours have in
+common; a maximal stretch of labels with a common prefix is a region, and its
+members are candidates of one another.  Depth adapts to the region: a stretch of
+few members is taken at the shortest prefix at which they are few, any other
+is descended to ``DEPTH`` values, where all of it is taken however large it is.
+So no pair that agrees in ``DEPTH`` values of a tree is ever lost.
+
+Stretches of more than ``region`` members, and those at the ends of a sorted
+partition, which may go on in the next, are paired in slices with size bound
+and sketch applied at once.  Then the shingle sets themselves are compared, in
+tiles of pairs, so that a text is sent once per tile and not once per pair.
 
 Texts with equal shingle sets are one node of all this, with a membership
 table beside it, so copies cost nothing and lose no link.
@@ -12,6 +20,7 @@ table beside it, so copies cost nothing and lose no link.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,15 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.util import digest, group_pairs, maybe_broadcast, small_enough
+from tessella.llm.util import digest, group_pairs, maybe_broadcast, work_partitions
 from tessella.operators.components import connected_components
 from tessella.operators.scratch import materialize
 
 #: Trees and depth.  A pair of similarity s is missed with probability (1 - s ** 4) ** 40, however dense its regions:
 #: 0.004 at 0.6, 0.0004 at 0.65, and less than 1e-9 at 0.8.
 TREES, DEPTH = 40, 4
-#: Members of a region above which it is paired in slices, sketches first.
-REGION = 64
+#: Members of a region above which it is paired in slices, sketches first, and up to which a region is taken at less than full depth.
+REGION, FEW = 64, 4
+#: Rows of one region of depth 1 that a task holds at a time; the rest of a larger one is paired in slices at full depth.
+HELD = 200_000
+#: Characters of text that one tile of the exact check may hold.
+TILE_CHARS = 32_000_000
 #: Bytes of the sketch that filters candidates, one MinHash value modulo 256 each.
 SKETCH = 64
 #: The sketch is packed in longs of seven bytes, so that sums on them don't overflow.
@@ -88,6 +101,16 @@ def _signature(sh: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labels(sig: np.ndarray) -> np.ndarray:
+    """Labels of a signature, one long per tree: the first value of the tree in the highest 16 bits, and so on."""
+    m = sig.reshape(TREES, DEPTH).astype(np.uint64)
+    out = np.zeros(TREES, np.uint64)
+    for d in range(DEPTH):
+        # smallest hashes are alike in their high bits, so they are mixed before they are cut
+        out = (out << np.uint64(16)) | (((m[:, d] + np.uint64(1)) * _M1) >> np.uint64(48))
+    return out.view(np.int64)
+
+
 def _packed(sig: np.ndarray) -> np.ndarray:
     """Sketch of a signature: its first SKETCH values modulo 256, seven in a long."""
     out = np.zeros(LONGS * 7, np.uint8)
@@ -103,7 +126,7 @@ def _agree(a: str, b: str) -> str:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int) -> DataFrame:
-    """``(id, set_key, n, keys, sketch)``; keys holds a hash per tree."""
+    """``(id, set_key, n, keys, sketch)``; keys holds the label in each tree."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     kind = dict(src.dtypes)["id"]
 
@@ -116,15 +139,10 @@ def _signed(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int) -
                     continue
                 sh = _shingles(w, k)
                 sig = _signature(sh)
-                m = sig.reshape(TREES, DEPTH).astype(np.uint64)
-                acc = np.arange(TREES, dtype=np.uint64) * _M3
-                for d in range(DEPTH):
-                    acc = (acc ^ m[:, d]) * _M1
-                    acc ^= acc >> _S
                 ids.append(i)
                 sets.append(digest(sh.tobytes()))
                 ns.append(len(sh))
-                keys.append(acc.astype(np.int64))
+                keys.append(_labels(sig))
                 sk.append(_packed(sig))
             lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * n), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -141,29 +159,110 @@ def _signed(df: DataFrame, id_col: str, text_col: str, k: int, min_words: int) -
     return src.mapInArrow(fn, f"id {kind}, set_key binary, n int, keys array<bigint>, sketch array<bigint>")
 
 
-def _candidates(reps: DataFrame, threshold: float, region: int, least: int) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of representatives from all trees; those of dense regions agree in ``least`` bytes of the sketch."""
-    like = f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
-    rows = reps.select("rep", "n", F.explode("keys").alias("key"))
-    dense = materialize(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > region).select("key"), "dense")
-    if dense.isEmpty():
-        return _region_pairs(rows).where(like).select("a", "b").distinct()
-    dense = maybe_broadcast(dense)
-    few = _region_pairs(rows.join(dense, "key", "left_anti")).where(like)
-    crowd = reps.select("rep", "n", "sketch", F.explode("keys").alias("key")).join(dense, "key", "left_semi")
-    many = group_pairs(crowd, "key", "rep", ["rep", "n", "sketch"]).where(f"{like} AND {_agree('sketch_a', 'sketch_b')} >= {least}")
-    return few.select("a", "b").unionByName(many.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).distinct()
+def _regions(tree: np.ndarray, label: np.ndarray, few: int) -> tuple[np.ndarray, np.ndarray]:
+    """Region number of each row of a sorted stretch, and each region's size.
+
+    The prefix that a row has in common with the row before it is the longest
+    one; of the nested stretches that hold a row, the region is the longest
+    with at most ``few`` members, or else the one of full depth.
+    """
+    bits = label.view(np.uint64)
+    apart = np.empty(len(label), np.int64)  # values in common with the row before
+    apart[0] = -1
+    if len(label) > 1:
+        x = bits[1:] ^ bits[:-1]
+        lcp = np.full(len(x), DEPTH)
+        for d in range(DEPTH, 0, -1):
+            lcp[x >> np.uint64(64 - 16 * d) != 0] = d - 1
+        apart[1:] = np.where(tree[1:] == tree[:-1], lcp, -1)
+    start = np.zeros(len(label), bool)
+    start[0] = True
+    done = np.zeros(len(label), bool)
+    for d in range(1, DEPTH + 1):
+        edge = np.flatnonzero(apart < d)
+        size = np.diff(np.append(edge, len(label)))
+        mine = np.repeat(size, size)
+        take = ~done & ((mine <= few) | (d == DEPTH))
+        start[edge] |= take[edge]
+        done |= take
+    edge = np.flatnonzero(start)
+    size = np.diff(np.append(edge, len(label)))
+    return np.repeat(np.arange(len(edge)), size), size
+
+
+def _scan(kind: str, region: int, few: int, threshold: float):
+    """Pass over one partition of the sorted trees: pairs ``(x, y)`` of small regions, and rows ``(x, null, key)`` of those left to slices."""
 
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        first = True
+        cols = ["x", "y", "key"]
+
+        def rest(t: pa.Table) -> pa.RecordBatch:
+            key = (t["label"].to_numpy().view(np.uint64) ^ (t["tree"].to_numpy().astype(np.uint64) * _M3)) * _M2
+            x = t["rep"].combine_chunks()
+            return pa.RecordBatch.from_arrays([x, pa.nulls(len(x), x.type), pa.array((key ^ (key >> _S)).astype(np.int64))], names=cols)
+
+        def work(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            tree, label, n = (t[c].to_numpy() for c in ("tree", "label", "n"))
+            no, size = _regions(tree, label, few)
+            mine = size[no]
+            if (mine > region).any():
+                yield rest(t.filter(pa.array(mine > region)))
+                no = np.where(mine > region, -1 - np.arange(len(no)), no)  # never equal to a neighbour's
+            rep = t["rep"].combine_chunks()
+            for k in range(1, int(min(region, size.max()))):
+                i = np.flatnonzero(no[k:] == no[:-k])
+                if not len(i):
+                    break
+                i = i[np.minimum(n[i], n[i + k]) >= threshold * np.maximum(n[i], n[i + k])]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([rep.take(pa.array(i)), rep.take(pa.array(i + k)), pa.nulls(len(i), pa.int64())], names=cols)
 
-def _region_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs ``(a, b, n_a, n_b)`` within small regions."""
-    left = rows.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a"))
-    right = rows.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    return left.join(right, "key").where("a < b")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            top = held["label"].to_numpy() >> 48
+            tree = held["tree"].to_numpy()
+            cut = np.flatnonzero((top[1:] != top[:-1]) | (tree[1:] != tree[:-1])) + 1
+            if first and len(cut):  # what the partition begins with may belong to the one before
+                yield rest(held.slice(0, int(cut[0])))
+                held, cut, first = held.slice(int(cut[0])), cut[1:] - cut[0], False
+            if len(cut):
+                yield from work(held.slice(0, int(cut[-1])))
+                held = held.slice(int(cut[-1]))
+            elif len(held) > HELD:
+                yield rest(held)
+                # what follows of this region goes the same way
+                held, first = None, True
+        if held is not None and len(held):
+            yield rest(held)
+
+    return fn, f"x {kind}, y {kind}, key bigint"
+
+
+def _candidates(reps: DataFrame, threshold: float, region: int, few: int, least: int) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` of representatives from all trees; those paired in slices agree in ``least`` bytes of the sketch."""
+    trees = reps.select("rep", "n", F.posexplode("keys").alias("tree", "label"))
+    fn, schema = _scan(dict(reps.dtypes)["rep"], region, few, threshold)
+    forest = trees.repartitionByRange("tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
+    seen = materialize(forest.mapInArrow(fn, schema), "forest")
+    near = seen.where("y IS NOT NULL").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    crowd = seen.where("y IS NULL").select("key", F.col("x").alias("rep")).join(reps.select("rep", "n", "sketch"), "rep")
+    many = group_pairs(crowd, "key", "rep", ["rep", "n", "sketch"]).where(
+        f"least(n_a, n_b) >= {threshold} * greatest(n_a, n_b) AND {_agree('sketch_a', 'sketch_b')} >= {least}"
+    )
+    return near.unionByName(many.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))).distinct()
 
 
 def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
-    """Exact check on the shingle sets: ``(a, b, similarity)``."""
+    """Exact check on the shingle sets: ``(a, b, similarity)``.
+
+    Ids fall into B buckets and pairs into B x B tiles; a tile gets its pairs
+    and one copy of each text they name.  B grows with the number of pairs and
+    the length of texts, so that a tile stays within ``TILE_CHARS`` on average.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = materialize(
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -171,31 +270,34 @@ def _verified(df: DataFrame, pairs: DataFrame, id_col: str, text_col: str, k: in
         .dropDuplicates(["id"]),
         "texts",
     )
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(
-        texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"
-    )
+    mean = texts.agg(F.avg(F.length("text")).alias("m")).first()["m"] or 1.0
+    per_tile = min(4096.0, max(16.0, TILE_CHARS / (2 * mean)))
+    side = math.ceil(max(pairs.count() / per_tile, work_partitions(pairs)) ** 0.5)
+    bucket = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {side}) as int)")
+    tiled = pairs.select("a", "b", bucket("a").alias("i"), bucket("b").alias("j"))
+    where = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    sent = where.join(texts, "id")
     kind = dict(pairs.dtypes)["a"]
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            memo: dict[str, np.ndarray] = {}
-            keep, sims = [], []
-            for j, (a, ta, b, tb) in enumerate(zip(*(rb.column(c).to_pylist() for c in ("a", "ta", "b", "tb")))):
-                for i, t in ((a, ta), (b, tb)):
-                    if i not in memo:
-                        memo[i] = _shingles(_words(t), k)
-                x, y = memo[a], memo[b]
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                s = n / (len(x) + len(y) - n)
-                if s >= threshold:
-                    keep.append(j)
-                    sims.append(s)
-            ix = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("a").take(ix), rb.column("b").take(ix), pa.array(sims, pa.float64())], names=["a", "b", "similarity"]
-            )
-
-    return both.select("a", "ta", "b", "tb").mapInArrow(fn, f"a {kind}, b {kind}, similarity double")
+    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
+        text = dict(zip(right["id"].to_pylist(), right["text"].to_pylist()))
+        sets: dict = {}
+        out_a, out_b, sims = [], [], []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()):
+            for i in (a, b):
+                if i not in sets:
+                    sets[i] = _shingles(_words(text[i]), k)
+            x, y = sets[a], sets[b]
+            n = len(np.intersect1d(x, y, assume_unique=True))
+            s = n / (len(x) + len(y) - n)
+            if s >= threshold:
+                out_a.append(a)
+                out_b.append(b)
+                sims.append(s)
+        t = left.schema.field("a").type
+        return pa.table([pa.array(out_a, t), pa.array(out_b, t), pa.array(sims, pa.float64())], names=["a", "b", "similarity"])
+
+    return tiled.groupBy("i", "j").cogroup(sent.groupBy("ti", "tj")).applyInArrow(fn, f"a {kind}, b {kind}, similarity double")
 
 
 class NearDuplicates:
@@ -239,6 +341,7 @@ def near_duplicates(
     threshold: float = 0.8,
     min_words: int = 0,
     region: int = REGION,
+    few: int = FEW,
 ) -> NearDuplicates:
     """Records whose sets of ``shingle``-word sequences have a Jaccard similarity of at least ``threshold``.
 
@@ -251,11 +354,11 @@ def near_duplicates(
     members = materialize(
         signed.select("id", "set_key").join(signed.groupBy("set_key").agg(F.min("id").alias("rep")), "set_key").select("id", "rep"), "members"
     )
-    reps = signed.join(members.where("id = rep").select("id"), "id", "left_semi").withColumnRenamed("id", "rep")
+    reps = materialize(signed.join(members.where("id = rep").select("id"), "id", "left_semi").select(F.col("id").alias("rep"), "n", "keys", "sketch"), "reps")
     sk = reps.select("rep", "sketch")
     # a sketch agrees at s + (1 - s) / 256 of its bytes; four standard deviations below the threshold are allowed
     least = int(SKETCH * threshold - 4 * (SKETCH * threshold * (1 - threshold)) ** 0.5)
-    cand = _candidates(reps, threshold, region, least)
+    cand = _candidates(reps, threshold, region, few, least)
     close = (
         cand.join(sk.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a")
         .join(sk.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")

@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.scratch import materialize
-from tessella.llm.util import digest, group_pairs, map_batches
+from tessella.llm.util import digest, group_pairs, map_batches, maybe_broadcast
 
-# Letters of other scripts that look the same as a Latin letter.
+# Letters of other scripts that look the same as a Latin letter, chosen from the single-letter entries of the
+# public Unicode confusables data (Unicode 16, as ICU 77 carries it) whose shapes a reader cannot tell apart.
 LOOK_ALIKES = {
     # Cyrillic capitals
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -34,8 +35,21 @@ LOOK_ALIKES = {
     "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
     # Greek small letters
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    # Armenian and Latin variants
-    "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "ɡ": "g", "ɑ": "a", "ı": "ı",
+    # Armenian, Georgian and Latin variants
+    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "Օ": "O", "Ս": "U", "Տ": "S", "ჿ": "o", "ɡ": "g", "ɑ": "a", "ı": "ı",
+    # Greek small letters and variants
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "ϒ": "Y", "Ϻ": "M",
+    # Cyrillic letters out of use
+    "Ѵ": "V", "ѵ": "v", "ҽ": "e", "Ӏ": "l",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮒ": "h", "Ꮓ": "Z",
+    "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ꮷ": "d", "Ᏻ": "G", "Ᏼ": "B", "ꭵ": "i", "ꮁ": "r", "ꮃ": "w",
+    "ꮓ": "z", "ꮩ": "v", "ꮪ": "s", "ꮯ": "c",
+    # Coptic
+    "ⲅ": "r", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⳑ": "L",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓒ": "d", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R",
+    "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
 
 #: Decompositions that change only how a character is encoded; super- and
@@ -178,12 +192,18 @@ def same_look_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pair with nothing.
     """
     keys = materialize(text_keys(df, id_col, text_col), "keys")
-    mixed = (
-        keys.groupBy("folded_key")
-        .agg(F.min("raw_key").alias("lo"), F.max("raw_key").alias("hi"))
-        .where("lo <> hi")
-        .select("folded_key")
+    # exact copies are one spelling: a hot text shrinks to one row per task before anything is joined
+    spellings = keys.groupBy("folded_key", "visible_key", "raw_key").agg(F.count("*").alias("copies"))
+    mixed = spellings.groupBy("folded_key").agg(F.count("*").alias("c")).where("c > 1").select("folded_key")
+    spellings = materialize(spellings.join(maybe_broadcast(mixed), "folded_key"), "spellings")
+    pairs = materialize(group_pairs(spellings, "visible_key", "raw_key", ["raw_key"]).select("raw_key_a", "raw_key_b"), "spelling_pairs")
+    # only then are members put in: what is written is what is asked for
+    wanted = pairs.select(F.explode(F.array("raw_key_a", "raw_key_b")).alias("raw_key")).distinct()
+    members = keys.join(maybe_broadcast(wanted), "raw_key", "left_semi").select("raw_key", "id").distinct()
+    members = materialize(members, "members")
+    both = (
+        members.select(F.col("raw_key").alias("raw_key_a"), F.col("id").alias("x"))
+        .join(maybe_broadcast(pairs), "raw_key_a")
+        .join(maybe_broadcast(members.select(F.col("raw_key").alias("raw_key_b"), F.col("id").alias("y"))), "raw_key_b")
     )
-    rows = keys.join(mixed, "folded_key").select("id", "raw_key", "visible_key").distinct()
-    pairs = group_pairs(rows, "visible_key", "id", ["id", "raw_key"])
-    return pairs.where("raw_key_a <> raw_key_b").select("id_a", "id_b").distinct()
+    return both.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
