@@ -68,6 +68,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
 
+def p7_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """What of question and answer stands in the affected documents."""
+    x = leakage.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
+    return x.groupBy("doc_id", "item_id").agg(F.round(F.max("question_overlap"), 6).alias("question_overlap"), F.bool_or("answer_found").alias("answer_found"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = visual.same_look_pairs(_t(spark, d, "documents"))
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -84,7 +90,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p6_containers, p7_found, p8_found,
+        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p6_containers, p7_found, p7_overlap, p8_found,
         p8_classes, p8_forms,
     )
 }
@@ -104,6 +110,13 @@ def _sql_visible(col: str) -> str:
     return f"nfc_normalize({x})"
 
 
+_P7 = rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws, regexp_extract_all(lower({_sql_visible("answer")}), '[\p{{L}}\p{{N}}]+') AS rs FROM eval_items WHERE text IS NOT NULL),
+        dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12)),
+        ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12))
+        """
+
 ORACLE = {
     "p2_found": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM parsed_docs WHERE text IS NOT NULL),
@@ -113,12 +126,12 @@ ORACLE = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
         SELECT a AS doc_id_a, b AS doc_id_b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.6 * (p.n + q.n - k)""",
-    "p7_found": rf"""
-        WITH d AS (SELECT doc_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
-        i AS (SELECT item_id, regexp_extract_all(lower({_sql_visible("text")}), '[\p{{L}}\p{{N}}]+') AS ws FROM eval_items WHERE text IS NOT NULL),
-        dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM d WHERE len(ws) >= 12)),
-        ig AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda k: array_to_string(ws[k:k + 11], ' '))) AS g FROM i WHERE len(ws) >= 12))
-        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+    "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p7_overlap": _P7 + """,
+        h AS (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN ig USING (g) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
+        SELECT doc_id, item_id, round(k / n, 6) AS question_overlap,
+               CASE WHEN len(i.rs) > 0 THEN contains(' ' || array_to_string(d.ws, ' ') || ' ', ' ' || array_to_string(i.rs, ' ') || ' ') END AS answer_found
+        FROM h JOIN n USING (item_id) JOIN d USING (doc_id) JOIN i USING (item_id)""",
     "p8_found": f"""
         WITH v AS (SELECT doc_id, text, {_sql_visible("text")} AS look FROM documents WHERE text IS NOT NULL)
         SELECT DISTINCT x.doc_id AS doc_id_a, y.doc_id AS doc_id_b
