@@ -28,7 +28,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, d: str) -> DataFrame:
-    return names.link_names(_names(spark, d))
+    return names.linked_names(_names(spark, d))
 
 
 def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:

@@ -61,3 +61,19 @@ def group_pairs(df: DataFrame, key: str, order: str, carry: list[str], block: in
     left = rows.select(key, F.expr(f"cast(pmod(xxhash64(`{order}`), _k) as int)").alias("_s"), *[F.col(c).alias(f"{c}_a") for c in carry])
     right = rows.select(key, F.explode(F.expr("sequence(0, _k - 1)")).alias("_s"), *[F.col(c).alias(f"{c}_b") for c in carry])
     return left.join(right, [key, "_s"]).where(F.col(f"{order}_a") < F.col(f"{order}_b")).drop("_s")
+
+
+def sliced_join(left: DataFrame, right: DataFrame, key: str, order: str, block: int = GROUP_BLOCK) -> DataFrame:
+    """Inner join on ``key`` in which a key of n rows on the right is cut into n / ``block`` slices.
+
+    Rows of the right side lie in one slice each, by the hash of ``order``, and
+    rows of the left side are copied to all slices of their key, so no task
+    gets more than ``block`` right rows of one key.  Null keys never join.
+    """
+    hot = right.groupBy(key).agg(F.count("*").alias("_n")).where(f"_n > {block}").select(key, F.expr(f"cast(ceil(_n / {block}) as int)").alias("_k"))
+    if small_enough(hot, 0):
+        return left.join(right, key)
+    hot = maybe_broadcast(hot)
+    a = left.join(hot, key, "left").withColumn("_s", F.explode(F.expr("sequence(0, coalesce(_k, 1) - 1)"))).drop("_k")
+    b = right.join(hot, key, "left").withColumn("_s", F.expr(f"cast(pmod(xxhash64(`{order}`), coalesce(_k, 1)) as int)")).drop("_k")
+    return a.join(b, [key, "_s"]).drop("_s")
