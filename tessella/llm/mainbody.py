@@ -2,8 +2,8 @@
 
 1. Every page is parsed to a tree of block elements.  Its *shape* is that tree
    without texts, with runs of equal leaves as one repeating leaf; a page is
-   then a shape id and, per leaf, its place in the shape and a hash of its
-   text with numbers masked.  Nothing else of a page is shuffled.
+   then a shape key and, per leaf, its place in the shape and a hash of its
+   text with numbers, addresses and dates masked.  Nothing else of a page is shuffled.
 2. The distinct shapes of a host are aligned by simple tree matching (Yang,
    "Identifying syntactic differences between two programs", 1991) and merged
    into one template tree, the host's wrapper.  Pages of equal shape are
@@ -12,15 +12,19 @@
 3. For each template node, how often two of its texts coincide on different
    pages of the host separates constant nodes (template) from varying slots
    (content).  Hosts with few pages lean on all hosts with like markup.
-4. The template node that holds the page title, or else most varying text, is
-   the main body; blocks nested in it stay only if their slot varies and reads
-   like prose.
+4. The main body of a host is the deepest template node below which most of its
+   varying prose lies.  The page title is a signal beside that: of nested
+   nodes, the one that holds the title directly is the body.  On pages without
+   that node, or where several blocks have its markup, the node that holds the page's
+   title takes its place; where there is none, each slot goes by itself.  A block nested in the body stays only
+   if its slot varies and reads like prose.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,20 +34,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.util import maybe_broadcast, work_partitions
+from tessella.llm.util import maybe_broadcast, sliced_join, work_partitions
 from tessella.operators.scratch import materialize
 
 _TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
 _ATTR = re.compile(r"\b(class|id|role|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
+# Addresses, and months as dates name them.
+_ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.I)
+_MONTH = (
+    r"jan(?:uary|uar|vier)?|feb(?:ruary|ruar|rero)?|f\xe9vrier|mar(?:ch|s|zo)?|m\xe4rz|apr(?:il)?|avril|abril|ma[iy]|mayo|june?|juni|juin|junio|jul[yi]?|juillet|julio|"
+    r"aug(?:ust)?|ao\xfbt|agosto|sep(?:t|tember|tembre|tiembre)?|o[ck]t(?:ober|obre|ubre)?|nov(?:ember|embre|iembre)?|de[cz](?:ember)?|d\xe9cembre|diciembre|enero"
+)
+_DATE = re.compile(rf"\b(?:\d{{1,2}}\.?\s+(?:de\s+)?(?:{_MONTH})\b\.?(?:,?\s+(?:de\s+)?\d{{4}})?|(?:{_MONTH})\b\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|(?:{_MONTH})\b\.?\s+\d{{4}})", re.I)
 _HEX = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 # Kinds of HTML elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr del".split()
 )
-_SKIP = frozenset("script style noscript template svg head title iframe object textarea select".split())
+_SKIP = frozenset("script style noscript template svg title iframe object textarea select".split())
+_IN_HEAD = frozenset("html base link meta script style noscript template title".split())
 _LISTS = frozenset("ul ol dl".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSED_BY = {
@@ -76,6 +88,7 @@ def parse(raw: str) -> tuple[Node, list[Node], str]:
     run: list[str] = []
     linked = False
     depth_skip = ""
+    in_head = False
 
     def flush() -> None:
         nonlocal linked
@@ -95,10 +108,11 @@ def parse(raw: str) -> tuple[Node, list[Node], str]:
     for m in _TOKEN.finditer(raw):
         close, tag, attrs, text = m.groups()
         if text is not None:
-            if depth_skip:
-                if depth_skip == "title" and not title:
-                    title = _SPACE.sub(" ", html.unescape(text)).strip()
-            else:
+            if depth_skip == "title" and not title:
+                title = _SPACE.sub(" ", html.unescape(text)).strip()
+            if not depth_skip and in_head and not text.isspace():
+                in_head = False
+            if not depth_skip and not in_head:
                 run.append(text)
             continue
         if tag is None:
@@ -109,16 +123,12 @@ def parse(raw: str) -> tuple[Node, list[Node], str]:
         if depth_skip:
             if close and tag == depth_skip:
                 depth_skip = ""
-            elif depth_skip == "head" and not close and tag == "title":
-                depth_skip = "title"
-            elif depth_skip == "head" and not close and tag == "body":
-                depth_skip = ""
-            else:
-                continue
-            if tag != "body":
-                if close and tag == "title":
-                    depth_skip = "head" if "</head" in raw[m.end() : m.end() + 200_000].lower() else ""
-                continue
+            continue
+        if tag == "head":
+            in_head = not close
+            continue
+        # a head that is never closed ends with the first element that can't stand in one
+        in_head = in_head and tag in _IN_HEAD
         if tag in _SKIP:
             if not close and not attrs.endswith("/"):
                 depth_skip = tag
@@ -159,6 +169,11 @@ def parse(raw: str) -> tuple[Node, list[Node], str]:
     return root, leaves, title
 
 
+def allow_depth() -> None:
+    """Let functions over trees recur as deep as markup nests; they are plain Python calls, which take no stack of the process."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+
+
 # A shape is a nested tuple (label, (shape, ...)); a template node adds what the alignment gathers.
 
 
@@ -281,17 +296,22 @@ def merge(a: tuple, b: Slot, weight: int, memo: dict | None = None) -> None:
 
 def dump_template(b: Slot) -> str:
     """Template as text; inverse of ``load_template``."""
-    return f"{b.label}\x03{b.weight}\x01" + "".join(dump_template(k) for k in b.kids) + "\x02"
+    out: list[str] = []
+    stack: list = [b]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            out.append("\x02")
+        else:
+            out.append(f"{x.label}\x03{x.weight}\x01")
+            stack.append(None)
+            stack.extend(reversed(x.kids))
+    return "".join(out)
 
 
 def load_template(s: str) -> tuple:
     """Template as a shape whose nodes carry their weights."""
-
-    def weighted(x: tuple) -> tuple:
-        label, _, w = x[0].partition("\x03")
-        return (label, tuple(weighted(k) for k in x[1]), int(w))
-
-    return weighted(load(s))
+    return load(s, True)
 
 
 def places(a: tuple, b: Slot) -> list[int]:
@@ -309,13 +329,26 @@ def places(a: tuple, b: Slot) -> list[int]:
     return out
 
 
+_CONTROL = {1: "", 2: "", 3: ""}
+
+
 def dump(shape: tuple) -> str:
-    """Shape as text; labels hold neither of the three control characters."""
-    return shape[0].translate({1: "", 2: "", 3: ""}) + "\x01" + "".join(dump(k) for k in shape[1]) + "\x02"
+    """Shape as text; labels hold none of the three control characters."""
+    out: list[str] = []
+    stack: list = [shape]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            out.append("\x02")
+        else:
+            out.append(x[0].translate(_CONTROL) + "\x01")
+            stack.append(None)
+            stack.extend(reversed(x[1]))
+    return "".join(out)
 
 
-def load(s: str) -> tuple:
-    """Inverse of ``dump``."""
+def load(s: str, weighted: bool = False) -> tuple:
+    """Inverse of ``dump``, or of ``dump_template``."""
     stack: list[tuple[str, list]] = [("", [])]
     a = 0
     for j, c in enumerate(s):
@@ -324,11 +357,26 @@ def load(s: str) -> tuple:
             a = j + 1
         elif c == "\x02":
             lab, kids = stack.pop()
-            stack[-1][1].append((lab, tuple(kids)))
+            if weighted:
+                lab, _, w = lab.partition("\x03")
+                stack[-1][1].append((lab, tuple(kids), int(w)))
+            else:
+                stack[-1][1].append((lab, tuple(kids)))
             a = j + 1
     return stack[0][1][0]
 
 
+@lru_cache(maxsize=100_000)
+def masked(text: str) -> str:
+    """A text with numbers, addresses and dates masked, blanks and case evened out."""
+    t = text
+    if "@" in t or "://" in t or "www." in t:
+        t = _ADDRESS.sub("@", t)
+    if _DIGITS.search(t):
+        t = _DIGITS.sub("#", _DATE.sub("#", t))
+    return " ".join(t.lower().split())
+
+
 #: Flag of a leaf that is a heading or repeats the page title; other bits are the caller's.
 HEADING = 1
 PAGE_SCHEMA = "id {kind}, shape string, leaves array<struct<place int, text_key bigint, size int, link boolean, seg_pos int, flags int>>"
@@ -362,6 +410,7 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
     kind = dict(src.dtypes)["id"]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        allow_depth()
         for b in batches:
             shapes, leaves = [], []
             for raw, segs in zip(b.column("raw").to_pylist(), b.column("segments").to_pylist()):
@@ -382,7 +431,7 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
                     [
                         {
                             "place": place.get(id(x), 0),
-                            "text_key": xxhash.xxh3_64_intdigest(_DIGITS.sub("#", x.text)) - (1 << 63),
+                            "text_key": xxhash.xxh3_64_intdigest(masked(x.text)) - (1 << 63),
                             "size": len(x.text),
                             "link": x.link,
                             "seg_pos": p,
@@ -397,9 +446,6 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
     return src.mapInArrow(fn, PAGE_SCHEMA.format(kind=kind))
 
 
-_WRAPPER = "host string, shape string, paths array<string>, main int, inside array<boolean>, lone array<boolean>"
-
-
 def _family(label: str) -> str:
     """Label without generated parts, so that like markup of different hosts falls together."""
     return _HEX.sub("#", label)
@@ -409,31 +455,33 @@ def _nodes(shape: tuple) -> tuple[list[str], list[int]]:
     """Labels and parents of a shape's nodes in preorder."""
     labels: list[str] = []
     parents: list[int] = []
-
-    def walk(x: tuple, up: int) -> None:
+    stack: list[tuple[tuple, int]] = [(shape, -1)]
+    while stack:
+        x, up = stack.pop()
         k = len(labels)
         labels.append(x[0])
         parents.append(up)
-        for y in x[1]:
-            walk(y, k)
-
-    walk(shape, -1)
+        stack.extend((y, k) for y in reversed(x[1]))
     return labels, parents
 
 
 def _slot(x: tuple) -> Slot:
     s = Slot(x[0])
     s.weight = x[2]
-    s.kids = [_slot(k) for k in x[1]]
+    for k in x[1]:
+        s.kids.append(_slot(k))
     return s
 
 
 #: Shapes, or templates of parts, that one task merges into one template.
 MERGE_BLOCK = 64
+#: Shapes that are aligned with one copy of their host's template.
+ALIGN_BLOCK = 256
 
 
 def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
     """Template of one block of a host's distinct shapes or partial templates, the most frequent first."""
+    allow_depth()
     pdf = pdf.sort_values(["n", "tree"], ascending=[False, True])
     top = Slot("#")
     for tree, n in zip(pdf["tree"], pdf["n"]):
@@ -453,117 +501,196 @@ def host_templates(kinds: DataFrame) -> DataFrame:
             return cur.select("host", F.col("tree").alias("template"))
 
 
-@lru_cache(maxsize=256)
-def _template(text: str) -> tuple[Slot, list[str], int]:
-    """Template, paths of its nodes, and the node that directly holds the title on most pages (-1: none)."""
+@lru_cache(maxsize=64)
+def _template(text: str) -> tuple[Slot, list[str], list[int], dict[int, int]]:
+    """Template, paths and parents of its nodes, and on how many pages a node directly holds the title."""
     top = _slot(load_template(text))
     paths: list[str] = []
+    parents: list[int] = []
     heads: dict[int, int] = {}
-
-    def number(s: Slot, path: str) -> None:
+    stack: list[tuple[Slot, str, int]] = [(top, "", -1)]
+    while stack:
+        s, path, up = stack.pop()
         s.no = len(paths)
         paths.append(path)
-        for k in s.kids:
+        parents.append(up)
+        for k in reversed(s.kids):
             if k.label == "h1":
                 heads[s.no] = heads.get(s.no, 0) + k.weight
-            number(k, path + "/" + _family(k.label))
+            stack.append((k, path + "/" + _family(k.label), s.no))
+    return top, paths, parents, heads
 
-    number(top, "")
-    return top, paths, max(heads, key=lambda k: (heads[k], -k)) if heads else -1
 
+_ALIGNED = "kind string, host string, nos array<int>, paths array<string>, parents array<int>, lists array<boolean>, title int"
 
-def _judged(shape_text: str, template: str) -> tuple[list[str], int, list[bool], list[bool]]:
-    """Paths, main node, membership in it, and nesting of the nodes of one shape.
 
-    A page's main body is the node that directly holds its title; on pages
-    without one, the node aligned with the template node that holds the title
-    on most pages.
-    """
-    top, paths, common = _template(template)
-    shape = load(shape_text)
-    labels, parents = _nodes(shape)
-    slots = places(shape, top)
-    size = [1] * len(labels)
-    for k in range(len(labels) - 1, 0, -1):
-        size[parents[k]] += size[k]
-    held = [parents[k] for k, lab in enumerate(labels) if lab == "h1"]
-    if held:
-        main = max(held, key=lambda k: (size[k], -k))
-    else:
-        main = slots.index(common) if common >= 0 and common in slots else -1
-    inside, lone = [], []
-    for k, up in enumerate(parents):
-        is_in = k == main or (up >= 0 and inside[up])
-        inside.append(is_in)
-        # a block of its own within the main body: neither a text of it nor an entry of a list of it
-        box = up >= 0 and up != main and labels[up].partition(".")[0] not in _LISTS
-        lone.append(is_in and k != main and (box or (up >= 0 and lone[up])))
-    return [paths[j] if j >= 0 else "?" for j in slots], main, inside, lone
-
-
-def host_wrappers(kinds: DataFrame) -> DataFrame:
-    """Step 2: every distinct shape of every host aligned with the host's template."""
+def align_shapes(kinds: DataFrame, templates: DataFrame) -> DataFrame:
+    """Step 2: every distinct shape of every host aligned with the host's template.
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [_judged(s, t) for s, t in zip(b.column("shape").to_pylist(), b.column("template").to_pylist())]
-            cols = [pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.list_(pa.bool_())), pa.array([m[3] for m in made], pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("shape"), *cols], names=["host", "shape", "paths", "main", "inside", "lone"])
+    Per node of the shape in preorder: number and path of its template node
+    (-1 and '?' for none), its parent, whether it is a list; and the node that
+    directly holds the page title (-1 for none).
+    """
+    many = kinds.groupBy("host").agg(F.ceil(F.count("*") / ALIGN_BLOCK).alias("blocks"))
+    left = kinds.join(many, "host").select("host", F.expr("pmod(xxhash64(kind), blocks)").alias("block"), "kind", "shape")
+    right = templates.join(many, "host").select(F.col("host").alias("thost"), F.explode(F.expr("sequence(0, cast(blocks as bigint) - 1)")).alias("tblock"), "template")
+
+    def fn(shapes: pa.Table, template: pa.Table) -> pa.Table:
+        allow_depth()
+        cols: dict[str, list] = {c: [] for c in ("nos", "paths", "parents", "lists", "title")}
+        top, paths, _, _ = _template(template["template"][0].as_py())
+        for text in shapes["shape"].to_pylist():
+            shape = load(text)
+            labels, parents = _nodes(shape)
+            nos = places(shape, top)
+            size = [1] * len(labels)
+            for k in range(len(labels) - 1, 0, -1):
+                size[parents[k]] += size[k]
+            held = [parents[k] for k, lab in enumerate(labels) if lab == "h1"]
+            cols["nos"].append(nos)
+            cols["paths"].append([paths[j] if j >= 0 else "?" for j in nos])
+            cols["parents"].append(parents)
+            cols["lists"].append([lab.partition(".")[0] in _LISTS for lab in labels])
+            cols["title"].append(max(held, key=lambda k: (size[k], -k)) if held else -1)
+        types = {"nos": pa.list_(pa.int32()), "paths": pa.list_(pa.string()), "parents": pa.list_(pa.int32()), "lists": pa.list_(pa.bool_()), "title": pa.int32()}
+        return pa.table([shapes["kind"], shapes["host"], *[pa.array(cols[c], types[c]) for c in types]], names=["kind", "host", *types])
 
-    shapes = kinds.select("host", "shape").repartition(work_partitions(kinds), "host", "shape")
-    return shapes.join(maybe_broadcast(host_templates(kinds), 5_000), "host").select("host", "shape", "template").mapInArrow(fn, _WRAPPER)
+    parts = work_partitions(kinds)
+    return left.repartition(parts, "host", "block").groupBy("host", "block").cogroup(right.repartition(parts, "thost", "tblock").groupBy("thost", "tblock")).applyInArrow(fn, _ALIGNED)
 
 
 #: Occurrences that the pooled rate of like markup counts for beside a host's own.
 PRIOR = 50.0
 #: Two texts of a slot coincide at this rate or more: template.
 CONSTANT = 0.005
-#: Mean characters of a text below which a nested block isn't prose.
+#: Mean characters of a text below which a slot isn't prose.
 PROSE = 80
+#: Share of a host's varying prose that lies below its main body.
+MOST = 0.5
 
 
-def classify_leaves(pages: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Steps 2 to 4: ``(id, seg_pos, main_body, text_key, size, flags, host)`` for every leaf.
+def slot_statistics(leaf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Step 3 from leaves ``(host, no, path, text_key, size, link)``: ``(host, path, template)`` and ``(host, no, mass)``.
 
-    ``pages`` is a written result of ``page_shapes``; ``hosts`` is
-    ``(id, host)`` with one row per id.  Pages without a host are hosts of
-    their own.
+    ``template`` says that a slot is constant, links, or too short for prose;
+    ``mass`` are the characters of a node's varying texts.
     """
-    at = pages.join(hosts, "id", "left").withColumn("host", F.coalesce(F.col("host"), F.concat(F.lit("?"), F.col("id").cast("string"))))
-    at = materialize(at, "pages")
-    wrap = materialize(host_wrappers(materialize(at.groupBy("host", "shape").agg(F.count("*").alias("n")), "shapes")), "wrapper")
-    leaf = (
-        at.join(wrap, ["host", "shape"])
-        .select("id", "host", "paths", "main", "inside", "lone", F.explode("leaves").alias("x"))
-        .select(
-            "id", "host", "main", "x.text_key", "x.size", "x.link", "x.seg_pos", "x.flags",
-            F.expr("paths[x.place]").alias("path"), F.expr("inside[x.place]").alias("inside"), F.expr("lone[x.place]").alias("lone"),
-        )
-    )
-    leaf = materialize(leaf, "leaves")
-    open_ = leaf.where("lone OR main < 0")  # only these need the statistics
-    text = open_.groupBy("host", "path", "text_key").agg(
-        F.count("*").alias("n"), F.sum("size").alias("chars"), F.sum(F.col("link").cast("int")).alias("links")
+    text = materialize(
+        leaf.groupBy("host", "no", "path", "text_key").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.sum(F.col("link").cast("int")).alias("links")), "texts"
     )
-    own = text.groupBy("host", "path").agg(
+    per = text.groupBy("host", "path", "text_key").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    own = per.groupBy("host", "path").agg(
         F.sum("n").alias("n"), F.sum(F.expr("n * (n - 1)")).alias("hits"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
     fam = (
         text.groupBy("path", "text_key").agg(F.sum("n").alias("n"))
         .groupBy("path").agg((F.sum(F.expr("n * (n - 1)")) / F.greatest(F.sum("n") * (F.sum("n") - 1), F.lit(1))).alias("rate"))
     )
-    slot = materialize(
-        own.join(fam, "path").select(
-            "host", "path",
-            F.expr(
-                f"(hits + {PRIOR} * rate) / (n * (n - 1) + {PRIOR}) >= {CONSTANT} OR links >= 0.5 * n OR chars < {PROSE} * n"
-            ).alias("template"),
-        ),
-        "slots",
+    constant = f"(hits + {PRIOR} * rate) / (n * (n - 1) + {PRIOR}) >= {CONSTANT}"
+    slots = materialize(
+        own.join(fam, "path").select("host", "path", F.expr(f"{constant} OR links >= 0.5 * n OR chars < {PROSE} * n").alias("template"), F.expr(constant).alias("constant")), "slots"
+    )
+    # a node's varying texts are those that stand on one page only
+    mass = text.groupBy("host", "no").agg(F.sum(F.expr("CASE WHEN n = 1 AND links = 0 THEN chars ELSE 0 END")).alias("mass"))
+    return slots, mass
+
+
+def host_bodies(templates: DataFrame, mass: DataFrame) -> DataFrame:
+    """Step 4 per host: ``(host, main)``, the number of the template node that is the main body, or -1."""
+    per = mass.where("no >= 0").groupBy("host").agg(F.collect_list(F.struct("no", "mass")).alias("masses"))
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            mains = []
+            for text, masses in zip(b.column("template").to_pylist(), b.column("masses").to_pylist()):
+                _, paths, parents, heads = _template(text)
+                below = [0] * len(paths)
+                for x in masses or ():
+                    below[x["no"]] += x["mass"]
+                inner = [True] * len(paths)
+                for k in range(len(paths) - 1, 0, -1):
+                    below[parents[k]] += below[k]
+                    inner[parents[k]] = False
+                # the deepest container below which most of the varying prose lies: numbers grow with depth along a chain
+                deep = max((k for k in range(len(paths)) if not inner[k] and below[k] >= MOST * below[0] and below[0]), default=-1)
+                while deep > 0 and paths[deep].rpartition("/")[2].partition(".")[0] in _LISTS:
+                    deep = parents[deep]
+                up: set[int] = set()
+                k = deep
+                while k >= 0:
+                    up.add(k)
+                    k = parents[k]
+                titled = max(heads, key=lambda k: (heads[k], -k)) if heads else -1
+                k = titled
+                nested = titled in up
+                while k >= 0 and not nested:
+                    nested = k == deep
+                    k = parents[k]
+                mains.append(titled if titled >= 0 and (nested or deep < 0) else deep)
+            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(mains, pa.int32())], names=["host", "main"])
+
+    return templates.join(per, "host", "left").select("host", "template", "masses").mapInArrow(fn, "host string, main int")
+
+
+#: What decided on a leaf: it lies in the host's main body or outside it, in a page's own title block or outside, or by its slot.
+RULES = ("body", "outside", "title block", "outside title block", "nested slot", "slot")
+_JUDGED = "kind string, body array<boolean>, rule array<int>"
+
+
+def judge_shapes(aligned: DataFrame, mains: DataFrame, slots: DataFrame) -> DataFrame:
+    """Step 4 per shape: whether each node is main body, and by which of ``RULES``."""
+    per = slots.where("NOT template").groupBy("host").agg(F.collect_list("path").alias("varying"))
+    many = aligned.groupBy("host").agg(F.ceil(F.count("*") / ALIGN_BLOCK).alias("blocks"))
+    left = aligned.join(many, "host").withColumn("block", F.expr("pmod(xxhash64(kind), blocks)")).drop("blocks")
+    right = mains.join(per, "host", "left").join(many, "host").select(
+        F.col("host").alias("thost"), F.explode(F.expr("sequence(0, cast(blocks as bigint) - 1)")).alias("tblock"), "main", "varying"
     )
-    return leaf.join(slot, ["host", "path"], "left").select(
-        "id", "host", "seg_pos", "text_key", "size", "flags",
-        F.expr("CASE WHEN main < 0 THEN NOT coalesce(template, true) WHEN lone THEN NOT coalesce(template, true) ELSE inside END").alias("main_body"),
+
+    def fn(shapes: pa.Table, host: pa.Table) -> pa.Table:
+        main_no, varying = host["main"][0].as_py(), set(host["varying"][0].as_py() or ())
+        bodies, rules = [], []
+        for nos, paths, parents, lists, title in zip(*(shapes[c].to_pylist() for c in ("nos", "paths", "parents", "lists", "title"))):
+            main = nos.index(main_no) if main_no >= 0 and main_no in nos else -1
+            # without that node, or among blocks of like markup, the page's own title tells which is meant
+            own = title >= 0 and (main < 0 or (title != main and paths[title] == paths[main]))
+            main = title if own else main
+            inside, lone, body, rule = [], [], [], []
+            for k, up in enumerate(parents):
+                is_in = k == main or (up >= 0 and inside[up])
+                inside.append(is_in)
+                # a block of its own within the main body: neither a text of it nor an entry of a list of it
+                lone.append(is_in and k != main and ((up != main and not lists[up]) or lone[up]))
+                if main < 0 or lone[k]:
+                    body.append(paths[k] in varying)
+                    rule.append(5 if main < 0 else 4)
+                else:
+                    body.append(is_in)
+                    rule.append((0 if is_in else 1) + 2 * own)
+            bodies.append(body)
+            rules.append(rule)
+        return pa.table([shapes["kind"], pa.array(bodies, pa.list_(pa.bool_())), pa.array(rules, pa.list_(pa.int32()))], names=["kind", "body", "rule"])
+
+    return left.groupBy("host", "block").cogroup(right.groupBy("thost", "tblock")).applyInArrow(fn, _JUDGED)
+
+
+def classify_leaves(pages: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Steps 2 to 4: ``(id, host, seg_pos, text_key, size, flags, main_body, rule)`` for every leaf.
+
+    ``pages`` is a result of ``page_shapes``; ``hosts`` is ``(id, host)`` with
+    one row per id.  Pages without a host are hosts of their own.
+    """
+    at = pages.join(hosts, "id", "left").withColumn("host", F.coalesce(F.col("host"), F.concat(F.lit("?"), F.col("id").cast("string"))))
+    at = materialize(at.withColumn("kind", F.md5(F.concat_ws("\x01", "host", "shape"))), "pages")
+    kinds = materialize(at.groupBy("host", "kind").agg(F.first("shape").alias("shape"), F.count("*").alias("n")), "shapes")
+    templates = host_templates(kinds)
+    aligned = materialize(align_shapes(kinds, templates), "aligned")
+    leaf = sliced_join(aligned.select("kind", "nos", "paths"), at.select("id", "host", "kind", "leaves"), "kind", "id").select(
+        "host", "nos", "paths", F.explode("leaves").alias("x")
+    ).select("host", F.expr("nos[x.place]").alias("no"), F.expr("paths[x.place]").alias("path"), "x.text_key", "x.size", "x.link")
+    slots, mass = slot_statistics(leaf)
+    judged = materialize(judge_shapes(aligned, host_bodies(templates, mass), slots), "judged")
+    return sliced_join(judged, at.select("id", "host", "kind", "leaves"), "kind", "id").select("id", "host", "body", "rule", F.explode("leaves").alias("x")).select(
+        "id", "host", "x.seg_pos", "x.text_key", "x.size", "x.flags", F.expr("body[x.place]").alias("main_body"), F.expr("rule[x.place]").alias("rule")
     )
 
 
@@ -586,6 +713,13 @@ def boilerplate_segments(
     return leaves.where("seg_pos >= 0 AND NOT main_body").select(F.col("id").alias("doc_id"), "seg_pos").distinct()
 
 
+def decisions(pages: DataFrame, docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw", segments_col: str = "segments", url_col: str = "url") -> DataFrame:
+    """``(rule, main_body, n)``: number of leaves on which each of ``RULES`` decided, and how."""
+    leaves = classify_leaves(page_shapes(pages, id_col, raw_col, segments_col), page_hosts(docs, id_col, url_col))
+    name = F.get(F.array(*map(F.lit, RULES)), F.col("rule"))
+    return leaves.groupBy(name.alias("rule"), "main_body").agg(F.count("*").alias("n"))
+
+
 def main_bodies(
     pages: DataFrame, docs: DataFrame, id_col: str = "doc_id", raw_col: str = "raw", segments_col: str = "segments", url_col: str = "url"
 ) -> DataFrame:

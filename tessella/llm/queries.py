@@ -60,6 +60,10 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     return mainbody.main_bodies(_t(spark, d, "parsed_docs"), _t(spark, d, "docs"))
 
 
+def p5_rules(spark: SparkSession, d: str) -> DataFrame:
+    return mainbody.decisions(_t(spark, d, "parsed_docs"), _t(spark, d, "docs"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -90,7 +94,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p6_containers, p7_found, p7_overlap, p8_found,
+        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p5_rules, p6_containers, p7_found, p7_overlap, p8_found,
         p8_classes, p8_forms,
     )
 }
