@@ -573,7 +573,7 @@ def slot_statistics(leaf: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Step 3 from leaves ``(host, no, path, text_key, size, link)``: ``(host, path, template)`` and ``(host, no, mass)``.
 
     ``template`` says that a slot is constant, links, or too short for prose;
-    ``mass`` are the characters of a node's varying texts.
+    ``mass`` are the characters in a node that is a varying slot of prose.
     """
     text = materialize(
         leaf.groupBy("host", "no", "path", "text_key").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.sum(F.col("link").cast("int")).alias("links")), "texts"
@@ -588,10 +588,10 @@ def slot_statistics(leaf: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     constant = f"(hits + {PRIOR} * rate) / (n * (n - 1) + {PRIOR}) >= {CONSTANT}"
     slots = materialize(
-        own.join(fam, "path").select("host", "path", F.expr(f"{constant} OR links >= 0.5 * n OR chars < {PROSE} * n").alias("template"), F.expr(constant).alias("constant")), "slots"
+        own.join(fam, "path").select("host", "path", F.expr(f"{constant} OR links >= 0.5 * n OR chars < {PROSE} * n").alias("template")), "slots"
     )
-    # a node's varying texts are those that stand on one page only
-    mass = text.groupBy("host", "no").agg(F.sum(F.expr("CASE WHEN n = 1 AND links = 0 THEN chars ELSE 0 END")).alias("mass"))
+    prose = slots.where("NOT template").select("host", "path")
+    mass = text.groupBy("host", "no", "path").agg(F.sum("chars").alias("chars")).join(prose, ["host", "path"]).groupBy("host", "no").agg(F.sum("chars").alias("mass"))
     return slots, mass
 
 
