@@ -366,7 +366,6 @@ def load(s: str, weighted: bool = False) -> tuple:
     return stack[0][1][0]
 
 
-@lru_cache(maxsize=100_000)
 def masked(text: str) -> str:
     """A text with numbers, addresses and dates masked, blanks and case evened out."""
     t = text
@@ -466,11 +465,15 @@ def _nodes(shape: tuple) -> tuple[list[str], list[int]]:
 
 
 def _slot(x: tuple) -> Slot:
-    s = Slot(x[0])
-    s.weight = x[2]
-    for k in x[1]:
-        s.kids.append(_slot(k))
-    return s
+    top = Slot(x[0])
+    stack = [(x, top)]
+    while stack:
+        y, s = stack.pop()
+        s.weight = y[2]
+        for k in y[1]:
+            s.kids.append(Slot(k[0]))
+            stack.append((k, s.kids[-1]))
+    return top
 
 
 #: Shapes, or templates of parts, that one task merges into one template.
@@ -501,34 +504,43 @@ def host_templates(kinds: DataFrame) -> DataFrame:
             return cur.select("host", F.col("tree").alias("template"))
 
 
+class Template:
+    """Host's template with its nodes numbered in preorder: paths (64-bit hashes of the labels from the root), parents, lists, and title holders by pages."""
+
+    def __init__(self, text: str):
+        self.top = _slot(load_template(text))
+        self.paths: list[int] = []
+        self.parents: list[int] = []
+        self.lists: list[bool] = []
+        self.heads: dict[int, int] = {}
+        stack: list[tuple[Slot, int, int]] = [(self.top, 0, -1)]
+        while stack:
+            s, path, up = stack.pop()
+            s.no = len(self.paths)
+            self.paths.append(path)
+            self.parents.append(up)
+            self.lists.append(s.label.partition(".")[0] in _LISTS)
+            for k in reversed(s.kids):
+                if k.label == "h1":
+                    self.heads[s.no] = self.heads.get(s.no, 0) + k.weight
+                stack.append((k, xxhash.xxh3_64_intdigest(f"{path}/{_family(k.label)}") - (1 << 63), s.no))
+
+
 @lru_cache(maxsize=64)
-def _template(text: str) -> tuple[Slot, list[str], list[int], dict[int, int]]:
-    """Template, paths and parents of its nodes, and on how many pages a node directly holds the title."""
-    top = _slot(load_template(text))
-    paths: list[str] = []
-    parents: list[int] = []
-    heads: dict[int, int] = {}
-    stack: list[tuple[Slot, str, int]] = [(top, "", -1)]
-    while stack:
-        s, path, up = stack.pop()
-        s.no = len(paths)
-        paths.append(path)
-        parents.append(up)
-        for k in reversed(s.kids):
-            if k.label == "h1":
-                heads[s.no] = heads.get(s.no, 0) + k.weight
-            stack.append((k, path + "/" + _family(k.label), s.no))
-    return top, paths, parents, heads
+def _template(text: str) -> Template:
+    return Template(text)
 
 
-_ALIGNED = "kind string, host string, nos array<int>, paths array<string>, parents array<int>, lists array<boolean>, title int"
+#: Path of nodes that no template node is aligned with.
+NOWHERE = -1
+_ALIGNED = "kind string, host string, nos array<int>, paths array<bigint>, parents array<int>, lists array<boolean>, title int"
 
 
 def align_shapes(kinds: DataFrame, templates: DataFrame) -> DataFrame:
     """Step 2: every distinct shape of every host aligned with the host's template.
 
     Per node of the shape in preorder: number and path of its template node
-    (-1 and '?' for none), its parent, whether it is a list; and the node that
+    (-1 for none), its parent, whether it is a list; and the node that
     directly holds the page title (-1 for none).
     """
     many = kinds.groupBy("host").agg(F.ceil(F.count("*") / ALIGN_BLOCK).alias("blocks"))
@@ -538,21 +550,21 @@ def align_shapes(kinds: DataFrame, templates: DataFrame) -> DataFrame:
     def fn(shapes: pa.Table, template: pa.Table) -> pa.Table:
         allow_depth()
         cols: dict[str, list] = {c: [] for c in ("nos", "paths", "parents", "lists", "title")}
-        top, paths, _, _ = _template(template["template"][0].as_py())
+        host = _template(template["template"][0].as_py())
         for text in shapes["shape"].to_pylist():
             shape = load(text)
             labels, parents = _nodes(shape)
-            nos = places(shape, top)
+            nos = places(shape, host.top)
             size = [1] * len(labels)
             for k in range(len(labels) - 1, 0, -1):
                 size[parents[k]] += size[k]
             held = [parents[k] for k, lab in enumerate(labels) if lab == "h1"]
             cols["nos"].append(nos)
-            cols["paths"].append([paths[j] if j >= 0 else "?" for j in nos])
+            cols["paths"].append([host.paths[j] if j >= 0 else NOWHERE for j in nos])
             cols["parents"].append(parents)
             cols["lists"].append([lab.partition(".")[0] in _LISTS for lab in labels])
             cols["title"].append(max(held, key=lambda k: (size[k], -k)) if held else -1)
-        types = {"nos": pa.list_(pa.int32()), "paths": pa.list_(pa.string()), "parents": pa.list_(pa.int32()), "lists": pa.list_(pa.bool_()), "title": pa.int32()}
+        types = {"nos": pa.list_(pa.int32()), "paths": pa.list_(pa.int64()), "parents": pa.list_(pa.int32()), "lists": pa.list_(pa.bool_()), "title": pa.int32()}
         return pa.table([shapes["kind"], shapes["host"], *[pa.array(cols[c], types[c]) for c in types]], names=["kind", "host", *types])
 
     parts = work_partitions(kinds)
@@ -603,17 +615,18 @@ def host_bodies(templates: DataFrame, mass: DataFrame) -> DataFrame:
         for b in batches:
             mains = []
             for text, masses in zip(b.column("template").to_pylist(), b.column("masses").to_pylist()):
-                _, paths, parents, heads = _template(text)
-                below = [0] * len(paths)
+                t = _template(text)
+                parents, heads, n = t.parents, t.heads, len(t.parents)
+                below = [0] * n
                 for x in masses or ():
                     below[x["no"]] += x["mass"]
-                inner = [True] * len(paths)
-                for k in range(len(paths) - 1, 0, -1):
+                leaf = [True] * n
+                for k in range(n - 1, 0, -1):
                     below[parents[k]] += below[k]
-                    inner[parents[k]] = False
+                    leaf[parents[k]] = False
                 # the deepest container below which most of the varying prose lies: numbers grow with depth along a chain
-                deep = max((k for k in range(len(paths)) if not inner[k] and below[k] >= MOST * below[0] and below[0]), default=-1)
-                while deep > 0 and paths[deep].rpartition("/")[2].partition(".")[0] in _LISTS:
+                deep = max((k for k in range(n) if not leaf[k] and below[k] >= MOST * below[0] and below[0]), default=-1)
+                while deep > 0 and t.lists[deep]:
                     deep = parents[deep]
                 up: set[int] = set()
                 k = deep

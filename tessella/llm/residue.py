@@ -1,16 +1,22 @@
 """Template residue and error pages (problem 4).
 
-Lines are compared with numbers, addresses and dates masked, by exact hash,
-over all sources.  A line is classified by phrase and placeholder rules; in
-addition, a line that recurs on several hosts and stands mostly beside error
-messages belongs to them whatever it says.  Furniture of the page (found by
-the wrappers of ``mainbody``) is left out before a page counts as nothing but
-a message.  Statuses and error columns play no part.
+1. Every block of text gets an exact hash of its normalised form, in which
+   numbers, addresses and dates are masked (``mainbody.masked``), and the marks
+   that phrase and placeholder rules find in it.
+2. Blocks are grouped by that hash over all sources.  A group is classified by
+   the marks of its members, and a group without any that recurs on several
+   hosts and stands mostly beside messages goes with them whatever it says.
+3. A page is judged by the groups of its blocks: a placeholder or filler
+   anywhere is enough; a message has to be all there is once the furniture of
+   the page, found by the wrappers of ``mainbody``, is left out.
+
+Statuses and error columns play no part.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 from re import _constants as sre_constants
 from re import _parser as sre_parser
@@ -19,11 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.mainbody import HEADING, classify_leaves, page_hosts, page_shapes
+from tessella.llm.util import maybe_broadcast
 from tessella.operators.scratch import materialize
 
+try:
+    import ahocorasick
+except ImportError:  # strings are looked up one by one
+    ahocorasick = None
+
 PLACEHOLDER, FILLER, MESSAGE, DETAIL = 2, 4, 8, 16
-#: A line of more characters is prose, not a message.
-MESSAGE_CHARS = 160
+#: Share of a block's characters in sentences that are a message or go with one, for the block to be one.
+MESSAGE_SHARE = 0.4
 #: Hosts on which a line must recur, and share of its pages that must hold a message, to count as part of messages.
 RECURS_HOSTS, RECURS_SHARE = 3, 0.5
 
@@ -176,13 +188,24 @@ class _AnyOf:
                 self.always.append(search)
             for x in lits or ():
                 self.by.setdefault(x, []).append(search)
+        self.words = None
+        if ahocorasick is not None:  # all strings in one pass over the text
+            self.words = ahocorasick.Automaton()
+            for x in self.by:
+                self.words.add_word(x, x)
+            self.words.make_automaton()
+
+    def _found(self, low: str) -> Iterable[str]:
+        if self.words is not None:
+            return {x for _, x in self.words.iter(low)}
+        return [x for x in self.by if x in low]
 
     def search(self, text: str, low: str) -> bool:
         """Whether ``text``, in lower case ``low``, has a match."""
         if _FOLDS.search(text):
             return bool(self.pattern.search(text))
-        for x, searches in self.by.items():
-            if x in low and any(f(text) for f in searches):
+        for x in self._found(low):
+            if any(f(text) for f in self.by[x]):
                 return True
         return any(f(text) for f in self.always)
 
@@ -193,11 +216,6 @@ _FIND_FILLER, _FIND_MESSAGE, _FIND_DETAIL = _AnyOf(_FILLER), _AnyOf(_MESSAGE), _
 _TOKENS = re.compile(r"[^\W\d_]+")
 
 
-def flag_line(text: str) -> int:
-    """Bits PLACEHOLDER, FILLER, MESSAGE, DETAIL of one block of text; 0 for the empty text."""
-    return _flag_short(text) if len(text) <= MESSAGE_CHARS else _flag_long(text)
-
-
 def _placeholder(text: str) -> int:
     if not ("[" in text or "{" in text or "<" in text or "%" in text or "__" in text or "(" in text or "XXXX" in text or "TODO" in text or "undefined" in text
             or "TBD" in text or "TBC" in text or "FIXME" in text):
@@ -226,32 +244,53 @@ def _latin(text: str, words: list[str]) -> int:
     return 0
 
 
-@lru_cache(maxsize=200_000)
-def _flag_short(text: str) -> int:
-    """Short blocks recur on many pages; each is judged once per worker."""
-    low = text.lower()
-    bits = _placeholder(text) | _latin(text, _TOKENS.findall(low))
-    bare = text.strip(" .:!")
-    if not bits & FILLER and _FIND_FILLER.search(bare, low):
-        bits |= FILLER
-    kind = MESSAGE if _FIND_MESSAGE.search(bare, low) else DETAIL if _FIND_DETAIL.search(bare, low) else 0
-    if kind and not _ABOUT.search(text):
-        bits |= kind
-    return bits
+_SENTENCES = re.compile(r"(?<=[.!?:])\s+|\n")
+
 
+def _kind(sentence: str, low: str) -> int:
+    """MESSAGE, DETAIL or 0 of one sentence."""
+    bare = sentence.strip(" .:!")
+    return MESSAGE if _FIND_MESSAGE.search(bare, low) else DETAIL if _FIND_DETAIL.search(bare, low) else 0
 
-def _flag_long(text: str) -> int:
-    """Rules of filler hold for the block, those of a whole line for each of its sentences."""
+
+def flag_line(text: str) -> int:
+    """Bits PLACEHOLDER, FILLER, MESSAGE, DETAIL of one block of text of any length; 0 for the empty text.
+
+    Placeholders and filler count wherever they stand.  A block is a message,
+    or the detail of one, if sentences that are make up ``MESSAGE_SHARE`` of
+    its characters and none of it talks about messages.
+    """
+    # short blocks recur on many pages and are judged once per worker
+    return _flag_once(text) if len(text) <= 200 else _flag(text)
+
+
+def _flag(text: str) -> int:
     low = text.lower()
-    bits = _placeholder(text) | _latin(text, low.replace(",", " ").replace(".", " ").split())
-    if bits & FILLER:
+    bits = _placeholder(text) | _latin(text, _TOKENS.findall(low))
+    sentences = None
+    if not bits & FILLER:
+        if _FIND_FILLER.search(text.strip(" .:!"), low):
+            bits |= FILLER
+        else:
+            sentences = _SENTENCES.split(text)
+            if len(sentences) > 1 and any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in sentences):
+                bits |= FILLER
+    whole = _kind(text, low)
+    if not whole or _ABOUT.search(text):
         return bits
-    if _FIND_FILLER.search(text, low) or any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in _SENTENCES.split(text)):
-        bits |= FILLER
+    sentences = sentences or _SENTENCES.split(text)
+    if len(sentences) == 1:
+        return bits | whole
+    kinds = [_kind(s, s.lower()) for s in sentences]
+    size = sum(map(len, sentences))
+    if sum(len(s) for s, k in zip(sentences, kinds) if k) >= MESSAGE_SHARE * size:
+        bits |= MESSAGE if MESSAGE in kinds or whole == MESSAGE else DETAIL
     return bits
 
 
-_SENTENCES = re.compile(r"(?<=[.!?:])\s+|\n")
+@lru_cache(maxsize=200_000)
+def _flag_once(text: str) -> int:
+    return _flag(text)
 
 
 def residue_documents(
@@ -270,31 +309,35 @@ def residue_documents(
     cases.  A repeated id gives one row.
     """
     shaped = page_shapes(pages, id_col, raw_col, segments_col, flag_line)
-    leaf = materialize(classify_leaves(shaped, page_hosts(docs, id_col, url_col)), "flagged")
-    marked = leaf.groupBy("id").agg(
-        F.bool_or(F.expr(f"flags & {PLACEHOLDER} > 0")).alias("placeholder"),
-        F.bool_or(F.expr(f"flags & {FILLER} > 0")).alias("filler"),
-        F.bool_or(F.expr(f"main_body AND flags & {MESSAGE} > 0")).alias("message"),
-        F.bool_or(F.expr(f"main_body AND flags & {MESSAGE | DETAIL | HEADING} = 0")).alias("other"),
-    )
-    # unknown lines beside messages, by their masked hash over all hosts
-    near = leaf.where("main_body").join(marked.select("id", "message"), "id").select("text_key", "host", "id", "message", "flags")
-    recurring = (
-        near.groupBy("text_key", "host").agg(F.count("*").alias("n"), F.count_if("message").alias("m"))
-        .groupBy("text_key").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-        .where(f"hosts >= {RECURS_HOSTS} AND m >= {RECURS_SHARE} * n")
-        .select("text_key")
-    )
-    rest = (
-        near.where(f"message AND flags & {MESSAGE | DETAIL | HEADING} = 0")
-        .join(recurring, "text_key", "left_anti")
-        .select("id").distinct().withColumn("prose", F.lit(True))
+    leaf = materialize(classify_leaves(shaped, page_hosts(docs, id_col, url_col)).select("id", "host", "text_key", "flags", "main_body"), "leaves")
+    at = materialize(_with_class(leaf), "marked")
+    near = at.groupBy("id").agg(F.bool_or(F.expr(f"main_body AND marks & {MESSAGE} > 0")).alias("message")).where("message").select("id")
+    # groups without marks: those that stand beside messages are counted over all pages
+    unknown = at.where("main_body AND marks = 0 AND NOT heading")
+    beside = materialize(unknown.join(maybe_broadcast(near), "id", "left_semi").groupBy("text_key").agg(F.count("*").alias("m")), "beside")
+    total = unknown.join(maybe_broadcast(beside.select("text_key")), "text_key", "left_semi").groupBy("text_key", "host").agg(F.count("*").alias("n"))
+    total = total.groupBy("text_key").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"))
+    recurring = beside.join(total, "text_key").where(f"hosts >= {RECURS_HOSTS} AND m >= {RECURS_SHARE} * n").select("text_key", F.lit(DETAIL).alias("recurs"))
+    page = (
+        at.join(maybe_broadcast(recurring), "text_key", "left")
+        .withColumn("marks", F.expr("marks | coalesce(recurs, 0)"))
+        .groupBy("id").agg(
+            F.bool_or(F.expr(f"marks & {PLACEHOLDER} > 0")).alias("placeholder"), F.bool_or(F.expr(f"marks & {FILLER} > 0")).alias("filler"),
+            F.bool_or(F.expr(f"main_body AND marks & {MESSAGE} > 0")).alias("message"),
+            F.bool_or(F.expr(f"main_body AND NOT heading AND marks & {MESSAGE | DETAIL} = 0")).alias("other"),
+        )
     )
-    reason = F.expr(
-        "CASE WHEN placeholder THEN 'placeholder' WHEN filler THEN 'filler' WHEN message AND NOT coalesce(prose, false) THEN 'message' END"
-    )
-    return (
-        marked.join(rest, "id", "left")
-        .select(F.col("id").alias("doc_id"), reason.alias("reason"))
-        .where("reason IS NOT NULL")
-    )
+    reason = F.expr("CASE WHEN placeholder THEN 'placeholder' WHEN filler THEN 'filler' WHEN message AND NOT other THEN 'message' END")
+    return page.select(F.col("id").alias("doc_id"), reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def _with_class(leaf: DataFrame) -> DataFrame:
+    """Leaves with the class of their group, the marks that half of its members have: ``(id, host, text_key, main_body, heading, marks)``."""
+    bits = (PLACEHOLDER, FILLER, MESSAGE, DETAIL)
+    found = leaf.where(f"flags & {sum(bits)} <> 0").groupBy("text_key").agg(*[F.count_if(F.expr(f"flags & {b} > 0")).alias(f"n{b}") for b in bits])
+    found = materialize(found, "groups")
+    size = leaf.join(maybe_broadcast(found.select("text_key")), "text_key", "left_semi").groupBy("text_key").agg(F.count("*").alias("n"))
+    marks = F.expr(" | ".join(f"if(2 * n{b} >= n, {b}, 0)" for b in bits)).alias("marks")
+    groups = found.join(size, "text_key").select("text_key", marks)
+    own = leaf.select("id", "host", "text_key", "main_body", F.expr(f"flags & {HEADING} > 0").alias("heading"))
+    return own.join(maybe_broadcast(groups), "text_key", "left").withColumn("marks", F.coalesce("marks", F.lit(0)))

@@ -8,7 +8,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import names, neardup, residue
+from pyspark.sql import functions as F
+
+from tessella.llm import leakage, names, neardup, residue, visual
 
 
 @pytest.mark.parametrize("text,bit", [
@@ -88,5 +90,92 @@ LONG = "We keep records of visits for a season and hand some of them to partners
 ])
 def test_filler_in_long_blocks(filler):
     for text in (LONG + filler, filler + " " + LONG, LONG + filler + " " + LONG):
-        assert len(text) > residue.MESSAGE_CHARS and residue.flag_line(text) & 4
+        assert len(text) > 160 and residue.flag_line(text) & 4
     assert residue.flag_line(LONG * 2) == 0
+
+
+def brute(sets, threshold):
+    ids = sorted(sets)
+    vocab = {g: k for k, g in enumerate(sorted({g for x in sets.values() for g in x}))}
+    m = np.zeros((len(ids), len(vocab)), np.float32)
+    for j, i in enumerate(ids):
+        m[j, [vocab[g] for g in sets[i]]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    both, n = both.astype(float), n.astype(float)
+    a, b = np.nonzero(np.triu(both / (n[:, None] + n[None, :] - both) >= threshold, 1))
+    return {(ids[x], ids[y]) for x, y in zip(a, b)}
+
+
+def test_recall_at_the_threshold_in_a_region_of_thousands(spark):
+    """2,000 edits of one text, of similarity about 0.6 to each other, among texts of their own: one region of every tree."""
+    rnd = random.Random(8)
+    base = [f"t{rnd.randrange(900)}" for _ in range(150)]
+    rows = [(f"d{i:04}", " ".join(f"e{i}x{j}" if rnd.random() < 0.042 else w for j, w in enumerate(base))) for i in range(1200)]
+    rows += [(f"z{i:04}", " ".join(f"u{rnd.randrange(5000)}" for _ in range(130))) for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    got = {(r["a"], r["b"]) for r in neardup.near_duplicates(df, shingle=3, threshold=0.6).links.select("a", "b").collect()}
+    want = brute({i: set(zip(w, w[1:], w[2:])) for i, t in rows for w in [t.split()]}, 0.6)
+    assert len(want) > 50_000 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_regions_adapt_their_depth():
+    label = lambda *v: sum(x << (48 - 16 * k) for k, x in enumerate(v))
+    rows = [(0, label(1, 1, 1, 1)), (0, label(1, 2, 1, 1)), (0, label(2, 1, 1, 1)), (0, label(2, 1, 1, 1)), (0, label(2, 1, 1, 2)), (0, label(2, 1, 2, 1)), (0, label(2, 2, 1, 1)), (0, label(2, 3, 1, 1)), (1, label(2, 3, 1, 1))]
+    no, size = neardup._regions(np.array([t for t, _ in rows]), np.array([x for _, x in rows], np.int64), 4)
+    # two labels share one value only and are a region; six that do are cut at the second value, where four and one and one are left
+    assert no.tolist() == [0, 0, 1, 1, 1, 1, 2, 3, 4] and size.tolist() == [2, 4, 1, 1, 1]
+    no, size = neardup._regions(np.array([t for t, _ in rows]), np.array([x for _, x in rows], np.int64), 1)
+    assert no.tolist() == [0, 1, 2, 2, 3, 4, 5, 6, 7]
+
+
+def test_near_duplicates_with_ids_of_either_kind_and_small_blocks(spark, monkeypatch):
+    rnd = random.Random(2)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = [(k, " ".join(w if rnd.random() > 0.02 else "x" for w in base[k % 12])) for k in range(120)] + [(200, None), (201, ""), (202, "a b"), (3, " ".join(base[3]))]
+    df = spark.createDataFrame(rows[:-1], "doc_id long, text string").withColumn("rep", F.lit(1)).withColumn("key", F.lit("k"))
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) for i, t in rows[:-1] if t for w in [t.split()] if len(w) >= 5}
+    want = brute(sets, 0.8)
+    for region in (64, 2):
+        got = {tuple(r) for r in neardup.near_duplicates(df, region=region).pairs().collect()}
+        assert got <= want and len(got) >= 0.99 * len(want)
+    assert neardup.near_duplicates(df.limit(0)).pairs().count() == 0
+
+
+def test_hot_text_with_an_odd_variant(spark):
+    """Copies collapse before texts are paired."""
+    rows = [(i, "Page one") for i in range(3000)] + [(9000, "P\u0430ge one"), (9001, "page one"), (9002, "\u13e2age \u2c9fne"), (9003, "Rage one"), (9004, "\u13a1age one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in visual.same_look_pairs(df).collect()}
+    assert got == {(i, j) for i in range(3000) for j in (9000, 9002)} | {(9000, 9002), (9003, 9004)}
+
+
+def test_wand_equals_scoring_all(spark):
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(80)]
+    items = [(k, [rnd.choice(words) if rnd.random() < 0.8 else f"r{rnd.randrange(300)}" for _ in range(rnd.randrange(12, 60))], [f"a{k}"]) for k in range(150)]
+    ix = leakage.PassageIndex(items)
+    score = lambda k, ts: sum(float(x) for t in ts for i, x in zip(ix.item[ix.term_at[t] : ix.term_at[t + 1]], ix.impact[ix.term_at[t] : ix.term_at[t + 1]]) if i == k)
+    for _ in range(200):
+        terms = sorted(set(rnd.sample(range(len(ix.vocab)), rnd.randrange(1, 15))) | set(rnd.choice(ix.seqs).tolist()[:5]))
+        for theta in (0.3, 0.7, 1.0):
+            assert sorted(ix.search(terms, theta)) == [k for k in range(150) if score(k, terms) >= theta - 1e-4]
+
+
+def test_overlap_of_question_and_answer(spark):
+    words = [f"q{k}" for k in range(24)]
+    items = spark.createDataFrame([(1, " ".join(words), "Yes, it is"), (2, " ".join(words[::-1]), None), (3, "too short", "x")], "item_id long, text string, answer string")
+    docs = spark.createDataFrame([(1, " ".join(words).upper() + " yes IT is"), (2, "a " + " ".join(words[:15]) + " b yes it"), (3, " ".join(words[:11])), (4, None), (5, "z " + " ".join(words[::-1]))], "doc_id long, text string")
+    for block in (1_000_000, 5):
+        got = sorted((r["doc_id"], r["item_id"], round(r["question_overlap"], 3), r["answer_found"]) for r in leakage.leaks(docs, items, block_words=block).collect())
+        assert got == [(1, 1, 1.0, True), (2, 1, round(4 / 13, 3), False), (5, 2, 1.0, None)]
+    assert leakage.leaks(docs, items, answer=None).where("answer_found IS NOT NULL").count() == 0
+
+
+def test_sliced_join(spark):
+    from tessella.llm.util import sliced_join
+
+    a = spark.createDataFrame([("k", 1), ("l", 2), (None, 3)], "key string, x int")
+    b = spark.createDataFrame([("k", i) for i in range(50)] + [("l", 1), (None, 1)], "key string, y int")
+    for block in (7, 1000):
+        got = sorted((r["key"], r["x"], r["y"]) for r in sliced_join(a, b, "key", "y", block).collect())
+        assert got == sorted([("k", 1, i) for i in range(50)] + [("l", 2, 1)])
