@@ -244,7 +244,7 @@ def _latin(text: str, words: list[str]) -> int:
     return 0
 
 
-_SENTENCES = re.compile(r"(?<=[.!?:])\s+|\n")
+_SENTENCES, _STOPS = re.compile(r"(?<=[.!?:])\s+|\n"), re.compile(r"(?<=[.!?])\s+|\n")
 
 
 def _kind(sentence: str, low: str) -> int:
@@ -267,18 +267,14 @@ def flag_line(text: str) -> int:
 def _flag(text: str) -> int:
     low = text.lower()
     bits = _placeholder(text) | _latin(text, _TOKENS.findall(low))
-    sentences = None
     if not bits & FILLER:
-        if _FIND_FILLER.search(text.strip(" .:!"), low):
+        # some rules of filler hold for a sentence as a whole
+        if _FIND_FILLER.search(text.strip(" .:!"), low) or any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in _SENTENCES.split(text)):
             bits |= FILLER
-        else:
-            sentences = _SENTENCES.split(text)
-            if len(sentences) > 1 and any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in sentences):
-                bits |= FILLER
     whole = _kind(text, low)
     if not whole or _ABOUT.search(text):
         return bits
-    sentences = sentences or _SENTENCES.split(text)
+    sentences = [s for s in _STOPS.split(text) if s]
     if len(sentences) == 1:
         return bits | whole
     kinds = [_kind(s, s.lower()) for s in sentences]
