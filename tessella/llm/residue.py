@@ -51,7 +51,7 @@ _PLACEHOLDER = re.compile(
       | (?<!\w)%[A-Z][A-Z_]{2,}%(?!\w)                      # %NAME%
       | (?<![\w%])%(?:s|d|\(\w+\)s)(?![\w%])                # %s
       | (?<![\w/])__[A-Z][A-Z0-9_]*[A-Z0-9]__(?!\w)         # __NAME__
-      | (?<!\bis\ )(?<!are\ )(?<!\ban\ )(?<!the\ )(?<!was\ )(?<!left\ )(?<![\w-])undefined(?=\ (?:may|shares?|and|or|covers|through|with|when|if|until|unless|every|each|as|once|before|after|whenever|while|in|to|by|on|for|acts|receives|keeps|uses)\b)
+      | (?<!\bis\ )(?<!are\ )(?<!\ban\ )(?<!the\ )(?<!was\ )(?<!left\ )(?<![\w-])undefined(?=\ (?:may|shares?|and|or|covers|through|with|when|if|until|unless|every|each|as|once|before|after|whenever|while|in|to|by|on|for|acts|receives|keeps|uses|at|from|will|can|must|does|during|within|under)\b)
       | \[object\ Object\] | (?<!\w)\[(?:undefined|null|NaN)\]
       | \[\s*[●•▪■_.…x]{1,}\s*\]                            # [●]
       | \[\s*(?:insert|enter|add|your|my|company|organi[sz]ation|business|website|site|app|legal|date|effective|e-?mail|contact
@@ -94,7 +94,7 @@ _FILLER = re.compile(
 _MESSAGE = re.compile(
     r"\bnot found\b|\b(?:page|link|address|document|file|resource|site)\b.{0,30}\b(?:does not exist|doesn't exist|no longer (?:exists|available)|"
     r"has expired|could not be found|cannot be (?:found|shown|displayed)|can't be (?:found|reached|displayed))|"
-    r"(?:cannot|can not|can't|could not|couldn't) find (?:what|the page|that page|this page)|^gone$|"
+    r"(?:cannot|can not|can't|could not|couldn't) find (?:what|the page|that page|this page)|^[\W\d]*(?:(?:error|notice|warning|status)[\W\d]+)?gone[\W\d]*$|"
     r"internal server error|bad gateway|bad request|gateway time-?out|service (?:temporarily |is )?unavailable|temporarily unavailable|"
     r"\b(?:http )?error (?:code )?[45]\d\d\b|^[45]\d\d(?: error)?$|something (?:went|has gone) wrong|an? (?:unexpected |internal |unknown )?error (?:has )?occurred|"
     r"access .{0,30}\bdenied\b|\bforbidden\b|(?:request|access|you|ip) (?:was|has been|have been|is) blocked|too many requests|rate limit exceeded|"
