@@ -41,13 +41,17 @@ _TOKEN = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\
 _ATTR = re.compile(r"\b(class|id|role|data-[\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
-# Addresses, and months as dates name them.
 _ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.I)
-_MONTH = (
-    r"jan(?:uary|uar|vier)?|feb(?:ruary|ruar|rero)?|f\xe9vrier|mar(?:ch|s|zo)?|m\xe4rz|apr(?:il)?|avril|abril|ma[iy]|mayo|june?|juni|juin|junio|jul[yi]?|juillet|julio|"
-    r"aug(?:ust)?|ao\xfbt|agosto|sep(?:t|tember|tembre|tiembre)?|o[ck]t(?:ober|obre|ubre)?|nov(?:ember|embre|iembre)?|de[cz](?:ember)?|d\xe9cembre|diciembre|enero"
+# Months as dates name them, in English, German, French and Spanish.
+_MONTHS = frozenset(
+    m + end
+    for m in (
+        "january february march april may june july august september october november december jan feb mar apr jun jul aug sep sept oct nov dec "
+        "januar februar m\xe4rz mai juni juli oktober dezember janvier f\xe9vrier mars avril juin juillet ao\xfbt septembre octobre novembre d\xe9cembre "
+        "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
+    ).split()
+    for end in ("", ",", ".")
 )
-_DATE = re.compile(rf"\b(?:\d{{1,2}}\.?\s+(?:de\s+)?(?:{_MONTH})\b\.?(?:,?\s+(?:de\s+)?\d{{4}})?|(?:{_MONTH})\b\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?|(?:{_MONTH})\b\.?\s+\d{{4}})", re.I)
 _HEX = re.compile(r"[0-9a-f]*\d[0-9a-f]*")
 # Kinds of HTML elements.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -368,16 +372,30 @@ def load(s: str, weighted: bool = False) -> tuple:
 
 def masked(text: str) -> str:
     """A text with numbers, addresses and dates masked, blanks and case evened out."""
-    t = text
+    t = text.lower()
     if "@" in t or "://" in t or "www." in t:
         t = _ADDRESS.sub("@", t)
-    if _DIGITS.search(t):
-        t = _DIGITS.sub("#", _DATE.sub("#", t))
-    return " ".join(t.lower().split())
+    t = _DIGITS.sub("#", t)
+    words = t.split()
+    if "#" in t and not _MONTHS.isdisjoint(words):
+        # a month beside a number is a date, and so are the numbers around it
+        out: list[str] = []
+        for k, w in enumerate(words):
+            near = words[max(0, k - 2) : k] + words[k + 1 : k + 3]
+            if (w in _MONTHS and any(x[0] == "#" for x in words[max(0, k - 1) : k] + words[k + 1 : k + 2] + [x for x in near if "de" in near])) or (
+                w[0] == "#" and len(w) <= 4 and not _MONTHS.isdisjoint(near)
+            ):
+                if not out or out[-1] != "#":
+                    out.append("#")
+            elif not (w == "de" and out and out[-1] == "#"):
+                out.append(w)
+        words = out
+    return " ".join(words)
 
 
 #: Flag of a leaf that is a heading or repeats the page title; other bits are the caller's.
 HEADING = 1
+_LEAF = {"place": pa.int32(), "text_key": pa.int64(), "size": pa.int32(), "link": pa.bool_(), "seg_pos": pa.int32(), "flags": pa.int32()}
 PAGE_SCHEMA = "id {kind}, shape string, leaves array<struct<place int, text_key bigint, size int, link boolean, seg_pos int, flags int>>"
 
 
@@ -411,7 +429,10 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_depth()
         for b in batches:
-            shapes, leaves = [], []
+            shapes: list[str] = []
+            ends = [0]
+            cols: dict[str, list] = {c: [] for c in _LEAF}
+            place_, key, size, link, seg_pos, flags = cols.values()
             for raw, segs in zip(b.column("raw").to_pylist(), b.column("segments").to_pylist()):
                 root, ls, title = parse(raw or "")
                 segs = segs or []
@@ -426,21 +447,17 @@ def page_shapes(df: DataFrame, id_col: str, raw_col: str, segments_col: str, fla
                         pos.append(k)
                 shape, place = shape_of(root, title)
                 shapes.append(dump(shape))
-                leaves.append(
-                    [
-                        {
-                            "place": place.get(id(x), 0),
-                            "text_key": xxhash.xxh3_64_intdigest(masked(x.text)) - (1 << 63),
-                            "size": len(x.text),
-                            "link": x.link,
-                            "seg_pos": p,
-                            "flags": (flagger(x.text) if flagger else 0) | (HEADING if x.tag in _HEADINGS or x.text == title else 0),
-                        }
-                        for x, p in zip(ls, pos)
-                    ]
-                )
-            t = pa.list_(pa.struct([("place", pa.int32()), ("text_key", pa.int64()), ("size", pa.int32()), ("link", pa.bool_()), ("seg_pos", pa.int32()), ("flags", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shapes, pa.string()), pa.array(leaves, t)], names=["id", "shape", "leaves"])
+                for x in ls:
+                    t = x.text
+                    place_.append(place.get(id(x), 0))
+                    key.append(xxhash.xxh3_64_intdigest(masked(t)) - (1 << 63))
+                    size.append(len(t))
+                    link.append(x.link)
+                    flags.append((flagger(t) if flagger else 0) | (HEADING if x.tag in _HEADINGS or t == title else 0))
+                seg_pos += pos
+                ends.append(len(size))
+            leaves = pa.StructArray.from_arrays([pa.array(cols[c], t) for c, t in _LEAF.items()], fields=[pa.field(c, t) for c, t in _LEAF.items()])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(shapes, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaves)], names=["id", "shape", "leaves"])
 
     return src.mapInArrow(fn, PAGE_SCHEMA.format(kind=kind))
 

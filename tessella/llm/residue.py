@@ -85,11 +85,13 @@ _FILLER = re.compile(
     r"lorem ipsum|blindtext|blind text|\bfaux texte\b|texto de relleno|\btexte de remplissage\b|placeholder (?:text|copy|content|paragraph)|filler text|"
     r"\b(?:dummy|sample) (?:text|copy|section|paragraph|sentence|heading|content|page)\b|your (?:text|content|copy|title|headline) (?:goes )?here|"
     r"(?:text|content|copy) (?:goes|will go) here|(?:content|text) for this (?:block|section|page) has not been|double-click to edit|"
-    r"click (?:here )?to edit this text|\basdf\b|\bqwer(?:ty)?\b.*\basdf\b|\b(\w{3,})(?: \1){2,}\b(?<!very very very)|"
-    r"replace this (?:text|paragraph|sample)|the writer will supply|write your (?:text|content)|hier (?:steht|entsteht) (?:ein|ihr) \w*text|"
-    r"^(?:page title|heading (?:one|two|three|\d)|title here|untitled(?: document| page)?|new page|sample page|test page)$",
+    r"click (?:here )?to edit this text|\basdf\b|\bqwer(?:ty)?\b.*\basdf\b|"
+    r"replace this (?:text|paragraph|sample)|the writer will supply|write your (?:text|content)|hier (?:steht|entsteht) (?:ein|ihr) \w*text",
     re.I,
 )
+# Headings nobody has filled in, as whole sentences; and words typed again and again.
+_UNTITLED = re.compile(r"(?:page title|heading (?:one|two|three|\d)|title here|untitled(?: document| page)?|new page|sample page|test page)", re.I)
+_REPEATED = re.compile(r"\b(\w{3,})(?: \1){2,}\b(?<!very very very)", re.I)
 # Error, blocking and script messages in English, German, French and Spanish.
 _MESSAGE = re.compile(
     r"\bnot found\b|\b(?:page|link|address|document|file|resource|site)\b.{0,30}\b(?:does not exist|doesn't exist|no longer (?:exists|available)|"
@@ -188,32 +190,45 @@ class _AnyOf:
                 self.always.append(search)
             for x in lits or ():
                 self.by.setdefault(x, []).append(search)
-        self.words = None
-        if ahocorasick is not None:  # all strings in one pass over the text
-            self.words = ahocorasick.Automaton()
-            for x in self.by:
-                self.words.add_word(x, x)
-            self.words.make_automaton()
-
-    def _found(self, low: str) -> Iterable[str]:
-        if self.words is not None:
-            return {x for _, x in self.words.iter(low)}
-        return [x for x in self.by if x in low]
-
     def search(self, text: str, low: str) -> bool:
         """Whether ``text``, in lower case ``low``, has a match."""
-        if _FOLDS.search(text):
+        return self.among(_held(low), text)
+
+    def among(self, held: Iterable[str], text: str) -> bool:
+        """Whether ``text`` has a match, given which of all strings it holds."""
+        if not text.isascii() and _FOLDS.search(text):
             return bool(self.pattern.search(text))
-        for x in self._found(low):
-            if any(f(text) for f in self.by[x]):
+        for x in held:
+            for f in self.by.get(x, ()):
+                if f(text):
+                    return True
+        for f in self.always:
+            if f(text):
                 return True
-        return any(f(text) for f in self.always)
+        return False
 
 
 # Letters that patterns take for i or s, but lower case doesn't.
 _FOLDS = re.compile("[\u0130\u0131\u017f]")
 _FIND_FILLER, _FIND_MESSAGE, _FIND_DETAIL = _AnyOf(_FILLER), _AnyOf(_MESSAGE), _AnyOf(_DETAIL)
-_TOKENS = re.compile(r"[^\W\d_]+")
+#: Strings of which any heading that nobody has filled in holds one.
+_UNTITLED_STRINGS = frozenset(("page title", "heading ", "title here", "untitled", "new page", "sample page", "test page"))
+_STRINGS = sorted({x for finder in (_FIND_FILLER, _FIND_MESSAGE, _FIND_DETAIL) for x in finder.by} | _UNTITLED_STRINGS)
+if ahocorasick is not None:  # all strings in one pass over the text
+    _AUTOMATON = ahocorasick.Automaton()
+    for _x in _STRINGS:
+        _AUTOMATON.add_word(_x, _x)
+    _AUTOMATON.make_automaton()
+
+
+def _held(low: str) -> set[str]:
+    """Which of the strings of all patterns a lower-case text holds."""
+    if ahocorasick is not None:
+        return {x for _, x in _AUTOMATON.iter(low)}
+    return {x for x in _STRINGS if x in low}
+
+
+_TOKENS = re.compile(r"\w+")
 
 
 def _placeholder(text: str) -> int:
@@ -228,9 +243,8 @@ def _placeholder(text: str) -> int:
     return 0
 
 
-def _latin(text: str, words: list[str]) -> int:
-    if _LATIN.isdisjoint(words):
-        return 0
+def _latin(words: list[str]) -> int:
+    """FILLER if words of pseudo-Latin make up most of a text or a stretch of it."""
     latin = sum(w in _LATIN for w in words)
     if (latin >= 5 and latin >= 0.5 * len(words)) or (latin >= 2 and latin >= 0.8 * len(words) and len(words) >= 3):
         return FILLER
@@ -247,10 +261,10 @@ def _latin(text: str, words: list[str]) -> int:
 _SENTENCES, _STOPS = re.compile(r"(?<=[.!?:])\s+|\n"), re.compile(r"(?<=[.!?])\s+|\n")
 
 
-def _kind(sentence: str, low: str) -> int:
-    """MESSAGE, DETAIL or 0 of one sentence."""
+def _kind(sentence: str, held: Iterable[str]) -> int:
+    """MESSAGE, DETAIL or 0 of one sentence that holds these strings."""
     bare = sentence.strip(" .:!")
-    return MESSAGE if _FIND_MESSAGE.search(bare, low) else DETAIL if _FIND_DETAIL.search(bare, low) else 0
+    return MESSAGE if _FIND_MESSAGE.among(held, bare) else DETAIL if _FIND_DETAIL.among(held, bare) else 0
 
 
 def flag_line(text: str) -> int:
@@ -266,24 +280,32 @@ def flag_line(text: str) -> int:
 
 def _flag(text: str) -> int:
     low = text.lower()
-    bits = _placeholder(text) | _latin(text, _TOKENS.findall(low))
-    if not bits & FILLER:
-        # some rules of filler hold for a sentence as a whole
-        if _FIND_FILLER.search(text.strip(" .:!"), low) or any(_FIND_FILLER.search(s.strip(" .:!"), s.lower()) for s in _SENTENCES.split(text)):
-            bits |= FILLER
-    whole = _kind(text, low)
+    words = _TOKENS.findall(low)
+    distinct = set(words)
+    held = _held(low)
+    bits = _placeholder(text)
+    if not _LATIN.isdisjoint(distinct):
+        bits |= _latin(words)
+    if not bits & FILLER and (_FIND_FILLER.among(held, text) or (len(words) - len(distinct) > 1 and _REPEATED.search(text)) or _untitled(text, held)):
+        bits |= FILLER
+    whole = _kind(text, held)
     if not whole or _ABOUT.search(text):
         return bits
     sentences = [s for s in _STOPS.split(text) if s]
     if len(sentences) == 1:
         return bits | whole
-    kinds = [_kind(s, s.lower()) for s in sentences]
+    kinds = [_kind(s, _held(s.lower())) for s in sentences]
     size = sum(map(len, sentences))
     if sum(len(s) for s, k in zip(sentences, kinds) if k) >= MESSAGE_SHARE * size:
         bits |= MESSAGE if MESSAGE in kinds or whole == MESSAGE else DETAIL
     return bits
 
 
+def _untitled(text: str, held: set[str]) -> bool:
+    """Some sentence is a heading that nobody has filled in."""
+    return not held.isdisjoint(_UNTITLED_STRINGS) and any(_UNTITLED.fullmatch(s.strip(" .:!")) for s in (text, *_SENTENCES.split(text)))
+
+
 @lru_cache(maxsize=200_000)
 def _flag_once(text: str) -> int:
     return _flag(text)
