@@ -41,8 +41,8 @@ TREES, DEPTH = 40, 4
 REGION, FEW = 64, 4
 #: Rows of one region of depth 1 that a task holds at a time; the rest of a larger one is paired in slices at full depth.
 HELD = 200_000
-#: Characters of text that one tile of the exact check may hold.
-TILE_CHARS = 32_000_000
+#: Characters of text that a tile of the exact check holds on average, at most.
+TILE_CHARS = 8_000_000
 #: Bytes of the sketch that filters candidates, one MinHash value modulo 256 each.
 SKETCH = 64
 #: The sketch is packed in longs of seven bytes, so that sums on them don't overflow.
