@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_CHARS = 800_000
+from tessella.functions.text import join_lead_in, reflowed
+
 BLOCK_SHARE = 0.5
 
 TABLE_TYPE = T.StructType([
@@ -180,7 +181,7 @@ class _Reader(HTMLParser):
                 cells = [c for r in rows for c in r if c]
                 text = " • ".join(cells)
                 self.tables.append({
-                    "headers": [c.lower() for c in rows[0]], "n_rows": len(rows) - 1, "n_cols": max(map(len, rows)), "cell_text": text, "rows": rows[1:],
+                    "headers": [c.lower() for c in rows[0]], "n_rows": len(rows), "n_cols": max(map(len, rows)), "cell_text": text, "rows": rows[1:],
                 })
                 if not self._grid:
                     self._node("TABLE", text, self._heads[-1][1] if self._heads else 0, 0, any(x in _FURNITURE for x in self._open))
@@ -203,21 +204,8 @@ class _Reader(HTMLParser):
             self._close(self._open.pop())
 
 
-def _reflowed(text: str) -> list[str]:
-    """Segments from lines, as ``functions.text.reflow`` makes them."""
-    out: list[str] = []
-    buf = ""
-    for line in [*(_tidy(x) for x in text.split("\n")), ""]:
-        if line:
-            buf = f"{buf} {line}" if buf else line
-        if buf and (not line or buf[-1] in ".!?" or len(buf) >= 400):
-            out += [buf] if len(buf) <= 400 else re.split(r"(?<=[.!?;:])\s+", buf)
-            buf = ""
-    return [s for s in out if len(s) >= 3]
-
-
-def read_html(raw: str | None, max_chars: int = MAX_CHARS) -> dict:
-    """Document of one page; empty fields for null or empty markup."""
+def read_html(raw: str | None, max_chars: int | None = None) -> dict:
+    """Document of one page; empty fields for null or empty markup.  ``max_chars`` cuts the markup; by default all of it is read."""
     r = _Reader()
     if raw:
         r.feed(raw[:max_chars])
@@ -226,7 +214,7 @@ def read_html(raw: str | None, max_chars: int = MAX_CHARS) -> dict:
     text = re.sub(r"\n{3,}", "\n\n", "\n".join(r.lines))
     blocks = [b for i, b in enumerate(r.blocks) if i == 0 or b != r.blocks[i - 1]]
     if sum(map(len, blocks)) < BLOCK_SHARE * len(text):
-        other = _reflowed(text)
+        other = reflowed(text)
         blocks = other if len(other) > len(blocks) else blocks
     return {"title": _tidy(r.title), "text": text, "segments": blocks, "tables": r.tables, "links": r.links, "nodes": r.nodes}
 
@@ -248,8 +236,11 @@ def read_plain(text: str | None) -> list[dict]:
     return nodes
 
 
-def parse_documents(df: DataFrame, id_col: str, raw_col: str, keep: tuple[str, ...] = ("title", "text", "segments", "tables", "links", "nodes")) -> DataFrame:
-    """``(id, doc)`` with the wanted fields of ``DOCUMENT_TYPE`` for every row; null markup gives empty fields."""
+def parse_documents(df: DataFrame, id_col: str, raw_col: str, keep: tuple[str, ...] = ("title", "text", "segments", "tables", "links", "nodes"), max_chars: int | None = None) -> DataFrame:
+    """``(id, doc)`` with the wanted fields of ``DOCUMENT_TYPE`` for every row; null markup gives empty fields.
+
+    ``n_rows`` of a table counts its row of headers too.
+    """
     src = df.select(F.col(id_col).alias("id"), F.col(raw_col).alias("raw"))
     kind = src.schema["id"].dataType
     doc = T.StructType([f for f in DOCUMENT_TYPE.fields if f.name in keep])
@@ -257,12 +248,24 @@ def parse_documents(df: DataFrame, id_col: str, raw_col: str, keep: tuple[str, .
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            docs = [read_html(r) for r in pdf["raw"]]
+            docs = [read_html(r, max_chars) for r in pdf["raw"]]
             yield pd.DataFrame({"id": pdf["id"], "doc": [{k: d[k] for k in keep} for d in docs]})
 
     return src.mapInPandas(run, schema)
 
 
+def with_tables(df: DataFrame, raw_col: str) -> DataFrame:
+    """``df`` with ``tables``, those of the markup in ``raw_col``; null markup and markup without a table element give none."""
+
+    @F.pandas_udf(T.ArrayType(TABLE_TYPE))
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda r: read_html(r)["tables"])
+
+    none = F.array().cast(T.ArrayType(TABLE_TYPE))
+    some = F.col(raw_col).rlike("(?i)<table")
+    return df.withColumn("tables", F.when(some, run(F.when(some, F.col(raw_col)))).otherwise(none))
+
+
 def nodes_of_plain(text: Column) -> Column:
     """Column function for ``read_plain``."""
 
@@ -280,8 +283,6 @@ def sentences(nodes: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     parent, and their parent and grandparent; of tables, sentences of cells of
     three words or more.  Furniture is left out.
     """
-    from tessella.functions.text import join_lead_in
-
     n = nodes.select(doc_id, "node_id", "parent_id", "type", "text", "boilerplate")
     up = n.select(doc_id, F.col("node_id").alias("parent_id"), F.col("text").alias("p_text"), F.col("parent_id").alias("g_id"))
     top = n.select(doc_id, F.col("node_id").alias("g_id"), F.col("text").alias("g_text"))

@@ -15,9 +15,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.html import _reflowed
+from tessella.functions.text import reflowed
 
-MAX_BYTES = 20_000_000
 _STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", re.S)
 _OP = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|-?\d*\.?\d+|[A-Za-z'\"*]+", re.S)
 _ESC = {b"n": b"\n", b"r": b"\n", b"t": b" ", b"b": b"", b"f": b""}
@@ -31,8 +30,8 @@ def _literal(tok: bytes) -> str:
 
 
 def pdf_text(data: bytes | None) -> str:
-    """Lines of the text operators of all content streams in file order; '' for null, large and other files."""
-    if not data or len(data) > MAX_BYTES or not data.startswith(b"%PDF-"):
+    """Lines of the text operators of all content streams in file order; '' for null and other files."""
+    if not data or not data.startswith(b"%PDF-"):
         return ""
     out: list[str] = []
     for head, body in _STREAM.findall(data):
@@ -78,7 +77,7 @@ def pdf_text(data: bytes | None) -> str:
 
 def pdf_markup(data: bytes | None, title: str | None = None) -> str:
     """Page of one paragraph per reflowed segment; '' if there is no text."""
-    segs = _reflowed(pdf_text(data))
+    segs = reflowed(pdf_text(data))
     if not segs:
         return ""
     return f"<html><head><title>{html.escape(title or '')}</title></head><body>" + "".join(f"<p>{html.escape(s)}</p>" for s in segs) + "</body></html>"

@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from tessella import lexicons as lx
 from tessella.functions.text import machine_readable_kind
 
-NAME_CAP = 200
 RELATION_COLUMNS = (
     "doc_id", "entity", "party", "unspecified", "data_type", "action", "negative", "purposes", "examples", "qualifier", "sources", "text",
 )
 
 
-def _distinct_in_order(names: Column, cap: int) -> Column:
-    """First spelling of each name without regard to case, stop words left out, at most ``cap``."""
+def _distinct_in_order(names: Column, cap: int | None) -> Column:
+    """First spelling of each name without regard to case, stop words left out; ``cap`` keeps the first ones only."""
     kept = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).isin(*lx.REGISTRY_NOT_NAMES))
-    low = F.transform(kept, lambda x: F.lower(x))
-    return F.slice(F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, cap)
+    # array_distinct works by hash, so a registry of many thousand rows takes time in proportion
+    low = F.array_distinct(F.transform(kept, lambda x: F.lower(x)))
+    # only a registry that writes one name in two ways needs the slow way
+    plain = F.array_distinct(kept)
+    slow = F.filter(kept, lambda x, i: F.array_position(F.transform(kept, lambda y: F.lower(y)), F.lower(x)) == i + 1)
+    names = F.when(F.size(low) == F.size(plain), plain).otherwise(slow)
+    return names if cap is None else F.slice(names, 1, cap)
 
 
-def registry_names(text: Column, kind: Column, cap: int = NAME_CAP) -> Column:
-    """Names listed in a registry file, in order of first occurrence, at most ``cap``.
+def registry_names(text: Column, kind: Column, cap: int | None = None) -> Column:
+    """Names listed in a registry file, in order of first occurrence; all of them unless ``cap`` is given.
 
     ads.txt: domains of the rows.  sellers.json: domains, then names.  Vendor
     lists: names of the vendors, or any name if the JSON can't be read.

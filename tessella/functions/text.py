@@ -1,11 +1,14 @@
 """Text scalars: white space, segmentation, and predicates that know where a phrase stands.
 
-Everything is a composition of built-in expressions, evaluated in the JVM.  A
-null text gives null or false, an empty one an empty result.
+Everything but ``reflow`` is a composition of built-in expressions, evaluated in
+the JVM.  A null text gives null or false, an empty one an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,7 +110,7 @@ def _party_collects(text: Column, party: str) -> Column:
 def _tracker_of_party(text: Column, tracker: str) -> Column:
     def attributed(m: Column) -> Column:
         pre = before(text, m["start"], lx.NEGATION_WINDOW)
-        return ~pre.rlike(lx.NEGATION) & ~pre.rlike(r"(?i)\bno\s+\w*\s*$") & party_follows(text, m["end"])
+        return ~pre.rlike(lx.NEGATION) & ~pre.rlike(lx.NO_SUCH) & party_follows(text, m["end"])
 
     return F.exists(match_spans(text, tracker), attributed)
 
@@ -144,16 +147,14 @@ def navigation_junk(text: Column) -> Column:
 
 def informational_heading(text: Column) -> Column:
     """A heading such as "How we ..." that points elsewhere."""
-    return F.trim(text).rlike(r"(?i)^(?:how|what|why|where|when|who|learn)\b[^.!?:]{0,80}$")
+    return F.trim(text).rlike(lx.ASKS_HEADING)
 
 
 def platform_label(text: Column, role: Column) -> Column:
     """Store label: ``(has_label, shares, kind)``."""
     play = (role == "play_data_safety") | text.rlike(r"(?i)\bdata safety\b")
-    none = text.rlike(r"(?i)no data (?:is )?shared with third parties|doesn't share (?:user )?data")
-    yes = text.rlike(r"(?i)\bthis app may share|(?<!no )\bdata shared\b|(?<!doesn't )\bshares? (?:these )?(?:user )?data (?:types )?with")
-    apple = text.rlike(r"(?i)\bapp privacy\b")
-    tracks = text.rlike(r"(?i)data used to track you|data linked to you")
+    none, yes = text.rlike(lx.NOTHING_SHARED), text.rlike(lx.MAY_SHARE)
+    apple, tracks = text.rlike(r"(?i)\bapp privacy\b"), text.rlike(lx.TRACKS)
     some = lambda has, shares, kind: F.struct(F.lit(has).alias("has_label"), shares.alias("shares"), F.lit(kind).alias("kind"))
     return (
         F.when(play, some(True, ~none | yes, "play_data_safety"))
@@ -177,26 +178,30 @@ def sentence_segments(segments: Column) -> Column:
     return F.flatten(F.transform(segments, lambda s: F.when(F.length(s) <= SPLIT_OVER, F.array(s)).otherwise(split_sentences(s))))
 
 
-def reflow(text: Column) -> Column:
+def reflowed(text: str) -> list[str]:
     """Segments of a text from its lines: joined until a blank line, a sentence end or 400 characters; shorter than 3 left out."""
-    state = F.struct(F.lit("").alias("buf"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        joined = F.when(acc["buf"] == "", line).otherwise(F.concat_ws(" ", acc["buf"], line))
-        full = line.rlike(r"[.!?]$") | (F.length(joined) >= MAX_SEGMENT)
-        flushed = F.when(acc["buf"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["buf"])))
-        return (
-            F.when(line == "", F.struct(F.lit("").alias("buf"), flushed.alias("out")))
-            .when(full, F.struct(F.lit("").alias("buf"), F.concat(acc["out"], F.array(joined)).alias("out")))
-            .otherwise(F.struct(joined.alias("buf"), acc["out"].alias("out")))
-        )
-
-    lines = F.transform(F.split(text, "\n"), clean)
-    parts = F.aggregate(F.concat(lines, F.array(F.lit(""))), state, step, lambda acc: acc["out"])
-    cut = F.flatten(
-        F.transform(parts, lambda s: F.when(F.length(s) <= MAX_SEGMENT, F.array(s)).otherwise(F.split(s, r"(?<=[.!?;:])\s+")))
-    )
-    return F.filter(cut, lambda s: F.length(s) >= 3)
+    out: list[str] = []
+    held: list[str] = []
+    size = 0
+    for line in [*(" ".join(x.split()) for x in text.split("\n")), ""]:
+        if line:
+            held.append(line)
+            size += len(line) + (size > 0)
+        if held and (not line or line[-1] in ".!?" or size >= MAX_SEGMENT):
+            whole = " ".join(held)
+            out += [whole] if size <= MAX_SEGMENT else re.split(r"(?<=[.!?;:])\s+", whole)
+            held, size = [], 0
+    return [s for s in out if len(s) >= 3]
+
+
+def reflow(text: Column) -> Column:
+    """Column function for ``reflowed``, over Arrow batches: a fold over lines in the JVM copies its array at every line."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: reflowed(t) if t is not None else None)
+
+    return run(text)
 
 
 def join_lead_in(prefix: Column, item: Column) -> Column:

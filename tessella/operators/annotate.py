@@ -10,16 +10,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import lexicons as lx
-from tessella.functions.text import is_negated, purposes_or_other
+from tessella.functions.html import parse_documents
+from tessella.functions.html import sentences as node_sentences
+from tessella.functions.text import purposes_or_other, split_sentences
+from tessella.operators.graph import UNSPECIFIED_DATA, UNSPECIFIED_PARTY, WE, acyclic_subsumptions, closure, graph_edges, graph_nodes
 from tessella.operators.scratch import materialize, work_partitions
-from tessella.operators.graph import UNSPECIFIED_DATA, UNSPECIFIED_PARTY, WE
 
 # Verbs by what they do to data; action of the subject, action of a recipient.
 VERBS = {
@@ -48,13 +49,16 @@ ENTITY_HEADS = frozenset(
     "processor processors network networks broker brokers publisher publishers contractor contractors supplier suppliers agency agencies authority authorities "
     "sponsor sponsors merchant merchants organization organizations organisation organisations service services platform platforms site website app application".split()
 )
-_STOP = frozenset("a an the our your their its this that these those some any all certain such other various of for in on at by from as is are was be may might will can could shall should do does did not never".split())
+_STOP = frozenset("a an the our your their its this that these those some any all certain such other various of for in on at by from as is are was be may might will can could shall should do does did not never include includes including consists comprise comprises especially like".split())
+_THESE = frozenset("this that these those such".split())
 _DETERMINER = re.compile(r"^(?:(?:the|a|an|our|your|their|his|her|its|this|that|these|those|any|some|such|other|certain|all|both|each|various)\s+)+", re.I)
+#: Phrases that point back to what was named before; they keep their determiner until that is found.
+_POINTING = re.compile(r"(?:this|that|these|those|such)\s+(?:personal\s+)?(?:data|information|details?|records?|parties|party|compan(?:y|ies)|providers?|partners?)$", re.I)
 _WORD = re.compile(r"[A-Za-z][\w'’&.-]*[A-Za-z0-9]|[A-Za-z]|[,;:]|\d+")
 _CUE = re.compile(r"\b(such as|including(?: but not limited to)?|like|especially|e\.g\.|for example|for instance)\b,?\s*", re.I)
 _INCLUDES = re.compile(r"\b(?:includes?|consists? of|comprises?)\b", re.I)
 _COLLECTIVE = re.compile(r"\bcollectively(?:,| referred to as| known as)?\b\s*", re.I)
-_PURPOSE = re.compile(r"\b(?:(?:in order )?to (?!be\b|have\b|the\b|our\b|us\b|you\b|your\b|any\b|third\b|a\b)([a-z]+(?: [\w'-]+){0,7})|for ([a-z]+(?: [\w'-]+){0,5}) purposes?|for (?:the purposes? of )?([a-z]+ing\b(?: [\w'-]+){0,6}))", re.I)
+_PURPOSE = re.compile(r"\b(?:(?:in order )?to (?!be\b|have\b|the\b|our\b|us\b|you\b|your\b|any\b|third\b|a\b)([a-z]+(?: [\w'-]+)*)|for ([a-z]+(?: [\w'-]+)*?) purposes?|for (?:the purposes? of )?([a-z]+ing\b(?: [\w'-]+)*))", re.I)
 _CHILD = re.compile(r"\b(?:child|children|minors?|kids?|under (?:the age of )?1[0-8])\b", re.I)
 _NEG = re.compile(lx.NEGATION.replace("(?i)", ""), re.I)
 _EXC = re.compile(lx.EXCEPTION.replace("(?i)", ""), re.I)
@@ -69,7 +73,7 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
     begin = 0
     for k, (a, b, w) in enumerate(words):
         low = w.lower().rstrip(".")
-        if w in ",;:" or low in ("and", "or", "with", "to", "but", "if", "when", "unless", "which", "who") or low in _FORM or low in _STOP:
+        if w in ",;:" or low in ("and", "or", "with", "to", "but", "if", "when", "unless", "which", "who") or low in _FORM or (low in _STOP and low not in _THESE):
             begin = k + 1
             continue
         nxt = words[k + 1][2].lower().rstrip(".") if k + 1 < len(words) else ""
@@ -82,7 +86,7 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
             label = "ENTITY"
         if label:
             s = words[begin][0] if begin <= k else a
-            out.append((s, b, label, _DETERMINER.sub("", text[s:b])))
+            out.append((s, b, label, text[s:b] if _POINTING.match(text[s:b]) else _DETERMINER.sub("", text[s:b])))
             begin = k + 1
     return out
 
@@ -131,7 +135,7 @@ def tag_sentence(text: str) -> list[tuple]:
                     out.append((r[3], "ENTITY", d[3], "DATA", etype, to_act, subject, purposes, note(r, d)))
     for m in [*_CUE.finditer(text), *_INCLUDES.finditer(text)]:
         up = next((s for s in reversed(sp) if s[1] <= m.start()), None)
-        downs = [s for s in sp if s[0] >= m.end()][:8]
+        downs = [s for s in sp if s[0] >= m.end()]
         if up:
             last = m.end()
             for d in downs:
@@ -142,7 +146,8 @@ def tag_sentence(text: str) -> list[tuple]:
                 last = d[1]
     for m in _COLLECTIVE.finditer(text):
         up = next((s for s in sp if s[0] >= m.end()), None)
-        for d in [s for s in sp if s[1] <= m.start()][-6:] if up else []:
+        clause = max((c.end() for c in _CLAUSE.finditer(text, 0, m.start())), default=0)
+        for d in [s for s in sp if clause <= s[0] and s[1] <= m.start()] if up else []:
             if d[2] == up[2]:
                 out.append((up[3], up[2], d[3], d[2], "SUBSUME", None, None, [], "collectively"))
     return list(dict.fromkeys((*t[:7], tuple(t[7]), t[8]) for t in out))
@@ -168,17 +173,60 @@ def phrase_edges(sentences: DataFrame, tagger: Callable[[str], list[tuple]] = ta
     )
 
 
-# Terms of data in order of precedence.
+def _with(first: str, then: str = "") -> str:
+    """Pattern for one of some words, followed somewhere by one of others; words are beginnings of words unless they end with ``$``."""
+    some = lambda ws: r"\b(?:" + "|".join(w[:-1] + r"\b" if w.endswith("$") else w for w in ws.replace("_", "[- ]?").split()) + ")"
+    return some(first) + (".*" + some(then) if then else "")
+
+
+_ID = "id$ ids$ identif number code"
+_INFO = "info data$ detail record"
+# Terms of data, the more specific first; their names are fixed values, those of the ontology.
 DATA_TERMS = (
-    ("email address", r"e-?mail"), ("ip address", r"\bip\b|internet protocol"), ("phone number", r"\bphone|telephone|mobile number"), ("postal address", r"postal|mailing address|home address|street"),
-    ("precise geolocation", r"precise (?:geo)?location|\bgps\b"), ("coarse geolocation", r"approximate location|coarse location"), ("geolocation", r"location"),
-    ("payment information", r"payment|credit card|billing|bank"), ("browsing / search history", r"brows\w+ (?:history|path|behavio)|search (?:history|phrases?|terms?)"),
-    ("cookie / pixel tag", r"cookie|pixel|beacon"), ("device identifier", r"device (?:id|code|identifier)|\bimei\b|advertising id|\bidfa\b|identifiers?$"),
-    ("person name", r"\b(?:full|first|last|given|sur)?\s?names?$"), ("date of birth", r"birth|\bage\b"), ("biometric information", r"biometric|fingerprint|face"),
-    ("contact information", r"contact"), ("aggregate / deidentified / pseudonymized information", r"aggregated?|anonymi[sz]ed|de-?identified|pseudonym"),
-    ("non-personal information", r"non-?personal"), ("personal information", r"personal(?:ly identifiable)? (?:information|data)|\bpii\b"),
-    ("usage information", r"usage|activity|log (?:data|files?)"),
-)
+    ("non-personal information", _with("non_personal non_pii non_identif")),
+    ("aggregate / deidentified / pseudonymized information", _with("aggregat de_identif anonym pseudonym hashed")),
+    ("precise geolocation", _with("precise exact gps$", "locat geolocat position")),
+    ("coarse geolocation", _with("coarse approximate general city region zip", "locat geolocat")),
+    ("ip address", _with("ip$", "address") + "|" + _with("internet_protocol")),
+    ("mac address", _with("mac$", "address")),
+    ("email address", _with("e_mail")),
+    ("postal address", _with("postal mailing home street billing shipping physical", "address")),
+    ("geolocation", _with("location geo_location whereabouts")),
+    ("android id", _with("android$", _ID)),
+    ("gsf id", _with("gsf$ google_services_framework")),
+    ("advertising id", _with("advertis ad$", "id$ ids$ identif") + "|" + _with("idfa$ gaid$ aaid$")),
+    ("router ssid", _with("ssid$ bssid$")),
+    ("cookie / pixel tag", _with("cookie pixel web_beacon beacon etag$ local_storage")),
+    ("imei", _with("imei$")),
+    ("sim serial number", _with("sim$", "serial number card")),
+    ("serial number", _with("serial_number")),
+    ("software identifier", _with("software", "id$ ids$ identif")),
+    ("hardware identifier", _with("hardware", "id$ ids$ identif")),
+    ("device identifier", _with("device", "id$ ids$ identif code")),
+    ("device information", _with("device", _INFO + " model setting")),
+    ("ssn", _with("social_security ssn$")),
+    ("passport number", _with("passport")),
+    ("driver's license number", _with("driver driving", "licen")),
+    ("government identifier", _with("government national", "id$ identif")),
+    ("phone number", _with("phone$ phones$ telephone mobile_number cell_number msisdn$")),
+    ("person name", r"\b(?:full|first|last|given|sur|maiden)?\s?names?$"),
+    ("contact information", _with("contact", _INFO + " entr method")),
+    ("date of birth", _with("birth dob$")),
+    ("age", _with("age$ ages$")),
+    ("gender", _with("gender sex$")),
+    ("race / ethnicity", _with("race$ racial ethnic")),
+    ("voiceprint", _with("voice_print voice_data voice_record")),
+    ("fingerprint", _with("finger_print")),
+    ("biometric information", _with("biometric face_scan iris")),
+    ("protected classification", _with("protected", "class characteristic")),
+    ("personal characteristic", _with("demographic") + "|" + _with("personal", "characteristic")),
+    ("application installed", _with("installed", "app") + "|" + _with("app_list")),
+    ("browsing / search history", _with("brows search web$", "histor path phrase term")),
+    ("internet activity", _with("clickstream usage internet_activity log_file log_data")),
+    ("personal identifier", _with("personal", "id$ ids$ identif") + "|" + _with("pii$")),
+    ("identifier", _with("identifier unique_id")),
+    ("personal information", _with("personal")),
+)
 _BLANKET = r"^(?:data|information|details|records?|content)$"
 _OWN = r"(?i)^(?:we|us|our|ourselves|i|the company|this (?:site|website|app|service)|the (?:site|website|app|service|platform))\b"
 _GENERIC_WORDS = ("third", "party", "parties", "other", "others", "another", "company", "companies", "entity", "entities", "external", "outside", "person", "persons", "people", "someone", "anyone", "thirdparty", "and")
@@ -217,7 +265,7 @@ def normalize_entity(phrase: Column, companies: tuple[str, ...] = ()) -> Column:
     generic = F.size(F.array_except(words, F.array(*map(F.lit, _GENERIC_WORDS)))) == 0
     out = F.when(low.rlike(_OWN), WE)
     for c in sorted(companies, key=lambda c: (-len(c), c)):
-        out = out.when(low.contains(c), c)
+        out = out.when(low.rlike(r"(?<!\w)\Q" + c.replace("\\E", "") + r"\E(?!\w)"), c)
     return out.when(generic, UNSPECIFIED_PARTY).otherwise(lemmas(phrase))
 
 
@@ -226,29 +274,73 @@ def classify_party(phrase: Column) -> Column:
     return F.when(F.lower(F.trim(phrase)).rlike(_OWN), "first").otherwise("third")
 
 
+def resolved(edges: DataFrame) -> DataFrame:
+    """Phrase edges in which phrases that point back ("this information") are replaced by what they point to.
+
+    That is the nearest earlier phrase of the same label in the document that
+    doesn't point itself; a phrase without one loses its determiner.  The
+    rows of one document are ordered by one task.
+    """
+    back = lambda c: F.col(c).rlike("(?i)" + _POINTING.pattern)
+    ends = F.array(*[F.struct(F.col(f"{x}_label").alias("label"), F.col(x).alias("text"), F.lit(k).alias("side")) for k, x in enumerate(("src", "dst"))])
+    at = edges.select("doc_id", "sent_id", F.inline(ends)).distinct()
+    found = antecedents(at.withColumnRenamed("side", "start").withColumn("demonstrative", back("text"))).where("demonstrative")
+    found = found.groupBy("doc_id", "sent_id", "label", "text").agg(F.min("antecedent").alias("antecedent"))
+    out = edges
+    for x in ("src", "dst"):
+        ref = found.select("doc_id", "sent_id", F.col("label").alias(f"{x}_label"), F.col("text").alias(x), F.col("antecedent").alias("_to"))
+        out = out.join(ref, ["doc_id", "sent_id", f"{x}_label", x], "left").withColumn(x, F.coalesce("_to", F.when(back(x), F.regexp_replace(x, r"(?i)^(?:this|that|these|those|such)\s+", "")).otherwise(F.col(x)))).drop("_to")
+    return out.select(edges.columns)
+
+
 def normalized_edges(edges: DataFrame, companies: tuple[str, ...] = ()) -> DataFrame:
     """Phrase edges with terms for ends and tags for purposes, keyed by document as ``graph_id``."""
     norm = lambda c, lab: F.when(F.col(lab) == "DATA", normalize_data(F.col(c))).otherwise(normalize_entity(F.col(c), companies))
     tags = F.when(F.size("purposes") == 0, F.array().cast("array<string>")).otherwise(purposes_or_other(F.array_join("purposes", " ; ")))
-    return edges.select(
-        F.col("doc_id").alias("graph_id"), "sent_id", norm("src", "src_label").alias("src"), "src_label", norm("dst", "dst_label").alias("dst"), "dst_label", "etype", "action", "subject",
+    # a document's many phrases are few different ones: each is normalised once
+    phrases = edges.select(F.inline(F.array(*[F.struct(F.col(f"{x}_label").alias("label"), F.col(x).alias("phrase")) for x in ("src", "dst")]))).distinct()
+    terms = materialize(phrases.withColumn("term", norm("phrase", "label")), "terms")
+    out = edges
+    for x in ("src", "dst"):
+        out = out.join(terms.select(F.col("label").alias(f"{x}_label"), F.col("phrase").alias(x), F.col("term").alias(f"{x}_term")), [f"{x}_label", x])
+    return out.select(
+        F.col("doc_id").alias("graph_id"), "sent_id", F.col("src_term").alias("src"), "src_label", F.col("dst_term").alias("dst"), "dst_label", "etype", "action", "subject",
         tags.alias("purposes"), "text",
     )
 
 
+def document_sentences(pages: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
+    """``(doc_id, sent_id, text)`` of pages' markup, furniture left out.
+
+    List items also stand behind their lead-ins, so that what a lead-in says
+    holds for its items; ``sent_id`` is ``(node, variant, k)``.
+    """
+    nodes = parse_documents(pages, id_col, raw_col, ("nodes",)).select(F.col("id").alias("doc_id"), F.inline("doc.nodes"))
+    made = node_sentences(materialize(nodes, "nodes"))
+    # the colon of a lead-in would end its clause before the item
+    made = made.withColumn("text", F.when(F.col("variant") > 0, F.regexp_replace("text", r":\s+", " ")).otherwise(F.col("text")))
+    return made.select("doc_id", "node_id", "variant", F.posexplode(split_sentences(F.col("text"))).alias("k", "text")).select(
+        "doc_id", F.struct("node_id", "variant", "k").alias("sent_id"), "text"
+    )
+
+
 def build_graphs(sentences: DataFrame, companies: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of one graph per document."""
-    from tessella.operators.graph import graph_edges, graph_nodes
+    """Nodes and edges of one graph per document from ``sentences(doc_id, sent_id, text)``.
 
-    e = normalized_edges(phrase_edges(sentences), companies)
+    Phrases that point back are resolved, ends and purposes normalised, and
+    SUBSUME edges that would close a cycle with those before them dropped.
+    """
+    e = materialize(normalized_edges(resolved(materialize(phrase_edges(sentences), "phrases")), companies), "edges")
     o = F.struct("sent_id", "etype")
     ends = e.select("graph_id", F.col("src").alias("name"), F.col("src_label").alias("ntype"), F.when(F.col("src_label") == "DATA", F.col("subject")).alias("subject"), o.alias("ord")).unionByName(
         e.select("graph_id", F.col("dst").alias("name"), F.col("dst_label").alias("ntype"), F.when(F.col("dst_label") == "DATA", F.col("subject")).alias("subject"), o.alias("ord"))
     )
     collect = graph_edges(e.where("etype <> 'SUBSUME'").select("graph_id", F.col("src").alias("entity"), F.col("dst").alias("data_type"), F.col("etype").alias("edge_type"), "action", "subject", "purposes", F.array("text").alias("text")))
-    sub = e.where("etype = 'SUBSUME' AND src_label = dst_label AND src <> dst").select("graph_id", "src", "dst", "etype", "action", "subject", "purposes", F.array("text").alias("text"))
+    sub = e.where("etype = 'SUBSUME' AND src_label = dst_label AND src <> dst")
+    kept = acyclic_subsumptions(sub.select("graph_id", "src", "dst", F.to_json("sent_id" if dict(sub.dtypes)["sent_id"].startswith("struct") else F.struct("sent_id")).alias("ord")))
+    sub = sub.select("graph_id", "src", "dst", "etype", "action", "subject", "purposes", F.array("text").alias("text"))
     sub = sub.groupBy("graph_id", "src", "dst", "etype", "action", "subject").agg(F.first("purposes").alias("purposes"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("text")))).alias("text"))
-    return graph_nodes(ends), collect.unionByName(sub)
+    return graph_nodes(ends), collect.unionByName(sub.join(kept, ["graph_id", "src", "dst"], "left_semi").select(collect.columns))
 
 
 def antecedents(spans_: DataFrame) -> DataFrame:
@@ -268,25 +360,25 @@ def list_items_inherit(items: DataFrame, lead_edges: DataFrame) -> DataFrame:
     return lead_edges.where("etype IN ('COLLECT', 'NOT_COLLECT')").drop("dst").join(i, ["doc_id", "node_id"]).withColumn("subject", F.lit(None).cast("string"))
 
 
-def follow_links(links: DataFrame, hops: int = 8) -> DataFrame:
+def follow_links(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     """``(doc_id, src, target)``: ends of reference chains ``links(doc_id, src, dst, ord)``, the last link of a source counting.
 
-    Pointers are doubled ``hops`` times, so chains of up to 2 ** hops links
-    end; on a cycle the result is some member of it.
+    Pointers are doubled until none changes; on a cycle they never rest, so
+    members of cycles are found first and end at the least of their cycle.
     """
     cur = links.groupBy("doc_id", "src").agg(F.max_by("dst", "ord").alias("dst"))
-    for _ in range(hops):
+    cur = materialize(cur.where("src <> dst"), "links")
+    reach = closure(cur, ["doc_id"])
+    loops = reach.where("ancestor = descendant").select("doc_id", F.col("ancestor").alias("src"))
+    # a source has one link, so whatever a member of a cycle reaches lies on the cycle
+    root = reach.withColumnRenamed("ancestor", "src").join(loops, ["doc_id", "src"], "left_semi")
+    root = materialize(root.groupBy("doc_id", "src").agg(F.min("descendant").alias("root")), "roots")
+    cur = materialize(cur.join(root.where("src = root").select("doc_id", "src"), ["doc_id", "src"], "left_anti"), "links")
+    for _ in range(max_rounds):
         nxt = cur.select("doc_id", F.col("src").alias("dst"), F.col("dst").alias("next"))
-        cur = cur.join(nxt, ["doc_id", "dst"], "left").select("doc_id", "src", F.coalesce("next", "dst").alias("dst"))
-        cur = materialize(cur, "links")
-    return cur.withColumnRenamed("dst", "target")
-
-
-def negated_verbs(text: Column, pos: Column) -> Column:
-    """Negation rule of the clause predicates, for a verb at ``pos``."""
-    return is_negated(text, pos)
-
-
-def all_edges(parts: list[DataFrame]) -> DataFrame:
-    """Union of the edges of several annotators."""
-    return reduce(DataFrame.unionByName, parts)
+        step = materialize(cur.join(nxt, ["doc_id", "dst"], "left").select("doc_id", "src", F.coalesce("next", "dst").alias("to"), F.col("next").isNotNull().alias("moved"), "dst"), "links")
+        cur = step.select("doc_id", "src", F.col("to").alias("dst"))
+        if step.where("moved").isEmpty():
+            heads = root.where("src = root").select("doc_id", "src", F.col("root").alias("dst"))
+            return cur.unionByName(heads).withColumnRenamed("dst", "target")
+    raise RuntimeError(f"links don't end after {max_rounds} rounds")

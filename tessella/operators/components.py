@@ -19,7 +19,7 @@ def _stamp(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"] or 0
 
 
-def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node that occurs in an edge.
 
     ``component`` is the least node of the component.  Nulls in either column
@@ -57,6 +57,8 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components aren't complete after {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct()
     return cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         roots.select("node", F.col("node").alias("component"))

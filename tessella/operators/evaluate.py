@@ -132,6 +132,13 @@ def propagation(gold: DataFrame) -> DataFrame:
     return g.select("n", "wrong", ((F.col("n") >= GOALS["propagation_min"]) & (F.col("wrong") == 0)).alias("passed"))
 
 
+def grouped(classified: DataFrame) -> DataFrame:
+    """Documents and those with facets by group, by group and type, and in all, in one pass: ``(grp, target_type, docs, with_facets)``; "all" where a level is summed up."""
+    x = classified.select(group_of(F.col("target_type")).alias("grp"), "target_type", (F.size("facets") > 0).alias("c"))
+    g = x.groupingSets([["grp", "target_type"], ["grp"], []], "grp", "target_type").agg(F.count("*").alias("docs"), F.count_if("c").alias("with_facets"))
+    return g.select(F.coalesce("grp", F.lit("all")).alias("grp"), F.coalesce("target_type", F.lit("all")).alias("target_type"), "docs", "with_facets")
+
+
 def summary(report: DataFrame, share: str, goal: float, title: str) -> DataFrame:
     """``(summary, passed)``: a line of text for one share of a report."""
     ok = F.col(share) >= goal

@@ -7,9 +7,6 @@ and SUBSUME.  Many graphs live in one table, keyed by ``graph_id``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,23 +87,26 @@ def acyclic_subsumptions(edges: DataFrame, nodes: DataFrame | None = None) -> Da
 
 
 def closure(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
-    """Transitive closure ``(keys.., ancestor, descendant)`` without the reflexive pairs, by squaring until nothing is new.
+    """Transitive closure ``(keys.., ancestor, descendant)`` without the reflexive pairs, by a frontier of new pairs until there is none.
 
-    Cycles are allowed; a node on one is its own ancestor.  Nulls are left out.
+    Cycles are allowed; a node on one is its own ancestor.  Nulls are left
+    out.  A closure that ``max_rounds`` doublings don't complete is an error.
     """
     keys = keys or []
-    cur = materialize(edges.select(*keys, F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct(), "closure")
-    n = cur.count()
+    base = materialize(edges.select(*keys, F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct(), "closure")
+    done = fresh = base
+    # only pairs found in the last round are extended, by everything known; distances double from round to round
     for _ in range(max_rounds):
-        left = cur.withColumnRenamed("descendant", "mid")
-        right = cur.withColumnRenamed("ancestor", "mid")
-        step = left.join(right, [*keys, "mid"]).select(*keys, "ancestor", "descendant")
-        cur = materialize(cur.unionByName(step).distinct(), "closure")
-        m = cur.count()
-        if m == n:
-            break
-        n = m
-    return cur
+        up = done.select(*keys, F.col("ancestor"), F.col("descendant").alias("mid"))
+        down = done.select(*keys, F.col("ancestor").alias("mid"), "descendant")
+        step = fresh.withColumnRenamed("descendant", "mid").join(down, [*keys, "mid"]).select(*keys, "ancestor", "descendant").unionByName(
+            up.join(fresh.withColumnRenamed("ancestor", "mid"), [*keys, "mid"]).select(*keys, "ancestor", "descendant")
+        )
+        fresh = materialize(step.distinct().join(done, [*keys, "ancestor", "descendant"], "left_anti"), "closure")
+        if fresh.isEmpty():
+            return done
+        done = done.unionByName(fresh)
+    raise RuntimeError(f"closure isn't complete after {max_rounds} rounds")
 
 
 def reflexive(closed: DataFrame, names: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -125,6 +125,30 @@ def without_cycles(edges: DataFrame, keys: list[str] | None = None, src: str = "
     return edges.join(on.select(*keys, src, dst).distinct(), [*keys, src, dst], "left_anti")
 
 
+def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(graph_id, src, dst, etype, problem)`` of every edge that a graph may not have.
+
+    unknown end: no such node; loop: a term that subsumes itself; ends of two
+    types: a subsumption between data and entity; not from entity to data: any
+    other edge that is; cycle: a subsumption both of whose ends reach each other.
+    """
+    n = nodes.select("graph_id", "name", "ntype").distinct()
+    t = edges.select("graph_id", "src", "dst", "etype").distinct()
+    at = t.join(n.withColumnsRenamed({"name": "src", "ntype": "_s"}), ["graph_id", "src"], "left").join(n.withColumnsRenamed({"name": "dst", "ntype": "_d"}), ["graph_id", "dst"], "left")
+    sub = F.col("etype") == "SUBSUME"
+    problem = (
+        F.when(F.col("_s").isNull() | F.col("_d").isNull(), "unknown end")
+        .when(sub & (F.col("src") == F.col("dst")), "loop")
+        .when(sub & (F.col("_s") != F.col("_d")), "ends of two types")
+        .when(~sub & ((F.col("_s") != "ENTITY") | (F.col("_d") != "DATA")), "not from entity to data")
+    )
+    found = at.select("graph_id", "src", "dst", "etype", problem.alias("problem")).where("problem IS NOT NULL")
+    s = t.where(sub & (F.col("src") != F.col("dst")))
+    c = closure(s, ["graph_id"])
+    back = c.select("graph_id", F.col("descendant").alias("src"), F.col("ancestor").alias("dst"))
+    return found.unionByName(s.join(back, ["graph_id", "src", "dst"], "left_semi").select("graph_id", "src", "dst", "etype", F.lit("cycle").alias("problem")))
+
+
 def collects(queries: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Rows of ``queries(graph_id, entity, data_type)`` with the purposes of the COLLECT edges that answer them.
 
@@ -292,8 +316,3 @@ def parse_flows(specs: Column) -> Column:
     """``(entity, data_type)`` of an ``ENTITY:DATA`` argument; underscores are blanks."""
     s = F.regexp_replace(specs, "_", " ")
     return F.struct(F.trim(F.split_part(s, F.lit(":"), F.lit(1))).alias("entity"), F.trim(F.split_part(s, F.lit(":"), F.lit(2))).alias("data_type"))
-
-
-def union_all(frames: Iterator[DataFrame]) -> DataFrame:
-    """Union by name of several tables."""
-    return reduce(DataFrame.unionByName, frames)

@@ -129,6 +129,8 @@ def expand_hierarchy(
         frontier = step.where("NOT shut AND far").select("id", "path")
         if frontier.isEmpty():
             break
+    else:
+        raise RuntimeError(f"paths aren't complete after {max_rounds} rounds")
     paths = reduce(DataFrame.unionByName, levels).select(
         "id", "path", F.size("path").cast("int").alias("depth"), F.element_at("path", 1).alias("root")
     )

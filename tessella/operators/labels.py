@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.scratch import materialize, numbered
+
 SEED = 1234
 EVIDENCE = 200
 # Columns of the sheets, all text.
@@ -26,7 +28,6 @@ def uniform(key: Column, seed: int = SEED) -> Column:
 
 
 
-
 def shuffled_targets(targets: DataFrame, prior: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """``(target_id, label_order)`` from 1: a seeded order, or the prior order with fresh targets at seeded places between.
 
@@ -34,17 +35,15 @@ def shuffled_targets(targets: DataFrame, prior: DataFrame | None = None, seed: i
     """
     t = targets.select("target_id").where("target_id IS NOT NULL").distinct()
     if prior is None:
-        key = uniform(F.col("target_id"), seed)
-        place = t.select("target_id", key.alias("place"))
+        place = t.select("target_id", uniform(F.col("target_id"), seed).alias("place"))
     else:
         old = prior.groupBy("target_id").agg(F.min(F.col("label_order").try_cast("int")).alias("o"))
-        w = Window.orderBy("o", "target_id")
-        known = t.join(old, "target_id").withColumn("r", F.row_number().over(w))
+        known = materialize(numbered(t.join(old, "target_id"), ["o", "target_id"], "r"), "known")
         n = known.agg(F.count("*").alias("n"))
         place = known.select("target_id", F.col("r").cast("double").alias("place")).unionByName(
             t.join(old, "target_id", "left_anti").crossJoin(F.broadcast(n)).select("target_id", (uniform(F.col("target_id"), seed) * (F.col("n") + 1)).alias("place"))
         )
-    return place.select("target_id", F.row_number().over(Window.orderBy("place", "target_id")).alias("label_order"))
+    return numbered(place, ["place", "target_id"], "label_order").select("target_id", "label_order")
 
 
 def prior_gold(sheet: DataFrame, field: str, order: str = "label_order") -> tuple[DataFrame, DataFrame]:

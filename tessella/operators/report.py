@@ -99,8 +99,3 @@ def analysis_payload(targets: DataFrame, assembled: DataFrame, classified: DataF
             )
         ).alias("payload"),
     )
-
-
-def tag_counts(items: Column) -> Column:
-    """Number of entries of a list for display."""
-    return F.coalesce(F.size(items), F.lit(0))

@@ -1,7 +1,7 @@
 """Lineage cuts: intermediate tables in the folder that all executors share.
 
 The folder is ``spark.checkpoint.dir`` of the session.  Only where that is
-unset (tests, a notebook on one machine) a local folder is made.  Tables are
+unset and the session runs on one machine a local folder is made.  Tables are
 Parquet, so a cut costs little disk, survives lost executors and is read back
 with column pruning.
 """
@@ -12,7 +12,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 
@@ -32,6 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessella-")
         _ROOTS[app] = f"{base.rstrip('/')}/tessella-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_delete, spark, _ROOTS[app])
@@ -61,6 +64,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``name``, the place of each row from 1 in the order of ``order``, which must tell rows apart.
+
+    Rows are split by ranges, numbered within their range and moved by the
+    number of rows in the ranges before; no task gets more than a range.
+    """
+    split = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    size = split.groupBy("_part").agg(F.count("*").alias("_n"))
+    # one row per range
+    before = size.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).select("_part", "_before")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return split.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that still read them must have been written before.
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tessella import lexicons as lx
 from tessella.functions.text import sha1_of_trimmed
 
-SEGMENTS = 400
 #: Labels of the taxonomy that the classifier scores; the first is the one used here.
 THRESHOLD = 0.5
 
@@ -36,9 +35,10 @@ def score_segments(segments: DataFrame, scorer: Callable[[list[str]], list[float
     return segments.select(F.col(text).alias("text")).where("text <> ''").distinct().mapInPandas(run, "text string, score double, main_third int")
 
 
-def document_verdicts(docs: DataFrame, known: DataFrame | None = None, scorer: Callable[[list[str]], list[float]] = stub_scorer) -> DataFrame:
-    """``(text_hash, main_third)`` of documents ``(text, segments)`` whose hash isn't in ``known``: any of the first 400 segments is flagged."""
-    d = docs.select(sha1_of_trimmed(F.coalesce("text", F.lit(""))).alias("text_hash"), F.slice("segments", 1, SEGMENTS).alias("segments")).dropDuplicates(["text_hash"])
+def document_verdicts(docs: DataFrame, known: DataFrame | None = None, scorer: Callable[[list[str]], list[float]] = stub_scorer, first: int | None = None) -> DataFrame:
+    """``(text_hash, main_third)`` of documents ``(text, segments)`` whose hash isn't in ``known``: any segment, or of the ``first`` ones, is flagged."""
+    taken = F.col("segments") if first is None else F.slice("segments", 1, first)
+    d = docs.select(sha1_of_trimmed(F.coalesce("text", F.lit(""))).alias("text_hash"), taken.alias("segments")).dropDuplicates(["text_hash"])
     if known is not None:
         d = d.join(known.select("text_hash"), "text_hash", "left_anti")
     s = d.select("text_hash", F.explode("segments").alias("text"))

@@ -12,10 +12,10 @@ from tessella.functions import entities as en
 from tessella.functions import html as hx
 from tessella.functions import text as tx
 from tessella.functions import urls
-from tessella.functions.registry import ads_txt_relations, registry_names, registry_relations
-from tessella.operators import annotate, collect, evaluate, graph, labels, relations, report, typology
+from tessella.functions.registry import ads_txt_relations
+from tessella.operators import annotate, collect, evaluate, graph, labels, relations, report, tables, typology, verdicts
 from tessella.operators.hierarchy import expand_hierarchy
-from tessella.operators.scratch import spread
+from tessella.operators.scratch import materialize, spread
 from tessella.sources import corpus
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,15 +209,6 @@ def c22_first_per_content(spark, d):
     return collect.first_per_content(x).select("target_id", "doc_id")
 
 
-@query(None)
-def c23_companion_candidates(spark, d):
-    t = Tables(spark, d)
-    docs = t.clean_docs()
-    pages = t.parsed_docs.select("doc_id", "links").join(docs.select("doc_id", "url"), "doc_id")
-    links = collect.discovered_links(pages).join(docs.select("doc_id", "target_id"), "doc_id")
-    return collect.companion_candidates(t.clean_targets(), docs, links)
-
-
 _ROOT = """, c AS (SELECT target_id, 0 AS rank, seed_policy_url AS url FROM tg UNION ALL SELECT target_id, 1, url FROM tg UNION ALL SELECT target_id, CASE WHEN role = 'privacy_policy' THEN 2 ELSE 3 END, url FROM dc),
     rt AS (SELECT target_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS root FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rank, url) AS r FROM c
       WHERE coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') NOT IN ('', 'play.google.com', 'apps.apple.com', 'itunes.apple.com', 'support.google.com')) WHERE r = 1)"""
@@ -330,12 +321,6 @@ def l10_machine_readable_kind(spark, d):
     return Tables(spark, d).documents.where("text IS NOT NULL").select("doc_id", tx.machine_readable_kind(F.col("text")).alias("kind"))
 
 
-@query(None)
-def l11_registry_names(spark, d):
-    x = Tables(spark, d).documents.where("text IS NOT NULL").withColumn("kind", tx.machine_readable_kind(F.col("text"))).where("kind <> ''")
-    return x.select("doc_id", "kind", F.array_join(registry_names(F.col("text"), F.col("kind")), ";").alias("names"))
-
-
 @query("""WITH s AS (SELECT doc_id, unnest(segments) AS s FROM parsed_docs), w AS (SELECT doc_id, s, regexp_extract_all(s, '[A-Za-z][\\w''&-]*', 0) AS w FROM s)
     SELECT doc_id, count(*) FILTER (WHERE NOT regexp_matches(s, '[.!?]') AND len(w) >= 3 AND len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.6 * len(w)) AS junk FROM w GROUP BY 1""")
 def l12_navigation_junk(spark, d):
@@ -343,19 +328,13 @@ def l12_navigation_junk(spark, d):
     return s.groupBy("doc_id").agg(F.count_if(tx.navigation_junk(F.col("s"))).alias("junk"))
 
 
-@query(None)
-def l14_platform_label(spark, d):
-    x = Tables(spark, d).documents
-    return x.select("doc_id", tx.platform_label(F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))).alias("l")).select("doc_id", "l.has_label", "l.shares", "l.kind")
-
-
 # -- entities ---------------------------------------------------------------------
 
 
 @query("""WITH g AS (SELECT lower(trim(name)) AS n FROM gazetteer) SELECT DISTINCT doc_id, n AS org FROM parsed_docs JOIN g ON contains(lower(text), n)""")
 def n1_gazetteer_orgs(spark, d):
     t = Tables(spark, d)
-    return t.parsed_docs.select("doc_id", F.explode(en.gazetteer_orgs(F.col("text"), t.gazetteer_())).alias("org"))
+    return en.listed_orgs(t.parsed_docs, "doc_id", "text", t.gazetteer).select(F.col("id").alias("doc_id"), F.col("name").alias("org"))
 
 
 @query("""WITH n AS (SELECT DISTINCT entity AS name FROM collect_edges WHERE entity <> ''), g AS (SELECT lower(trim(name)) AS n, max(coalesce(org_type, 'company')) AS t FROM gazetteer GROUP BY 1)
@@ -367,13 +346,6 @@ def n2_classify_org(spark, d):
     return n.select("name", en.classify_org(F.col("name"), t.gazetteer_()).alias("kind"))
 
 
-@query(None)
-def n3_clean_org(spark, d):
-    t = Tables(spark, d)
-    n = t.collect_edges.select(F.col("entity").alias("name")).where("name <> ''").distinct()
-    return n.select("name", en.clean_org(F.col("name"), t.gazetteer_()).alias("cleaned"))
-
-
 @query(None)
 def n4_detect_orgs(spark, d):
     t = Tables(spark, d)
@@ -393,31 +365,38 @@ def n6_first_party_tokens(spark, d):
     SELECT doc_id, array_to_string(list(o ORDER BY l), ';') AS orgs FROM k GROUP BY 1""")
 def n14_merge_orgs(spark, d):
     x = Tables(spark, d).doc_classification.select("doc_id", F.explode("named_orgs").alias("o")).groupBy("doc_id").agg(F.array_sort(F.collect_set("o")).alias("a"))
-    return x.select("doc_id", F.array_join(en.merge_orgs(F.array().cast("array<string>"), F.col("a"), 1_000_000), ";").alias("orgs"))
+    return x.select("doc_id", F.array_join(en.merge_orgs(F.array().cast("array<string>"), F.col("a")), ";").alias("orgs"))
 
 
 # -- classification -----------------------------------------------------------------
 
 
 def _documents_to_classify(t: Tables) -> DataFrame:
+    """Parsed pages with their tables, and what is known of them and their targets; pages aren't shuffled where that is small."""
     docs, tg = t.clean_docs(), t.clean_targets()
     u = docs.where(F.col("role").isin(*lx.FIRST_PARTY_URL_ROLES)).groupBy("target_id").agg(F.collect_set("url").alias("urls"))
     fp = tg.join(u, "target_id", "left").select("target_id", "target_type", en.first_party_tokens(F.col("urls"), F.col("name")).alias("first_party"))
-    meta = docs.where("ok").select("doc_id", "target_id", "role", "url").join(fp, "target_id", "left")
-    return spread(t.parsed_docs.select("doc_id", "title", "text", "segments", "raw")).join(meta, "doc_id")
+    meta = materialize(docs.where("ok").select("doc_id", "target_id", "role", "url").join(fp, "target_id", "left"), "meta")
+    pages = hx.with_tables(spread(t.parsed_docs.select("doc_id", "title", "text", "segments", "raw")), "raw")
+    return pages.join(meta, "doc_id")
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    """Verdicts on the pages as the interface gives them, with its stub for a model."""
+    return verdicts.document_verdicts(t.parsed_docs.select("text", "segments"))
 
 
 @query(None)
 def s11_classify_documents(spark, d):
     t = Tables(spark, d)
-    c = typology.classify_documents(_documents_to_classify(t), t.gazetteer_())
+    c = typology.classify_documents(_documents_to_classify(t), t.gazetteer_(), _verdicts(t))
     return c.select("target_id", "doc_id", "role", "medium", "reason", "relevant", j("facets"), "decisive", j("named_orgs"), j("category_terms"), "org_typing", "evidence")
 
 
 @query(None)
 def s13_classify_targets(spark, d):
     t = Tables(spark, d)
-    a = typology.assemble_targets(typology.classify_documents(_documents_to_classify(t), t.gazetteer_()))
+    a = typology.assemble_targets(typology.classify_documents(_documents_to_classify(t), t.gazetteer_(), _verdicts(t)))
     return a.select("target_id", typology.typology_class(F.col("facets")).alias("class"), "relevant_docs", "docs", "classified")
 
 
@@ -432,11 +411,10 @@ def s9_media_of(spark, d):
     return Tables(spark, d).classified().select("doc_id", F.array_join(typology.media_of(F.col("facets")), ";").alias("media"))
 
 
-@query("WITH " + _DOCS + """, v AS (SELECT sha1(trim(text)) AS h, bool_or(len(text) % 2 = 0) AS flag FROM parsed_docs GROUP BY 1)
-    SELECT p.doc_id, v.flag FROM parsed_docs p JOIN v ON v.h = sha1(trim(p.text))""")
-def s17_verdict_join(spark, d):
-    p = Tables(spark, d).parsed_docs.select("doc_id", tx.sha1_of_trimmed(F.col("text")).alias("h"), (F.length("text") % 2 == 0).alias("f"))
-    return p.join(p.groupBy("h").agg(F.bool_or("f").alias("flag")), "h").select("doc_id", "flag")
+@query(f"""WITH s AS (SELECT sha1(trim(coalesce(text, ''))) AS text_hash, unnest(segments) AS s FROM parsed_docs) SELECT text_hash, CAST(max(CAST(regexp_matches(s, '{_sq(lx.CATEGORY)}') AS INT)) AS INT) AS main_third FROM s WHERE s <> '' GROUP BY 1""")
+def s17_document_verdicts(spark, d):
+    """Verdicts of the stand-in for a model, which flags a segment that names a group of recipients."""
+    return verdicts.document_verdicts(Tables(spark, d).parsed_docs.select("text", "segments"))
 
 
 # -- relations ------------------------------------------------------------------------
@@ -460,12 +438,6 @@ def r3_ads_txt_relations(spark, d):
     return ads_txt_relations(Tables(spark, d).documents.select("doc_id", F.col("text").alias("raw"))).select("doc_id", "entity", "qualifier")
 
 
-@query(None)
-def r6_registry_relations(spark, d):
-    r = registry_relations(Tables(spark, d).documents.select("doc_id", F.col("text").alias("raw")))
-    return r.select("doc_id", "entity", "data_type", "action", j("purposes"), "qualifier", j("sources"))
-
-
 @query("WITH " + _RELATIONS + """ SELECT target_id, entity, data_type, action, negative, arg_min(party, ord) AS party, array_to_string(list_sort(list_distinct(flatten(list(coalesce(purposes, []))))), ';') AS purposes,
     coalesce(arg_min(text, ord) FILTER (WHERE text <> ''), '') AS text, array_to_string(list_sort(list(DISTINCT doc_id)), ';') AS doc_ids FROM rl GROUP BY 1, 2, 3, 4, 5""")
 def r14_merge_relations(spark, d):
@@ -473,12 +445,6 @@ def r14_merge_relations(spark, d):
     return m.select("target_id", "entity", "data_type", "action", "negative", "party", j("purposes"), "text", j("doc_ids"))
 
 
-@query("""WITH n AS (SELECT DISTINCT entity FROM collect_edges WHERE entity <> '') SELECT entity FROM n WHERE regexp_split_to_array(lower(trim(entity)), '\\s+')[-1] IN ('act', 'law', 'regulation', 'directive', 'code', 'statute', 'policy', 'agreement', 'shield', 'framework')""")
-def r12_not_actors(spark, d):
-    n = Tables(spark, d).collect_edges.select("entity").where("entity <> ''").distinct()
-    return n.where(relations.not_an_actor(F.col("entity")))
-
-
 # -- knowledge graphs ------------------------------------------------------------------
 
 _GRAPH = _EDGES + """, ge AS (SELECT doc_id AS graph_id, lower(trim(entity)) AS src, lower(trim(regexp_replace(data_type, '\\s+', ' ', 'g'))) AS dst, edge_type AS etype, action, subject,
@@ -508,15 +474,6 @@ def q1_graph_nodes(spark, d):
     return _nodes(Tables(spark, d)).select("graph_id", "name", "ntype", F.array_join("subjects", ";").alias("subjects"))
 
 
-@query("WITH " + _GRAPH.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6") + """ SELECT graph_id, src AS entity, dst AS data_type, array_to_string(list_sort(list_distinct(flatten(list(purposes)))), ';') AS purposes FROM ge WHERE etype = 'COLLECT' GROUP BY 1, 2, 3""")
-def q6_collects(spark, d):
-    e = _graph(Tables(spark, d))
-    n = e.select("graph_id", F.col("src").alias("name")).unionByName(e.select("graph_id", F.col("dst").alias("name"))).distinct()
-    reach = n.select("graph_id", F.col("name").alias("ancestor"), F.col("name").alias("descendant"))
-    q = e.select("graph_id", F.col("src").alias("entity"), F.col("dst").alias("data_type")).distinct()
-    return graph.collects(q, e, reach).select("graph_id", "entity", "data_type", F.array_join("purposes", ";").alias("purposes"))
-
-
 @query(None)
 def q10_graph_json(spark, d):
     t = Tables(spark, d)
@@ -525,56 +482,16 @@ def q10_graph_json(spark, d):
 
 @query(None)
 def g1_build_graphs(spark, d):
-    s = spread(Tables(spark, d).parsed_docs.select("doc_id", "segments")).select("doc_id", F.posexplode("segments").alias("seg", "s"))
-    s = s.select("doc_id", "seg", F.posexplode(tx.split_sentences(F.col("s"))).alias("k", "text")).select("doc_id", (F.col("seg") * 1000 + F.col("k")).alias("sent_id"), "text")
-    nodes, edges = annotate.build_graphs(s)
+    """Graphs of the pages' markup; the companies are those of the gazetteer."""
+    t = Tables(spark, d)
+    s = annotate.document_sentences(spread(t.parsed_docs.select("doc_id", "raw")))
+    nodes, edges = annotate.build_graphs(s, tuple(n for n, _ in t.gazetteer_().types))
     return edges.select("graph_id", "src", "dst", "etype", "action", "subject", j("purposes"))
 
 
 # -- graph applications -------------------------------------------------------------------
 
 
-@query("WITH RECURSIVE " + _GRAPH.replace("GROUP BY ALL", "GROUP BY 1, 2, 3, 4, 5, 6") + ", " + _ONTO.removeprefix("WITH ") + """, up(a, b) AS (SELECT lower(hypernym), lower(hyponym) FROM oe UNION SELECT u.a, lower(oe.hyponym) FROM up u JOIN oe ON lower(oe.hypernym) = u.b),
-    rf AS (SELECT a, b FROM up UNION SELECT lower(label), lower(label) FROM lab)
-    SELECT DISTINCT p.graph_id, p.action, p.subject, p.src AS entity_pos, p.dst AS data_pos, n.src AS entity_neg, n.dst AS data_neg FROM ge p JOIN ge n ON p.graph_id = n.graph_id AND p.action = n.action AND p.subject IS NOT DISTINCT FROM n.subject
-    WHERE p.etype = 'COLLECT' AND n.etype = 'NOT_COLLECT' AND p.subject IS NOT NULL AND (len(n.purposes) = 0 OR list_has_any(p.purposes, n.purposes)) AND p.src = n.src
-      AND (p.dst = n.dst OR EXISTS (SELECT 1 FROM rf x JOIN rf y ON x.b = y.b WHERE x.a = p.dst AND y.a = n.dst))""")
-def a1_contradictions(spark, d):
-    t = Tables(spark, d)
-    e = _graph(t)
-    o = graph.ontology_edges(t.ccpa_data_ontology)
-    low = o.select(F.lower("hypernym").alias("hypernym"), F.lower("hyponym").alias("hyponym"))
-    names = t.ccpa_data_ontology.where("id IS NOT NULL").select(F.lower(F.coalesce("label", "id")).alias("name")).distinct()
-    g = graph.reflexive(graph.closure(low, src="hypernym", dst="hyponym"), names)
-    local = e.select("graph_id", F.col("src").alias("ancestor"), F.col("src").alias("descendant")).distinct()
-    c = graph.contradictions(e, local, g)
-    return c.select("graph_id", "action", "subject", "entity_pos", "data_pos", "entity_neg", "data_neg").distinct()
-
-
-@query(None)
-def a5_flow_consistency(spark, d):
-    t = Tables(spark, d)
-    e, n = _graph(t), _nodes(t)
-    low = graph.ontology_edges(t.ccpa_data_ontology).select(F.lower("hypernym").alias("hypernym"), F.lower("hyponym").alias("hyponym"))
-    up = graph.closure(low, src="hypernym", dst="hyponym")
-    local = n.select("graph_id", F.col("name").alias("ancestor"), F.col("name").alias("descendant"))
-    # every denied collection is looked at as a flow that was observed
-    flows = e.where("etype = 'NOT_COLLECT'").select("graph_id", F.col("src").alias("entity"), F.col("dst").alias("data_type"))
-    return graph.classify_flows(flows, n, e, local, up).select("graph_id", "entity", "data_type", "disclosure", "consistent", "purpose_class", F.array_join("purposes", ";").alias("purposes"))
-
-
-@query(None)
-def a7_check_terms(spark, d):
-    t = Tables(spark, d)
-    n = _nodes(t)
-    o = graph.ontology_edges(t.ccpa_data_ontology)
-    onto = t.ccpa_data_ontology.where("id IS NOT NULL").select(F.lower(F.coalesce("label", "id")).alias("name"))
-    low = o.select(F.lower("hypernym").alias("src"), F.lower("hyponym").alias("dst"))
-    sub = low.join(n.select("graph_id", F.col("name").alias("src")), "src").join(n.select("graph_id", F.col("name").alias("dst")), ["graph_id", "dst"]).select("graph_id", "src", "dst")
-    r = graph.check_terms(n, graph.closure(sub, ["graph_id"]), onto, onto, sub)
-    return r.select("graph_id", j("misleading"), j("non_standard"))
-
-
 # -- evaluation -----------------------------------------------------------------------------
 
 
@@ -682,16 +599,6 @@ def b9_typology_gold(spark, d):
     return labels.typology_gold(s).select("target_id", F.array_join("facets", ";").alias("facets"))
 
 
-@query("WITH " + _CLASSIFIED + " SELECT target_id, count(*) FILTER (WHERE medium IS NOT NULL) AS docs_done, count(*) AS docs_total, count(*) FILTER (WHERE medium IS NOT NULL) = count(*) AS s1 FROM cl GROUP BY 1")
-def b16_target_steps(spark, d):
-    c = Tables(spark, d).classified()
-    rel = c.select("target_id", "doc_id", F.when(F.col("medium").isNotNull(), F.col("relevant").cast("int").cast("string")).otherwise("").alias("gold_relevant"))
-    typ = c.select("target_id", "doc_id", F.array_join("facets", ";").alias("gold_facets"))
-    pres = c.select("target_id", F.lit("1").alias("gold_pp_present"), F.lit("").alias("gold_list_present")).distinct()
-    prop = c.select("target_id", F.lit("").alias("gold_correct")).limit(0)
-    return labels.target_steps(rel, typ, pres, prop).select("target_id", "docs_done", "docs_total", "s1")
-
-
 # -- read models ------------------------------------------------------------------------------
 
 

@@ -56,6 +56,13 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return targets, docs
 
 
+def read_manifest_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``targets`` and ``docs`` of manifests as ``write_manifests`` leaves them, one per line."""
+    m = spark.read.schema(MANIFEST_SCHEMA).json(path)
+    targets = m.select(F.col("target.id").alias("target_id"), F.col("target.type").alias("target_type"), "target.name", "target.url", "target.app_id", "target.seed_policy_url")
+    return targets, m.select(F.col("target.id").alias("target_id"), F.inline("docs"))
+
+
 def manifests(targets: DataFrame, docs: DataFrame) -> DataFrame:
     """One row per target with its documents in order of id, as written to manifests."""
     d = docs.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in DOC_TYPE.fieldNames()]))).alias("docs"))

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.operators import annotate, evaluate, labels, report, typology
@@ -88,14 +89,65 @@ def test_graph_sentences(spark):
     assert edges.where("graph_id = 'kid'").first()["subject"] == "child" and nodes.where("ntype = 'DATA'").count() > 0
 
 
+def test_lists_pointers_and_cycles_in_graphs(spark):
+    page = "<h1>Notice</h1><p>We collect:</p><ul><li>your email address</li><li>phone numbers</li></ul><p>We collect your location. We share this information with advertisers.</p><p>Identifiers include device codes. Device codes include identifiers.</p>"
+    df = spark.createDataFrame([("d", page), ("n", None)], "doc_id string, raw string")
+    nodes, edges = annotate.build_graphs(annotate.document_sentences(df))
+    got = {(r["src"], r["dst"], r["etype"]) for r in edges.collect()}
+    assert {("we", "email address", "COLLECT"), ("we", "phone number", "COLLECT"), ("we", "geolocation", "COLLECT"), ("advertiser", "geolocation", "COLLECT")} <= got
+    assert len({x for x in got if x[2] == "SUBSUME"}) == 1  # the second would close a cycle
+    assert nodes.where("name = 'geolocation' AND ntype = 'DATA'").count() == 1
+    many = "We share names such as " + ", ".join(f"{chr(97 + i)}lpha codes" for i in range(15)) + " and zeta codes."
+    assert len([e for e in annotate.tag_sentence(many) if e[4] == "SUBSUME"]) == 16
+
+
+def test_companies_are_whole_words(spark):
+    one = spark.range(1)
+    v = lambda x: one.select(annotate.normalize_entity(F.lit(x), ("meta",)).alias("v")).first()["v"]
+    assert v("the Meta group") == "meta" and v("metadata vendor") == "metadata vendor"
+
+
+def test_graph_findings(spark):
+    from tessella.operators import graph
+
+    n = spark.createDataFrame([("g", "we", "ENTITY"), ("g", "x", "DATA"), ("g", "y", "DATA"), ("g", "z", "DATA")], "graph_id string, name string, ntype string")
+    e = spark.createDataFrame([("g", "we", "x", "COLLECT"), ("g", "x", "we", "COLLECT"), ("g", "x", "y", "SUBSUME"), ("g", "y", "x", "SUBSUME"), ("g", "y", "z", "SUBSUME"), ("g", "z", "z", "SUBSUME"), ("g", "we", "x", "SUBSUME"), ("g", "we", "q", "COLLECT")], "graph_id string, src string, dst string, etype string")
+    got = {(r["src"], r["dst"], r["etype"], r["problem"]) for r in graph.validate(n, e).collect()}
+    assert got == {("x", "we", "COLLECT", "not from entity to data"), ("z", "z", "SUBSUME", "loop"), ("we", "x", "SUBSUME", "ends of two types"), ("we", "q", "COLLECT", "unknown end"), ("x", "y", "SUBSUME", "cycle"), ("y", "x", "SUBSUME", "cycle")}
+
+
+def test_unfinished_iterations_fail(spark):
+    import pytest
+
+    from tessella.operators import components, graph, hierarchy
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.closure(chain, max_rounds=2)
+    with pytest.raises(RuntimeError):
+        components.connected_components(chain, "src", "dst", max_rounds=1)
+    with pytest.raises(RuntimeError):
+        hierarchy.expand_hierarchy(spark.createDataFrame([(str(i), [str(i - 1)] if i else []) for i in range(40)], "id string, parents array<string>"), max_rounds=2)
+
+
+def test_numbering_over_ranges(spark):
+    from tessella.operators.scratch import numbered
+
+    rows = [(f"k{i:04}", i % 7) for i in range(500)]
+    got = {r["k"]: r["no"] for r in numbered(spark.createDataFrame(rows, "k string, g int").repartition(5), ["g", "k"], "no").collect()}
+    assert got == {k: n for n, (g, k) in enumerate(sorted((g, k) for k, g in rows), 1)}
+
+
 def test_normalisation_and_links(spark):
     one = spark.range(1)
     v = lambda c: one.select(c.alias("v")).first()["v"]
     assert [v(annotate.normalize_data(F.lit(x))) for x in ("IP addresses", "the information", "precise location", "shoe sizes")] == ["ip address", "unspecified data", "precise geolocation", "shoe size"]
     assert [v(annotate.normalize_entity(F.lit(x), ("google", "google analytics"))) for x in ("our site", "Google Analytics", "other third parties", "ad networks")] == ["we", "google analytics", "unspecified third party", "ad network"]
     ln = spark.createDataFrame([("d", "a", "b", 1), ("d", "b", "c", 2), ("d", "c", "e", 3), ("d", "a", "x", 0), ("d", "p", "q", 1), ("d", "q", "p", 2)], "doc_id string, src string, dst string, ord int")
-    got = {r["src"]: r["target"] for r in annotate.follow_links(ln, 3).collect()}
-    assert got["a"] == got["b"] == got["c"] == "e" and got["p"] in ("p", "q")
+    got = {r["src"]: r["target"] for r in annotate.follow_links(ln).collect()}
+    assert got["a"] == got["b"] == got["c"] == "e" and got["p"] == got["q"] == "p"
+    long = spark.createDataFrame([("d", f"n{i:03}", f"n{i + 1:03}", 0) for i in range(300)], "doc_id string, src string, dst string, ord int")
+    assert {r["target"] for r in annotate.follow_links(long).collect()} == {"n300"}
     sp = spark.createDataFrame([("d", 0, 0, "DATA", "emails", False), ("d", 1, 0, "DATA", "this data", True), ("d", 2, 0, "ENTITY", "they", True)], "doc_id string, sent_id int, start int, label string, text string, demonstrative boolean")
     assert {r["text"]: r["antecedent"] for r in annotate.antecedents(sp).collect()} == {"emails": None, "this data": "emails", "they": None}
 
@@ -107,6 +159,65 @@ def test_carry(spark):
     assert got == {0: False, 1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: False}
 
 
+def test_carry_in_order_equals_windows():
+    rnd = random.Random(5)
+    rows = [(f"d{i}", p, rnd.random() < 0.3, rnd.random() < 0.5, rnd.random() < 0.2) for i in range(40) for p in range(rnd.randrange(1, 30))]
+    cols = list(zip(*rows))
+    t = pa.table({"doc_id": cols[0], "fp": [[]] * len(rows), "pos": cols[1], "seg": ["s"] * len(rows), "q": cols[2], "lead": cols[3], "skip": cols[4]})
+    got = [(r["doc_id"], r["pos"]) for b in typology._carry_on(iter(t.to_batches(max_chunksize=7)), 3) for r in b.to_pylist()]
+    want = []
+    for i in dict.fromkeys(cols[0]):
+        lead = left = 0
+        for _, p, q, ends, skip in [r for r in rows if r[0] == i]:
+            if not skip and q:
+                lead, left = ends, 3
+            elif not skip:
+                if not (lead and left > 0):
+                    left -= 1
+                    continue
+                left -= 1
+            else:
+                continue
+            want.append((i, p))
+    assert got == want
+
+
+def test_nothing_is_cut_off(spark):
+    """Segments, names and rows beyond any round number count, unless a bound is asked for."""
+    idle = ["Nothing happens in this room at all."] * 900
+    last = "We share your data with vendors such as Hotjar."
+    ads = "\n".join(f"firm{i}.example, {i}, DIRECT" for i in range(1500))
+    text = "\n".join([*idle, last]) + " privacy policy, cookies, consent, personal data"
+    rows = [("far", "privacy_policy", "Privacy", text, [*idle, last], ""), ("reg", "ads_txt", "", ads, [], ads)]
+    df = spark.createDataFrame(rows, "doc_id string, role string, title string, text string, segments array<string>, raw string").withColumns({"target_id": F.lit("t"), "target_type": F.lit("website"), "url": F.lit("https://a.example/p")})
+    got = {r["doc_id"]: r for r in typology.classify_documents(df, GAZ).collect()}
+    assert got["far"]["named_orgs"] == ["hotjar"] and len(got["reg"]["named_orgs"]) == 1500
+    brief = {r["doc_id"]: r for r in typology.classify_documents(df, GAZ, limits=typology.BRIEF).collect()}
+    assert brief["far"]["named_orgs"] == [] and len(brief["reg"]["named_orgs"]) == 200
+
+
+def grid(heads, rows):
+    return "<table><tr>" + "".join(f"<th>{h}</th>" for h in heads) + "</tr>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+def test_tables_decide(spark):
+    """Tables of a page: processors, vendors, consent lists, and names in the tables of a policy."""
+    from tessella.functions.html import with_tables
+
+    firms = ["Google", "Hotjar", "Stripe", "Twilio", "Criteo"]
+    many = [[f, "x"] for f in firms] + [[f"Firm {i}", "x"] for i in range(6)]
+    rows = [
+        ("sub", "subprocessor_list", "Team", grid(["Sub-processor", "Purpose"], [["Hotjar", "maps"], ["Stripe", "pay"]])), ("two", "help_doc", "Team", grid(["Sub-processor", "Purpose"], [["Hotjar", "maps"]])),
+        ("long", "", "Team", grid(["Vendor", "Note"], many)), ("short", "", "Team", grid(["Vendor", "Note"], many[:10])), ("pol", "privacy_policy", "Privacy", grid(["Vendor", "Note"], [["Twilio", "calls"]])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id string, role string, title string, raw string").withColumns({"target_id": F.lit("t"), "target_type": F.lit("website"), "url": F.lit("https://a.example/p")})
+    df = df.withColumn("text", F.when(F.col("doc_id") == "pol", POLICY).otherwise("short")).withColumn("segments", F.array("text"))
+    got = {r["doc_id"]: (r["medium"], r["reason"], r["facets"]) for r in typology.classify_documents(with_tables(df, "raw"), GAZ).collect()}
+    assert got["sub"] == ("structured", "subprocessor_table", ["structured:named"]) and got["two"][1] == "help_doc"
+    assert got["long"][:2] == ("structured", "vendor_table") and got["short"][0] is None  # twelve rows with the headers, and eleven
+    assert got["pol"][0] == "prose" and "prose:named" in got["pol"][2]
+
+
 GAZ = en.Gazetteer((("acme", "company"), ("google", "company"), ("google analytics", "service"), ("hotjar", "service"), ("stripe", "company"), ("twilio", "company"), ("criteo", "company")))
 POLICY = "We collect personal information. Your rights matter. We use cookies with your consent. We share data with service providers such as Hotjar. Third parties may collect information about you. " * 6
 
