@@ -22,13 +22,11 @@ def discovered_links(pages: DataFrame) -> DataFrame:
 
     A link may have several roles.  Anchors, mail and script links are left out.
     """
-    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(i).alias("rank"), F.lit(p).alias("pattern")) for i, (r, p) in enumerate(lx.LINK_ROLES)])
     hay = lambda x: F.concat_ws(" ", x["text"], x["href"])
     x = pages.select("doc_id", F.col("url").alias("base"), F.posexplode("links").alias("pos", "link"))
     x = x.where(~F.lower(F.coalesce("link.href", F.lit(""))).rlike(r"^(?:javascript:|mailto:|#|$)"))
     x = x.withColumn("hay", hay(F.col("link")))
     hit = F.array_compact(F.array(*[F.when(F.col("hay").rlike(p), F.struct(F.lit(r).alias("role"), F.lit(i).alias("rank"))) for i, (r, p) in enumerate(lx.LINK_ROLES)]))
-    del roles
     x = x.select("doc_id", "pos", urls.absolute(F.col("link.href"), F.col("base")).alias("url"), F.explode(hit).alias("r"))
     return x.select("doc_id", "url", "r.role", "pos")
 
@@ -67,9 +65,9 @@ def lookup_url(app_id: Column, endpoint: str) -> Column:
     return F.when(app_id.contains("."), F.concat(F.lit(endpoint + "?bundleId="), app_id)).otherwise(F.concat(F.lit(endpoint + "?id="), app_id))
 
 
-def first_per_content(docs: DataFrame, text: str = "text", order: str = "ord") -> DataFrame:
-    """Documents whose visible text no earlier document of the target has."""
-    k = docs.withColumn("_k", tx.sha1_of_trimmed(F.coalesce(F.col(text), F.lit(""))))
+def first_per_content(docs: DataFrame, text: str = "text", order: str = "ord", key: str | None = None) -> DataFrame:
+    """Documents whose visible text no earlier document of the target has; ``key`` names a column that holds the texts' keys already."""
+    k = docs.withColumn("_k", F.col(key) if key else tx.sha1_of_trimmed(F.coalesce(F.col(text), F.lit(""))))
     w = Window.partitionBy("target_id", "_k").orderBy(order, "doc_id")
     return k.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_k", "_r")
 
@@ -144,6 +142,48 @@ def rendered(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(n, "doc_id", "left").withColumn("raw", F.when(F.coalesce(gain, F.lit(False)) & F.col("role").isin(*lx.SCRIPTED_ROLES), F.col("_new")).otherwise(F.col("raw"))).drop("_new")
 
 
+def starting_points(targets: DataFrame) -> DataFrame:
+    """``(target_id, role, url)`` at which the collection of each target begins.
+
+    Websites and data brokers: the seed policy and the home page; apps: the
+    seed policy and the store's page of the app.
+    """
+    store = (
+        F.when(F.col("target_type") == "play_store_app", F.concat(F.lit("https://play.google.com/store/apps/details?id="), F.col("app_id")))
+        .when(F.col("target_type") == "app_store_app", F.concat(F.lit("https://apps.apple.com/app/id"), F.col("app_id")))
+    )
+    pages = F.array(
+        F.struct(F.lit("privacy_policy").alias("role"), F.col("seed_policy_url").alias("url")),
+        F.struct(F.when(F.col("target_type").isin(*lx.APP_TYPES), "store_listing").otherwise("home").alias("role"), F.coalesce(store, F.col("url")).alias("url")),
+    )
+    return targets.select("target_id", F.inline(pages)).where("url <> ''").distinct()
+
+
+def collect_targets(targets: DataFrame, responses: DataFrame) -> DataFrame:
+    """Documents of targets, as a crawl over a table of responses would find them.
+
+    ``responses(url, status, links)`` stands for the network.  From the
+    starting points, links that look like documents of interest on the same
+    site are followed one step, and registries are tried at the root of each
+    target.  One row per target and address: ``(target_id, url, role,
+    http_status, error)``, the role that led there first; an address without a
+    response has status 0 and an error.
+    """
+    start = starting_points(targets)
+    r = responses.groupBy("url").agg(F.min("status").alias("status"), F.first("links", ignorenulls=True).alias("links"))
+    pages = start.join(r.where("status = 200"), "url").select(F.struct("target_id", "url").alias("doc_id"), "url", "links")
+    links = discovered_links(pages).select("doc_id.target_id", "doc_id.url", "role", F.col("url").alias("to")).where(urls.same_site(F.col("to"), F.col("url")))
+    followed = links.select("target_id", "role", F.col("to").alias("url"))
+    none = F.lit(None).cast("string")
+    registries = registry_candidates(targets, start.select("target_id", F.lit("").alias("role"), none.alias("url")))
+    wanted = start.withColumn("rank", F.lit(0)).unionByName(followed.withColumn("rank", F.lit(1))).unionByName(registries.withColumn("rank", F.lit(2)))
+    order = F.struct("rank", "role")
+    one = wanted.groupBy("target_id", "url").agg(F.min_by("role", order).alias("role"))
+    return one.join(r.select("url", "status"), "url", "left").select(
+        "target_id", "url", "role", F.coalesce("status", F.lit(0)).alias("http_status"), F.when(F.col("status").isNull(), "no response").when(F.col("status") == 200, "").otherwise(F.concat(F.lit("status "), "status")).alias("error")
+    )
+
+
 def collection_report(docs: DataFrame) -> DataFrame:
     """One row of counts: targets, documents, registries and companions by role."""
     return docs.agg(

@@ -12,7 +12,7 @@ from tessella.functions import entities as en
 from tessella.functions import text as tx
 from tessella.functions import urls
 from tessella.functions.registry import relation
-from tessella.operators import collect, graph, relations, tables, typology
+from tessella.operators import collect, graph, recognise, relations, tables, typology
 from tessella.operators.scratch import materialize, scratch_root
 from tessella.plans.queries import _CASES, _DOCS, _EDGES, _GRAPH, _ONTO, _TARGETS, Tables, _graph, _nodes, _sq, j, query
 from tessella.sources import corpus, fetch
@@ -88,6 +88,33 @@ def c18_extract_policy_url(spark, d):
 
 
 _ROLE_LIST = ", ".join(f"('{r}', {i}, '{_sq(p)}')" for i, (r, p) in enumerate(lx.LINK_ROLES))
+_HOST = "lower(regexp_extract(%s, '^[a-z]+://([^/?#:]*)', 1))"
+_SITE = "array_to_string(list_slice(string_split(%s, '.'), -2, -1), '.')"
+_TWO = f"(CASE WHEN len(string_split({_HOST}, '.')) < 3 THEN {_HOST} ELSE {_SITE % _HOST} END)"
+_REGISTRIES = """CASE WHEN target_type IN ('play_store_app', 'app_store_app') THEN [{'role': 'app_ads_txt', 'path': '/app-ads.txt'}, {'role': 'sellers_json', 'path': '/sellers.json'}, {'role': 'vendors_json', 'path': '/vendors.json'}]
+      ELSE [{'role': 'ads_txt', 'path': '/ads.txt'}, {'role': 'sellers_json', 'path': '/sellers.json'}, {'role': 'vendors_json', 'path': '/vendors.json'}] END"""
+
+
+@query(f"WITH {_TARGETS}, {_DOCS}, roles(role, rank, pat) AS (VALUES {_ROLE_LIST})" + f""",
+    st AS (SELECT DISTINCT target_id, role, url FROM (SELECT target_id, 'privacy_policy' AS role, seed_policy_url AS url FROM tg UNION ALL SELECT target_id, CASE WHEN target_type IN ('play_store_app', 'app_store_app') THEN 'store_listing' ELSE 'home' END,
+      coalesce(CASE target_type WHEN 'play_store_app' THEN 'https://play.google.com/store/apps/details?id=' || app_id WHEN 'app_store_app' THEN 'https://apps.apple.com/app/id' || app_id END, url) FROM tg) WHERE url <> ''),
+    rs AS (SELECT dc.url, min(coalesce(dc.http_status, 0)) AS status FROM dc WHERE dc.url IS NOT NULL GROUP BY 1), lk AS (SELECT dc.url, p.links FROM dc JOIN parsed_docs p USING (doc_id)),
+    l AS (SELECT st.target_id, st.url AS base, unnest(lk.links) AS x FROM st JOIN rs USING (url) JOIN lk USING (url) WHERE rs.status = 200),
+    fl AS (SELECT target_id, base, roles.role, regexp_extract(base, '^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || x.href AS url FROM l JOIN roles ON regexp_matches(concat_ws(' ', x.text, x.href), roles.pat) WHERE x.href LIKE '/%'),
+    c AS (SELECT target_id, 0 AS rank, seed_policy_url AS url FROM tg UNION ALL SELECT target_id, 1, url FROM tg),
+    rt AS (SELECT target_id, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS root FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rank, url) AS r FROM c
+      WHERE coalesce(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '') NOT IN ('', {_quoted(lx.STORE_HOSTS)})) WHERE r = 1),
+    rg AS (SELECT target_id, unnest({_REGISTRIES}) AS w FROM tg),
+    w AS (SELECT target_id, url, role, 0 AS rank FROM st UNION ALL SELECT target_id, url, role, 1 FROM fl WHERE {_TWO.replace('%s', 'url')} = {_TWO.replace('%s', 'base')} UNION ALL SELECT target_id, root || w.path, w.role, 2 FROM rg JOIN rt USING (target_id)),
+    o AS (SELECT target_id, url, arg_min(role, (rank, role)) AS role FROM w GROUP BY 1, 2)
+    SELECT o.*, CAST(coalesce(status, 0) AS INT) AS http_status, CASE WHEN status IS NULL THEN 'no response' WHEN status = 200 THEN '' ELSE 'status ' || status END AS error FROM o LEFT JOIN rs USING (url)""")
+def c13_collect_targets(spark, d):
+    """The stored documents stand for the network."""
+    t = Tables(spark, d)
+    x = t.clean_docs().where("url IS NOT NULL").select("doc_id", "url", F.coalesce("http_status", F.lit(0)).alias("status"))
+    return collect.collect_targets(t.clean_targets(), x.join(t.parsed_docs.select("doc_id", "links"), "doc_id", "left"))
+
+
 _BACKFILL = ", ".join(f"('{r}', {i + 1})" for i, r in enumerate(lx.BACKFILL_ROLES))
 _COMPANIONS = ", ".join(f"('{r}', '{p}')" for r, p in lx.COMPANION_PATHS)
 
@@ -171,6 +198,20 @@ def n3_clean_org(spark, d):
     return n.select("name", en.clean_org(F.col("name"), t.gazetteer_()).alias("cleaned"))
 
 
+@query(rf"""WITH s AS (SELECT DISTINCT unnest(segments) AS s FROM parsed_docs), x AS (SELECT s, unnest(regexp_extract_all(s, '{_sq(recognise.COMPANY)}')) AS n FROM s) SELECT s AS text, array_to_string(list_sort(list(DISTINCT n)), ';') AS names FROM x GROUP BY 1""")
+def n18_recognised_names(spark, d):
+    """Names that the stand-in for a recogniser finds in the distinct segments."""
+    s = Tables(spark, d).parsed_docs.select(F.explode("segments").alias("text"))
+    return recognise.recognised_names(s).where("size(names) > 0").select("text", F.array_join("names", ";").alias("names"))
+
+
+@query("SELECT doc_id, CASE WHEN role IN ('ads_txt', 'app_ads_txt', 'sellers_json', 'vendors_json', 'tcf_gvl') THEN least(length(text), 200000) WHEN role IN ('store_listing', 'play_data_safety', 'app_privacy') THEN least(length(text), 3000000) ELSE least(length(text), 800000) END AS brief, length(text) AS whole FROM documents WHERE text IS NOT NULL")
+def s15_characters_read(spark, d):
+    x, role = Tables(spark, d).documents.where("text IS NOT NULL"), F.coalesce("role", F.lit(""))
+    read = lambda limits: F.length(typology.read_chars(F.col("text"), role, limits))
+    return x.select("doc_id", read(typology.BRIEF).alias("brief"), read(typology.WHOLE).alias("whole"))
+
+
 # -- steps of the classification ---------------------------------------------------------
 
 _STRUCT = f"""w AS (SELECT p.doc_id, concat_ws(' ', coalesce(title, ''), coalesce(dc.url, ''), coalesce(dc.role, '')) AS w, coalesce(dc.role, '') AS role, coalesce(title, '') || chr(10) || substr(coalesce(text, ''), 1, 600) AS head, lower(coalesce(text, '')) AS low

@@ -205,8 +205,10 @@ def c21_registrable(spark, d):
 @query("WITH " + _DOCS + """ SELECT target_id, doc_id FROM (SELECT target_id, doc_id, row_number() OVER (PARTITION BY target_id, sha1(trim(coalesce(text, ''))) ORDER BY doc_id) AS r FROM parsed_docs JOIN dc USING (doc_id)) WHERE r = 1""")
 def c22_first_per_content(spark, d):
     t = Tables(spark, d)
-    x = t.parsed_docs.select("doc_id", "text").join(t.clean_docs().select("doc_id", "target_id"), "doc_id").withColumn("ord", F.col("doc_id"))
-    return collect.first_per_content(x).select("target_id", "doc_id")
+    # twenty bytes of each text go to the join, not the text
+    keys = materialize(t.parsed_docs.select("doc_id", tx.sha1_of_trimmed(F.coalesce("text", F.lit(""))).alias("key")), "keys")
+    x = keys.join(t.clean_docs().select("doc_id", "target_id"), "doc_id").withColumn("ord", F.col("doc_id"))
+    return collect.first_per_content(x, key="key").select("target_id", "doc_id")
 
 
 _ROOT = """, c AS (SELECT target_id, 0 AS rank, seed_policy_url AS url FROM tg UNION ALL SELECT target_id, 1, url FROM tg UNION ALL SELECT target_id, CASE WHEN role = 'privacy_policy' THEN 2 ELSE 3 END, url FROM dc),

@@ -125,7 +125,7 @@ def test_unfinished_iterations_fail(spark):
     with pytest.raises(RuntimeError):
         graph.closure(chain, max_rounds=2)
     with pytest.raises(RuntimeError):
-        components.connected_components(chain, "src", "dst", max_rounds=1)
+        components.connected_components(chain, "src", "dst", max_rounds=1, small=0)
     with pytest.raises(RuntimeError):
         hierarchy.expand_hierarchy(spark.createDataFrame([(str(i), [str(i - 1)] if i else []) for i in range(40)], "id string, parents array<string>"), max_rounds=2)
 

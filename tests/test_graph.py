@@ -62,14 +62,15 @@ def test_hierarchy_random(spark):
         assert hier(spark, rows) == brute(rows)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10**6])
+def test_components(spark, small):
     e = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("q", "q"), (None, "a"), ("y", "x"), *[("hub", f"s{i:02}") for i in range(40)], ("s39", "b")]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "u string, v string"), "u", "v").collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(e, "u string, v string"), "u", "v", small=small).collect()}
     assert got["c"] == got["hub"] == got["s00"] == "a" and got["y"] == "x" and "q" not in got
     chain = [(i, i + 1) for i in range(60)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b", small=small).collect()}
     assert set(got.values()) == {0} and len(got) == 61
-    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b", small=small).count() == 0
 
 
 def test_closure_and_cycles(spark):
