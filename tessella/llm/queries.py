@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import leakage, mainbody, names, neardup, packing, residue, visual
+from tessella.operators.scratch import materialize
 from tessella.plans.ship import ship
 
 #: Values of the name columns that aren't names.
@@ -68,6 +69,21 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """One row: texts, those lost or short of tokens, containers beyond the capacity, texts split though they fit, and whether all but a fortieth of the room is used."""
+    docs = _t(spark, d, "documents")
+    packed = materialize(packing.pack(docs), "packed")
+    size = packing.token_counts(docs).groupBy("id").agg(F.sum("n_tokens").alias("n"))
+    of = packed.groupBy("id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"))
+    items = size.join(of, "id", "left").agg(
+        F.count("*").alias("texts"), F.count_if(F.expr("NOT coalesce(got = n, false)")).alias("lost"), F.count_if(F.expr(f"n <= {packing.CAPACITY} AND pieces > 1")).alias("split")
+    )
+    bins = packed.groupBy("container").agg(F.sum("tokens").alias("used")).agg(
+        F.count_if(F.col("used") > packing.CAPACITY).alias("beyond"), (F.sum("used") >= 0.975 * packing.CAPACITY * F.count("*")).alias("well_filled")
+    )
+    return items.crossJoin(F.broadcast(bins))  # one row each
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(_t(spark, d, "documents"), _t(spark, d, "eval_items"))
 
@@ -87,6 +103,11 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return visual.same_look_classes(_t(spark, d, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def p8_visible(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent form alone, which SQL can make over the characters of the tables."""
+    return _t(spark, d, "documents").where("text IS NOT NULL").select("doc_id", visual.visible_form("text").alias("visible"))
+
+
 def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", visual.visible_form("text").alias("visible"), visual.folded_form("text").alias("folded"))
 
@@ -94,8 +115,8 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p5_rules, p6_containers, p7_found, p7_overlap, p8_found,
-        p8_classes, p8_forms,
+        p1_found, p1_classes, p2_found, p2_classes, p4_found, p4_reasons, p5_found, p5_bodies, p5_rules, p6_containers, p6_invariants, p7_found, p7_overlap, p8_found,
+        p8_classes, p8_visible, p8_forms,
     )
 }
 
@@ -122,6 +143,8 @@ _P7 = rf"""
         """
 
 ORACLE = {
+    "p6_invariants": "SELECT count(*) AS texts, 0 AS lost, 0 AS split, 0 AS beyond, true AS well_filled FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)",
+    "p8_visible": f"SELECT doc_id, {_sql_visible('text')} AS visible FROM documents WHERE text IS NOT NULL",
     "p2_found": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM parsed_docs WHERE text IS NOT NULL),
         s AS (SELECT DISTINCT doc_id, g FROM (
