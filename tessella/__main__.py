@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import graph, typology
-from tessella.plans import links, sheets
+from tessella.plans import links, scalars, sheets
 from tessella.plans import queries as core
 from tessella.plans.ship import ship
 from tessella.sources import corpus
@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     return 0
 
 
-assert sheets  # registers its queries
+assert scalars and sheets  # they register their queries
 
 if __name__ == "__main__":
     sys.exit(main())

@@ -248,14 +248,19 @@ def lemmas(phrase: Column) -> Column:
     return F.array_join(F.transform(F.filter(words, lambda w: ~w.isin(*sorted(_STOP))), singular), " ")
 
 
-def normalize_data(phrase: Column) -> Column:
-    """Term of a data phrase: the first pattern that fits, "unspecified data" for blanket words, else the lemmas."""
+def data_term(phrase: Column) -> Column:
+    """The first of ``DATA_TERMS`` whose pattern fits a data phrase, null if none does."""
     low = F.lower(F.trim(F.coalesce(phrase, F.lit(""))))
-    lem = lemmas(phrase)
-    out = F.when(lem.rlike(_BLANKET) | (lem == ""), UNSPECIFIED_DATA)
+    out = F.when(F.lit(False), F.lit(""))
     for term, pattern in DATA_TERMS:
         out = out.when(low.rlike(pattern), term)
-    return out.otherwise(lem)
+    return out
+
+
+def normalize_data(phrase: Column) -> Column:
+    """Term of a data phrase: "unspecified data" for blanket words, else the first pattern that fits, else the lemmas."""
+    lem = lemmas(phrase)
+    return F.when(lem.rlike(_BLANKET) | (lem == ""), UNSPECIFIED_DATA).otherwise(F.coalesce(data_term(phrase), lem))
 
 
 def normalize_entity(phrase: Column, companies: tuple[str, ...] = ()) -> Column:

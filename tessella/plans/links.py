@@ -37,7 +37,7 @@ def _quoted(words) -> str:
 def c2_load_seed_dir(spark, d):
     """All CSV files of a folder of seeds, in order of their names and rows."""
     t, path = Tables(spark, d).targets, _folder(spark, "seeds")
-    t.select(F.col("target_type").alias("type"), "name", "url", "app_id", "seed_policy_url").write.csv(path, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    t.select(F.col("target_type").alias("type"), "name", "url", "app_id", "seed_policy_url").write.csv(path, **corpus.CSV)
     return corpus.load_seeds(spark, path)
 
 

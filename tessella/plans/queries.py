@@ -356,13 +356,6 @@ def n4_detect_orgs(spark, d):
     return x.select("doc_id", o.alias("o")).select("doc_id", j("o.orgs", "orgs"), "o.typing")
 
 
-@query(None)
-def n6_first_party_tokens(spark, d):
-    t = Tables(spark, d)
-    u = t.clean_docs().where(F.col("role").isin(*lx.FIRST_PARTY_URL_ROLES)).groupBy("target_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
-    return t.clean_targets().join(u, "target_id", "left").select("target_id", j(en.first_party_tokens(F.col("urls"), F.col("name")), "tokens"))
-
-
 @query("""WITH x AS (SELECT DISTINCT doc_id, unnest(coalesce(named_orgs, [])) AS o FROM doc_classification), k AS (SELECT doc_id, lower(o) AS l, min(o) AS o FROM x GROUP BY 1, 2)
     SELECT doc_id, array_to_string(list(o ORDER BY l), ';') AS orgs FROM k GROUP BY 1""")
 def n14_merge_orgs(spark, d):
@@ -638,13 +631,6 @@ def u7_graph_model(spark, d):
     return report.graph_model(Tables(spark, d).relations())
 
 
-@query(None)
-def u2_rights_info(spark, d):
-    t = Tables(spark, d)
-    x = t.clean_docs().select("target_id", "doc_id", "role", "url", "ok").join(t.parsed_docs.select("doc_id", "text", "links"), "doc_id")
-    return report.rights_info(x).select("target_id", F.to_json("links").alias("links"), F.array_join("emails", ";").alias("emails"))
-
-
 @query("WITH " + _CLASSIFIED + " SELECT target_id, doc_id, role, url, medium, array_to_string(facets, ';') AS facets FROM cl WHERE medium IS NOT NULL")
 def u8_documents_with_medium(spark, d):
     return report.documents_with_medium(Tables(spark, d).classified())

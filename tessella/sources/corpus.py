@@ -18,6 +18,10 @@ TARGET_TYPE = T.StructType([T.StructField(c, _S) for c in ("id", "type", "name",
 MANIFEST_SCHEMA = T.StructType([T.StructField("target", TARGET_TYPE), T.StructField("docs", T.ArrayType(DOC_TYPE))])
 
 
+#: Comma-separated values as other programs write them: quotes doubled, blanks at the ends kept.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def is_ok(http_status: Column, raw_path: Column, error: Column) -> Column:
     """The fetch succeeded: status 200, a stored body and no error; null counts as empty."""
     return (F.coalesce(http_status, F.lit(0)) == 200) & (F.coalesce(raw_path, F.lit("")) != "") & (F.coalesce(error, F.lit("")) == "")
@@ -45,7 +49,7 @@ def seed_targets(rows: DataFrame) -> DataFrame:
 
 def load_seeds(spark: SparkSession, path: str) -> DataFrame:
     """Seed targets of one CSV file or of all CSV files of a folder."""
-    return seed_targets(spark.read.csv(path, header=True, schema=SEED_SCHEMA, enforceSchema=False))
+    return seed_targets(spark.read.csv(path, schema=SEED_SCHEMA, enforceSchema=False, multiLine=True, **CSV))
 
 
 def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -98,12 +102,12 @@ def save_bodies(docs: DataFrame, path: str) -> None:
 def read_sheet(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """A label sheet: all columns text, with the row's place as ``_row``."""
     schema = T.StructType([T.StructField(c, _S) for c in columns])
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=False).withColumn("_row", F.monotonically_increasing_id())
+    return spark.read.csv(path, schema=schema, enforceSchema=False, multiLine=True, **CSV).withColumn("_row", F.monotonically_increasing_id())
 
 
 def write_sheet(sheet: DataFrame, path: str) -> None:
     """A label sheet as CSV with a header; readers see the old or the new one."""
-    sheet.drop("_row").write.mode("overwrite").csv(path, header=True)
+    sheet.drop("_row").write.mode("overwrite").csv(path, **CSV)
 
 
 def write_results(classified: DataFrame, targets: DataFrame, path: str) -> None:
@@ -112,6 +116,6 @@ def write_results(classified: DataFrame, targets: DataFrame, path: str) -> None:
     classified.select(
         "target_id", "doc_id", "role", "url", "target_type", "medium", "reason", "relevant", join("facets"), "decisive", join("named_orgs"), join("category_terms"), "org_typing",
         join("structural_fired"), "evidence",
-    ).write.mode("overwrite").csv(f"{path}/documents", header=True)
-    targets.select("target_id", "docs", "relevant_docs", "classified", join("facets")).write.mode("overwrite").csv(f"{path}/targets", header=True)
+    ).write.mode("overwrite").csv(f"{path}/documents", **CSV)
+    targets.select("target_id", "docs", "relevant_docs", "classified", join("facets")).write.mode("overwrite").csv(f"{path}/targets", **CSV)
     targets.agg(F.count("*").alias("targets"), F.count_if("classified").alias("classified"), F.sum("docs").alias("docs")).write.mode("overwrite").json(f"{path}/summary")
