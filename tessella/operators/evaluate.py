@@ -118,12 +118,21 @@ def list_identification(targets: DataFrame, docs: DataFrame, gold: DataFrame) ->
     return identification(targets, docs, gold, lx.LISTED_ROLES)
 
 
-def ontology_accommodation(relations: DataFrame, ontology: DataFrame) -> DataFrame:
-    """One row: distinct data types, those the ontology ``(name)`` has, share, and the rest in order."""
+def _data_types(relations: DataFrame, ontology: DataFrame) -> DataFrame:
     d = relations.select(F.lower(F.trim("data_type")).alias("name")).where("name <> ''").distinct()
     known = ontology.select(F.lower("name").alias("name")).distinct().withColumn("_k", F.lit(True))
-    j = d.join(known, "name", "left").agg(F.count("*").alias("n"), F.count("_k").alias("known"), F.array_sort(F.collect_set(F.when(F.col("_k").isNull(), F.col("name")))).alias("missing"))
-    return j.select("n", "known", ratio(F.col("known"), F.col("n")).alias("share"), "missing")
+    return d.join(known, "name", "left")
+
+
+def ontology_accommodation(relations: DataFrame, ontology: DataFrame) -> DataFrame:
+    """One row: distinct data types, those the ontology ``(name)`` has, share, and how many it lacks."""
+    j = _data_types(relations, ontology).agg(F.count("*").alias("n"), F.count("_k").alias("known"))
+    return j.select("n", "known", ratio(F.col("known"), F.col("n")).alias("share"), (F.col("n") - F.col("known")).alias("missing"))
+
+
+def unknown_data_types(relations: DataFrame, ontology: DataFrame) -> DataFrame:
+    """``(name)`` of the data types that the ontology lacks, a row each."""
+    return _data_types(relations, ontology).where("_k IS NULL").select("name")
 
 
 def propagation(gold: DataFrame) -> DataFrame:

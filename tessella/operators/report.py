@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import lexicons as lx
 from tessella.functions import urls
-from tessella.operators.typology import media_of, typology_class
+from tessella.operators.typology import typology_class
 
 TOP = 8
 EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
@@ -82,20 +84,28 @@ def rights_info(docs: DataFrame) -> DataFrame:
     return links.join(e, "target_id", "left").select("target_id", "links", F.coalesce("emails", F.array().cast("array<string>")).alias("emails"))
 
 
-def analysis_payload(targets: DataFrame, assembled: DataFrame, classified: DataFrame, relations: DataFrame, rights: DataFrame) -> DataFrame:
-    """``(target_id, payload)``: everything known of a target as one JSON document; empty defaults where nothing is."""
-    docs = classified.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "role", "url", "medium", "facets"))).alias("documents"))
-    rel = relations.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("entity", "data_type", "action", "negative", "party", "purposes", "sources"))).alias("relations"))
-    j = targets.dropDuplicates(["target_id"])
-    for x in (assembled.drop("docs"), docs, rel, rights):
-        j = j.join(x, "target_id", "left")
-    return j.select(
-        "target_id",
-        F.to_json(
-            F.struct(
-                "target_id", urls.origin(F.col("url")).alias("origin"), "name", "target_type", F.coalesce("classified", F.lit(False)).alias("classified"),
-                F.coalesce("relevant_docs", F.lit(0)).alias("relevant_docs"), F.coalesce("facets", F.array().cast("array<string>")).alias("facets"),
-                media_of(F.coalesce("facets", F.array().cast("array<string>"))).alias("media"), "documents", "relations", "links", "emails",
-            )
-        ).alias("payload"),
-    )
+def analysis_rows(assembled: DataFrame, classified: DataFrame, relations: DataFrame, rights: DataFrame) -> DataFrame:
+    """``(target_id, section, key, value)``: everything known of all targets, a row per facet, document, relation, link and address.
+
+    One target may hold a large part of all relations, so nothing is gathered per target.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    row = lambda df, section, key, value: df.select("target_id", F.lit(section).alias("section"), text(key).alias("key"), text(value).alias("value"))
+    parts = [
+        row(assembled.select("target_id", F.explode("facets").alias("f")), "facet", F.col("f"), F.split_part("f", F.lit(":"), F.lit(1))),
+        row(classified, "document", F.col("doc_id"), F.col("medium")),
+        row(relations, "relation", F.concat_ws("|", "entity", "data_type", "action", F.col("negative").cast("string")), F.array_join("purposes", ";")),
+        row(rights.select("target_id", F.inline("links")), "link", F.col("role"), F.col("url")),
+        row(rights.select("target_id", F.posexplode("emails").alias("k", "e")), "address", F.col("e"), F.col("k").cast("string")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def analysis_payload(target_id: str, targets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(target_id, payload)`` of one requested target: its ``analysis_rows`` by section as one JSON document."""
+    one = rows.where(F.col("target_id") == target_id).groupBy("target_id", "section").agg(F.array_sort(F.collect_list(F.struct("key", "value"))).alias("items"))
+    parts = one.groupBy("target_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("section", "items")))).alias("sections"))
+    t = targets.where(F.col("target_id") == target_id).dropDuplicates(["target_id"])
+    return t.join(parts, "target_id", "left").select(
+        "target_id", F.to_json(F.struct("target_id", urls.origin(F.col("url")).alias("origin"), "name", "target_type", "sections")).alias("payload")
+    )

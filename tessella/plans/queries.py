@@ -558,7 +558,7 @@ def e8_list_identification(spark, d):
 def e10_ontology_accommodation(spark, d):
     t = Tables(spark, d)
     a = evaluate.ontology_accommodation(t.relations(), t.ccpa_data_ontology.select(F.col("label").alias("name")).where("name IS NOT NULL"))
-    return a.select("n", "known", F.round("share", 6).alias("share"), F.size("missing").cast("bigint").alias("missing"))
+    return a.select("n", "known", F.round("share", 6).alias("share"), "missing")
 
 
 @query("WITH " + _RELATIONS + """, g AS (SELECT target_id, entity, data_type, max(negative) AS neg FROM rl GROUP BY 1, 2, 3) SELECT count(*) AS n, count(*) FILTER (WHERE neg) AS wrong, count(*) >= 30 AND count(*) FILTER (WHERE neg) = 0 AS passed FROM g""")
@@ -636,16 +636,6 @@ def u8_documents_with_medium(spark, d):
     return report.documents_with_medium(Tables(spark, d).classified())
 
 
-@query(None)
-def u1_analysis_payload(spark, d):
-    t = Tables(spark, d)
-    c = t.classified()
-    a = typology.assemble_targets(c.withColumn("decisive", F.size("facets") > 0))
-    rel = relations.merge_relations(t.relations(), ["target_id"])
-    x = t.clean_docs().select("target_id", "doc_id", "role", "url", "ok").join(t.parsed_docs.select("doc_id", "text", "links"), "doc_id")
-    return report.analysis_payload(t.clean_targets(), a, c, rel, report.rights_info(x))
-
-
 @query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())""")
 def t1_grouping_sets(spark, d):
     o = Tables(spark, d).orders.select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), "o_totalprice")

@@ -12,9 +12,9 @@ from tessella.functions import html as hx
 from tessella.functions import pdf
 from tessella.functions import text as tx
 from tessella.functions import urls
-from tessella.operators import annotate, collect, labels, tables, typology
+from tessella.operators import annotate, collect, labels, relations, report, tables, typology
 from tessella.operators.scratch import scratch_root, spread
-from tessella.plans.queries import _CLASSIFIED, _DOCS, _TARGETS, Tables, _sq, j, query
+from tessella.plans.queries import _CLASSIFIED, _DOCS, _RELATIONS, _TARGETS, Tables, _sq, j, query
 from tessella.sources import corpus
 
 
@@ -168,6 +168,45 @@ def c38_written_sheet(spark, d):
     return back.select("target_id", "doc_id", *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in ("role", "predicted_medium", "predicted_relevant")])
 
 
+@query("WITH " + _CLASSIFIED + ", " + _RELATIONS + """, f AS (SELECT DISTINCT target_id, unnest(facets) AS f FROM cl)
+    SELECT target_id, 'facet' AS section, f AS key, split_part(f, ':', 1) AS value FROM f UNION ALL SELECT target_id, 'document', doc_id, coalesce(medium, '') FROM cl
+    UNION ALL SELECT target_id, 'relation', entity || '|' || data_type || '|' || action || '|' || CAST(negative AS VARCHAR), array_to_string(list_sort(list_distinct(flatten(list(coalesce(purposes, []))))), ';') FROM rl GROUP BY target_id, entity, data_type, action, negative""")
+def u1_analysis_rows(spark, d):
+    t = Tables(spark, d)
+    c = t.classified()
+    a = typology.assemble_targets(c.withColumn("decisive", F.size("facets") > 0))
+    x = t.clean_docs().select("target_id", "doc_id", "role", "url", "ok").join(t.parsed_docs.select("doc_id", "text", "links"), "doc_id")
+    rows = report.analysis_rows(a, c, relations.merge_relations(t.relations(), ["target_id"]), report.rights_info(x))
+    return rows.where("section NOT IN ('link', 'address')")  # these are compared by u2_rights_info
+
+
+def _starts(p: str) -> str:
+    """SQL for the matches of a pattern in ``s`` as (start, end), counted from 0."""
+    f, b = f"regexp_extract_all(s, '{_sq(p)}')", f"regexp_split_to_array(s, '{_sq(p)}')"
+    size = lambda x, n: f"coalesce(list_sum(list_transform(list_slice({x}, 1, {n}), lambda z: length(z))), 0)"
+    return f"list_transform(range(1, len({f}) + 1), lambda i: {{'a': CAST({size(b, 'i')} + {size(f, 'i - 1')} AS BIGINT), 'b': CAST({size(b, 'i')} + {size(f, 'i')} AS BIGINT)}})"
+
+
+_NEGATED = f"""(regexp_matches(regexp_replace(substr(s, greatest(m.a - {lx.NEGATION_WINDOW}, 0) + 1, least(m.a, {lx.NEGATION_WINDOW})), '{_sq(lx.CLAUSE_END)}', ''), '{_sq(lx.NEGATION)}')
+    AND NOT regexp_matches(substr(s, m.a + 1, {lx.EXCEPTION_WINDOW}), '{_sq(lx.EXCEPTION)}'))"""
+
+
+def _affirmed(p: str, more: str) -> str:
+    return f"len(list_filter({_starts(p)}, lambda m: {more} AND NOT {_NEGATED})) > 0"
+
+
+_SELF = f"NOT regexp_matches(substr(s, m.b + 1), '{_sq(lx.SELF_RECIPIENT)}')"
+_STOPPED = f"NOT regexp_matches(substr(s, 1, m.a), '{_sq(lx.SALE_STOPPED)}')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT unnest(segments) AS s FROM parsed_docs) SELECT s AS segment, {_affirmed(lx.SHARING, _SELF)} AS sharing, {_affirmed(lx.COLLECTION, _SELF)} AS collection, {_affirmed(lx.SALE, _STOPPED)} AS sale FROM n WHERE s IS NOT NULL""")
+def l4_affirmed_clauses(spark, d):
+    """Which distinct segments affirm a sharing, a collection or a sale, whatever they deny."""
+    s = Tables(spark, d).parsed_docs.select(F.explode("segments").alias("segment")).where("segment IS NOT NULL").distinct()
+    c = F.col("segment")
+    return s.select("segment", tx.positive_sharing(c).alias("sharing"), tx.positive_collection(c).alias("collection"), tx.implicit_sale(c).alias("sale"))
+
+
 _MAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
 
 
@@ -177,8 +216,6 @@ _MAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}"
     d AS (SELECT DISTINCT target_id, lower(e) AS e FROM m WHERE regexp_matches(lower(e), '^(?:{_MAIL.removeprefix('(?i)')})$')), r AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY CAST(NOT regexp_matches(e, '^(?:privacy|dpo|gdpr|data-?protection|ccpa)') AS INT), length(e), e) AS k FROM d),
     g AS (SELECT target_id, string_agg(e, ';' ORDER BY k) AS emails FROM r WHERE k <= 3 GROUP BY 1) SELECT l.target_id, l.links, coalesce(emails, '') AS emails FROM l LEFT JOIN g USING (target_id)""")
 def u2_rights_info(spark, d):
-    from tessella.operators import report
-
     t = Tables(spark, d)
     x = t.clean_docs().select("target_id", "doc_id", "role", "url", "ok").join(t.parsed_docs.select("doc_id", "text", "links"), "doc_id")
     return report.rights_info(x).select("target_id", F.array_join(F.transform("links", lambda y: F.concat_ws("=", y["role"], y["url"])), ";").alias("links"), F.array_join("emails", ";").alias("emails"))

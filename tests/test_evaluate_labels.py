@@ -34,8 +34,9 @@ def test_relevance_and_agreement(spark):
     assert s["summary"].startswith("Coverage: 50.0%") and not s["passed"]
     pr = spark.createDataFrame([(str(i), True) for i in range(30)], "clause_id string, correct boolean")
     assert evaluate.propagation(pr).first()["passed"] and not evaluate.propagation(pr.limit(29)).first()["passed"]
-    o = evaluate.ontology_accommodation(spark.createDataFrame([("Email ",), ("email",), ("zz",), (None,)], "data_type string"), spark.createDataFrame([("email",)], "name string")).first()
-    assert (o["n"], o["known"], o["missing"]) == (2, 1, ["zz"])
+    types, onto = spark.createDataFrame([("Email ",), ("email",), ("zz",), (None,)], "data_type string"), spark.createDataFrame([("email",)], "name string")
+    o = evaluate.ontology_accommodation(types, onto).first()
+    assert (o["n"], o["known"], o["missing"]) == (2, 1, 1) and [r["name"] for r in evaluate.unknown_data_types(types, onto).collect()] == ["zz"]
 
 
 def test_gold_sheets(spark):
@@ -252,4 +253,10 @@ def test_read_models(spark):
     docs = spark.createDataFrame([("t", "d1", "privacy_policy", "https://a/p", True, "mail Long.Name@a.example or x@b.example", [("m", "mailto:privacy@a.example?subject=x")])], "target_id string, doc_id string, role string, url string, ok boolean, text string, links array<struct<text:string,href:string>>")
     assert report.rights_info(docs).first()["emails"] == ["privacy@a.example", "x@b.example", "long.name@a.example"]
     tg = spark.createDataFrame([("t", ["prose:named"]), ("u", [])], "target_id string, facets array<string>")
+    cl = spark.createDataFrame([("t", "d1", "prose"), ("u", "d2", None)], "target_id string, doc_id string, medium string")
+    rows = report.analysis_rows(tg, cl, r, report.rights_info(docs))
+    assert rows.groupBy("section").count().count() == 5 and rows.where("section = 'relation'").count() == r.count()
+    one = spark.createDataFrame([("t", "https://a.example/x", "T", "website"), ("v", None, None, None)], "target_id string, url string, name string, target_type string")
+    p = report.analysis_payload("t", one, rows).first()["payload"]
+    assert '"prose:named"' in p and '"origin":"https://a.example"' in p and report.analysis_payload("v", one, rows).count() == 1
     assert report.facet_grid(tg).where("present").count() == 1 and report.top_classes(tg).count() == 2
