@@ -12,6 +12,7 @@ below it.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -36,11 +37,22 @@ FAN_IN = 8
 _encoders: dict = {}
 
 
+def _here(path: str) -> str:
+    """Where this worker finds a file that the driver has sent along, or the path itself."""
+    from pyspark import SparkFiles
+
+    try:
+        sent = SparkFiles.get(os.path.basename(path))
+    except Exception:  # no session here
+        return path
+    return sent if os.path.exists(sent) else path
+
+
 def _encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(_here(path), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _encoders[path] = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
@@ -50,6 +62,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, n_tokens)`` of every row; null texts have none."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(src.dtypes)["id"]
+    # the file need only be where the driver runs
+    df.sparkSession.sparkContext.addFile(tokenizer)
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer)
