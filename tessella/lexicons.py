@@ -184,17 +184,17 @@ ADS_TXT_ROW = r"(?im)^[ \t]*([a-z0-9.-]+\.[a-z]{2,})[ \t]*,[ \t]*[^,\n]+,[ \t]*(
 REGISTRY_NOT_NAMES = ("duns", "tag-id", "tagid", "confidential", "ssp", "dsp")
 REGISTRY_KINDS = ("sellers_json", "tcf_gvl", "vendors_json", "ads_txt")
 
-# What a link leads to, in order; the roles are fixed values.
+# What a link leads to, in order, by its words or its address; the roles are fixed values.
 _DASH = "[-_ ]?"
 LINK_ROLES = (
-    ("privacy_policy", rf"(?i)privacy(?:{_DASH}(?:policy|notice|statement|center|centre))?"),
-    ("subprocessor_list", rf"(?i)sub{_DASH}processor"),
-    ("dpa", r"(?i)\b(?:data processing (?:addendum|agreement)|dpa)\b"),
-    ("cookie_policy", rf"(?i)cookie{_DASH}" + one_of("policy notice statement settings preferences")),
-    ("vendor_list", rf"(?i)\bvendors?{_DASH}lists?\b|ad(?:vertising)? partners|third{_DASH}part(?:y|ies){_DASH}data|categories of (?:recipients|third[- ]?part(?:y|ies))|(?:companies|parties|who) we share"),
-    ("do_not_sell", rf"(?i)do{_DASH}not{_DASH}sell|opt{_DASH}out|your privacy choices"),
-    ("partners_page", rf"(?i)\b(?:our partners|partner directory|partners{_DASH}page|app directory|integrations?)\b"),
-    ("help_doc", r"(?i)\b(?:faq|help|support|knowledge ?base)\b"),
+    ("privacy_policy", r"(?i)privacy|data protection (?:notice|statement)"),
+    ("subprocessor_list", rf"(?i)sub{_DASH}processors?"),
+    ("dpa", any_of("dpa", rf"data{_DASH}processing{_DASH}(?:terms|agreement|addendum)")),
+    ("cookie_policy", rf"(?i)cookies?{_DASH}(?:policy|notice|statement|declaration|settings|preferences)|about cookies"),
+    ("vendor_list", rf"(?i)vendors?{_DASH}lists?|lists? of (?:our )?(?:vendors|partners|recipients)|third{_DASH}party{_DASH}(?:vendors|data)|ad(?:vertising)? partners|(?:with whom|who) we share"),
+    ("do_not_sell", rf"(?i)do{_DASH}not{_DASH}(?:sell|share)|opt{_DASH}out|privacy{_DASH}choices"),
+    ("partners_page", rf"(?i)\b(?:our|all)[-_ ]partners\b|\bpartners?{_DASH}(?:page|directory)\b|\bintegrations?\b|\bapp{_DASH}(?:directory|marketplace)\b"),
+    ("help_doc", rf"(?i)\b(?:help|support|faqs?|knowledge{_DASH}base)\b"),
 )
 
 # Document roles by use.

@@ -70,13 +70,14 @@ def spans(text: str) -> list[tuple[int, int, str, str]]:
     """``(start, end, label, text)`` of DATA and ENTITY phrases in order."""
     out: list[tuple[int, int, str, str]] = []
     words = [(m.start(), m.end(), m.group(0)) for m in _WORD.finditer(text)]
+    lows = [w.lower().rstrip(".") for _, _, w in words] + [""]
     begin = 0
     for k, (a, b, w) in enumerate(words):
-        low = w.lower().rstrip(".")
+        low = lows[k]
         if w in ",;:" or low in ("and", "or", "with", "to", "but", "if", "when", "unless", "which", "who") or low in _FORM or (low in _STOP and low not in _THESE):
             begin = k + 1
             continue
-        nxt = words[k + 1][2].lower().rstrip(".") if k + 1 < len(words) else ""
+        nxt = lows[k + 1]
         joined = k + 1 < len(words) and nxt not in _STOP and nxt not in _FORM and nxt not in ("and", "or", ",", ";", ":", "with", "to", "but", "if") and (nxt in DATA_HEADS or nxt in ENTITY_HEADS)
         if joined:
             continue
@@ -101,10 +102,12 @@ def tag_sentence(text: str) -> list[tuple]:
     """Edges of one sentence as rows of ``EDGE``; questions and empty sentences have none."""
     if not text or text.rstrip().endswith("?"):
         return []
+    verbs = [(m.start(), m.end(), _FORM[m.group(0).lower()]) for m in re.finditer(r"[A-Za-z]+", text) if m.group(0).lower() in _FORM]
+    if not verbs and not (_CUE.search(text) or _INCLUDES.search(text) or _COLLECTIVE.search(text)):
+        return []
     sp, out = spans(text), []
     subject = "child" if _CHILD.search(text) else "general user"
     purposes = sorted({p for m in _PURPOSE.finditer(text) for p in [next(g for g in m.groups() if g)]})
-    verbs = [(m.start(), m.end(), _FORM[m.group(0).lower()]) for m in re.finditer(r"[A-Za-z]+", text) if m.group(0).lower() in _FORM]
     for k, (a, b, group) in enumerate(verbs):
         stop = verbs[k + 1][0] if k + 1 < len(verbs) else len(text)
         cut = _CLAUSE.search(text, b, stop)
@@ -160,17 +163,17 @@ def phrase_edges(sentences: DataFrame, tagger: Callable[[str], list[tuple]] = ta
     where it stands.
     """
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["text_", *[c.split()[0] for c in EDGE.split(", ")]]
+        cols = ["key", *[c.split()[0] for c in EDGE.split(", ")]]
         for pdf in it:
-            rows = [(t, *e[:7], list(e[7]), e[8]) for t in pdf["text"] for e in tagger(t)]
+            rows = [(k, *e[:7], list(e[7]), e[8]) for k, t in zip(pdf["key"], pdf["text"]) for e in tagger(t)]
             yield pd.DataFrame(rows, columns=cols)
 
     n = work_partitions(sentences.sparkSession)
-    distinct = sentences.select("text").where("text <> ''").repartition(n, "text").dropDuplicates(["text"])
-    tagged = distinct.mapInPandas(run, "text_ string, " + EDGE)
-    return sentences.select("doc_id", "sent_id", "text").join(tagged.withColumnRenamed("text", "note"), F.col("text") == F.col("text_")).select(
-        "doc_id", "sent_id", "src", "src_label", "dst", "dst_label", "etype", "action", "subject", "purposes", F.col("note").alias("text")
-    )
+    at = sentences.select("doc_id", "sent_id", "text", F.md5("text").alias("key")).where("text <> ''")
+    distinct = at.select("key", "text").repartition(n, "key").dropDuplicates(["key"])
+    tagged = distinct.mapInPandas(run, "key string, " + EDGE)
+    # places carry the key of their sentence, not the sentence
+    return at.select("doc_id", "sent_id", "key").join(tagged, "key").drop("key")
 
 
 def _with(first: str, then: str = "") -> str:
@@ -287,15 +290,19 @@ def resolved(edges: DataFrame) -> DataFrame:
     rows of one document are ordered by one task.
     """
     back = lambda c: F.col(c).rlike("(?i)" + _POINTING.pattern)
-    ends = F.array(*[F.struct(F.col(f"{x}_label").alias("label"), F.col(x).alias("text"), F.lit(k).alias("side")) for k, x in enumerate(("src", "dst"))])
-    at = edges.select("doc_id", "sent_id", F.inline(ends)).distinct()
-    found = antecedents(at.withColumnRenamed("side", "start").withColumn("demonstrative", back("text"))).where("demonstrative")
-    found = found.groupBy("doc_id", "sent_id", "label", "text").agg(F.min("antecedent").alias("antecedent"))
-    out = edges
+    points = back("src") | back("dst")
+    pointing = materialize(edges.where(points), "pointing")
+    # only documents with such phrases have to be put in order
+    near = edges.join(pointing.select("doc_id").distinct(), "doc_id", "left_semi")
+    ends = F.array(*[F.struct(F.col(f"{x}_label").alias("label"), F.col(x).alias("text"), F.lit(k).alias("start")) for k, x in enumerate(("src", "dst"))])
+    at = near.select("doc_id", "sent_id", F.inline(ends)).distinct()
+    found = antecedents(at.withColumn("demonstrative", back("text"))).where("demonstrative")
+    found = materialize(found.groupBy("doc_id", "sent_id", "label", "text").agg(F.min("antecedent").alias("antecedent")), "antecedents")
+    out = pointing
     for x in ("src", "dst"):
         ref = found.select("doc_id", "sent_id", F.col("label").alias(f"{x}_label"), F.col("text").alias(x), F.col("antecedent").alias("_to"))
         out = out.join(ref, ["doc_id", "sent_id", f"{x}_label", x], "left").withColumn(x, F.coalesce("_to", F.when(back(x), F.regexp_replace(x, r"(?i)^(?:this|that|these|those|such)\s+", "")).otherwise(F.col(x)))).drop("_to")
-    return out.select(edges.columns)
+    return edges.where(~points).unionByName(out.select(edges.columns))
 
 
 def normalized_edges(edges: DataFrame, companies: tuple[str, ...] = ()) -> DataFrame:
@@ -322,7 +329,8 @@ def document_sentences(pages: DataFrame, id_col: str = "doc_id", raw_col: str =
     """
     nodes = parse_documents(pages, id_col, raw_col, ("nodes",)).select(F.col("id").alias("doc_id"), F.inline("doc.nodes"))
     made = node_sentences(materialize(nodes, "nodes"))
-    # the colon of a lead-in would end its clause before the item
+    # only a lead-in with a colon says something of its items; the colon would end its clause before the item
+    made = made.where("variant = 0 OR (variant = 1 AND contains(text, ': '))")
     made = made.withColumn("text", F.when(F.col("variant") > 0, F.regexp_replace("text", r":\s+", " ")).otherwise(F.col("text")))
     return made.select("doc_id", "node_id", "variant", F.posexplode(split_sentences(F.col("text"))).alias("k", "text")).select(
         "doc_id", F.struct("node_id", "variant", "k").alias("sent_id"), "text"
