@@ -32,7 +32,7 @@ from tessella.llm.visual import folded
 from tessella.operators.scratch import materialize
 
 RUN = 12
-#: Words of one block of items: its index takes about 60 bytes a word.
+#: Words of one block of items: its index takes about 200 bytes a word in each worker, with the lists it opens.
 BLOCK_WORDS = 1_000_000
 #: Words of a query passage beyond run; neighbours overlap by run - 1 words.  Short passages keep the sum of the
 #: upper bounds of common words below the threshold, so that only lists of rare words drive the search.

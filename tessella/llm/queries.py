@@ -153,6 +153,15 @@ ORACLE = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2)
         SELECT a AS doc_id_a, b AS doc_id_b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE k >= 0.6 * (p.n + q.n - k)""",
+    "p2_classes": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM parsed_docs WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM w WHERE len(ws) >= 5)),
+        k AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS key, count(*) AS n FROM s GROUP BY 1), m AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY key) AS rep FROM k),
+        r AS (SELECT s.doc_id, g, n FROM s JOIN m USING (doc_id) WHERE m.rep = m.doc_id),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM r x JOIN r y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM b WHERE k >= 0.8 * (na + nb - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+        c AS (SELECT a AS rep, least(a, min(b)) AS class_id FROM reach GROUP BY 1), g AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY 1)
+        SELECT doc_id, coalesce(class_id, rep) AS class_id, coalesce(n_links, 0) AS n_links FROM m LEFT JOIN c USING (rep) LEFT JOIN g USING (rep)""",
     "p7_found": _P7 + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     "p7_overlap": _P7 + """,
         h AS (SELECT doc_id, item_id, count(*) AS k FROM dg JOIN ig USING (g) GROUP BY 1, 2), n AS (SELECT item_id, count(*) AS n FROM ig GROUP BY 1)
