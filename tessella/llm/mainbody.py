@@ -159,7 +159,7 @@ def parse(raw: str) -> tuple[Node, list[Node], str]:
             if attrs:
                 at = _ATTR.findall(attrs)
                 if at:
-                    label = tag + "." + ".".join(sorted((a + "=" + (b or c or d)) if a != "class" else (b or c or d) for a, b, c, d in at))
+                    label = _family(tag + "." + ".".join(sorted((a + "=" + (b or c or d)) if a != "class" else (b or c or d) for a, b, c, d in at)))
             if cur.text is not None and not cur.kids:  # the block's own text becomes its first child
                 leaf = Node("#text", "#text", cur)
                 leaf.text, leaf.link, cur.text = cur.text, cur.link, None
@@ -540,7 +540,7 @@ class Template:
             for k in reversed(s.kids):
                 if k.label == "h1":
                     self.heads[s.no] = self.heads.get(s.no, 0) + k.weight
-                stack.append((k, xxhash.xxh3_64_intdigest(f"{path}/{_family(k.label)}") - (1 << 63), s.no))
+                stack.append((k, xxhash.xxh3_64_intdigest(f"{path}/{k.label}") - (1 << 63), s.no))
 
 
 @lru_cache(maxsize=64)
