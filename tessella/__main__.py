@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import graph, typology
+from tessella.operators.scratch import release
 from tessella.plans import links, scalars, sheets
 from tessella.plans import queries as core
 from tessella.plans.ship import ship
@@ -52,6 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "list":
         print("\n".join(sorted(core.QUERIES)))
         return 0
+    own = spark is None
     spark = spark or SparkSession.builder.appName("tessella").getOrCreate()
     ship(spark)
     t = core.Tables(spark, a.dir)
@@ -81,6 +83,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         up = graph.closure(links._low(t), src="hypernym", dst="hyponym")
         names = [x.lower() for x in a.terms]
         _show(up.where(F.col("ancestor").isin(names) | F.col("descendant").isin(names)).orderBy("ancestor", "descendant"))
+    if own:
+        release(spark)  # everything is written or printed
     return 0
 
 

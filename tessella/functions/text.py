@@ -59,11 +59,17 @@ def is_negated(text: Column, pos: Column) -> Column:
     return clause.rlike(lx.NEGATION) & ~after(text, pos, lx.EXCEPTION_WINDOW).rlike(lx.EXCEPTION)
 
 
+def any_match(text: Column, pattern: str, holds) -> Column:
+    """Whether some match of the pattern has a property, given as a function of its span.
+
+    A plain search comes first: most texts have no match, and spans are only made where there is one.
+    """
+    return F.when(text.rlike(pattern), F.exists(match_spans(text, pattern), holds)).otherwise(False)
+
+
 def affirmative(text: Column, pattern: str) -> Column:
     """Whether some match is neither negated nor directed to the reader or speaker."""
-    return F.exists(
-        match_spans(text, pattern), lambda m: ~after(text, m["end"]).rlike(lx.SELF_RECIPIENT) & ~is_negated(text, m["start"])
-    )
+    return any_match(text, pattern, lambda m: ~after(text, m["end"]).rlike(lx.SELF_RECIPIENT) & ~is_negated(text, m["start"]))
 
 
 def positive_sharing(text: Column) -> Column:
@@ -78,9 +84,7 @@ def positive_collection(text: Column) -> Column:
 
 def implicit_sale(text: Column) -> Column:
     """The text affirms a sale of data that isn't being stopped."""
-    return F.exists(
-        match_spans(text, lx.SALE), lambda m: ~is_negated(text, m["start"]) & ~before(text, m["start"]).rlike(lx.SALE_STOPPED)
-    )
+    return any_match(text, lx.SALE, lambda m: ~is_negated(text, m["start"]) & ~before(text, m["start"]).rlike(lx.SALE_STOPPED))
 
 
 def clause_window(text: Column, start: Column, width: int) -> Column:
@@ -101,9 +105,8 @@ def has_first_party_anchor(text: Column) -> Column:
 
 
 def _party_collects(text: Column, party: str) -> Column:
-    return F.exists(
-        match_spans(text, party),
-        lambda m: ~is_negated(text, m["start"]) & affirmative(clause_window(text, m["end"], lx.COLLECTS_WINDOW), lx.COLLECTION),
+    return any_match(
+        text, party, lambda m: ~is_negated(text, m["start"]) & affirmative(clause_window(text, m["end"], lx.COLLECTS_WINDOW), lx.COLLECTION)
     )
 
 
@@ -112,19 +115,19 @@ def _tracker_of_party(text: Column, tracker: str) -> Column:
         pre = before(text, m["start"], lx.NEGATION_WINDOW)
         return ~pre.rlike(lx.NEGATION) & ~pre.rlike(lx.NO_SUCH) & party_follows(text, m["end"])
 
-    return F.exists(match_spans(text, tracker), attributed)
+    return any_match(text, tracker, attributed)
 
 
 def third_party_collects(text: Column) -> Column:
     """Somebody other than the first party is said to collect."""
     anchored = has_first_party_anchor(text) & text.rlike(lx.DATA_NOUN)
-    return (
-        _party_collects(text, lx.GENERIC)
-        | (anchored & _party_collects(text, lx.CATEGORY))
-        | (anchored & _tracker_of_party(text, lx.TRACKER_BY))
-        | (anchored & _tracker_of_party(text, lx.TRACKER_FROM))
-        | (anchored & text.rlike(lx.THIRD_PARTY_SURFACE) & positive_collection(text))
+    others = (
+        _party_collects(text, lx.CATEGORY)
+        | _tracker_of_party(text, lx.TRACKER_BY)
+        | _tracker_of_party(text, lx.TRACKER_FROM)
+        | (text.rlike(lx.THIRD_PARTY_SURFACE) & positive_collection(text))
     )
+    return _party_collects(text, lx.GENERIC) | (anchored & others)
 
 
 def machine_readable_kind(text: Column) -> Column:

@@ -186,12 +186,15 @@ def l14_platform_label(spark, d):
 _WHOLE = lambda p: "^" + p.replace("(?i)", "(?:") + ")$"
 
 
-@query(f"""WITH n AS (SELECT DISTINCT entity AS name FROM collect_edges WHERE entity <> '' UNION SELECT DISTINCT data_type FROM collect_edges WHERE data_type <> ''), g AS (SELECT DISTINCT lower(trim(name)) AS g FROM gazetteer),
-    a AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\\s+', ' ', 'g')), '^[\\s\\p{{P}}\\p{{S}}]+', ''), '(?i)^(?:the|a|an|our|your|their|its|this|these|such)\\s+', ''), '[\\s.,;:]+$', '') AS s FROM n),
-    w AS (SELECT name, s, lower(s) AS low, regexp_split_to_array(lower(s), '\\s+') AS w, lower(s) IN (SELECT g FROM g) AS listed FROM a)
-    SELECT name, CASE WHEN listed THEN s WHEN s = '' OR low IN ({_quoted(lx.LEGAL_TERMS)}) OR len(list_filter(w, lambda x: x NOT IN ({_quoted(lx.DEFINED_TERMS)}))) = 0 OR NOT regexp_matches(s, '[A-Z]') OR regexp_matches(s, '^[A-Z]{{2,5}}$')
+_CLEANED = f"""ca AS (SELECT name, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(name, '\\s+', ' ', 'g')), '^[\\s\\p{{P}}\\p{{S}}]+', ''), '(?i)^(?:the|a|an|our|your|their|its|this|these|such)\\s+', ''), '[\\s.,;:]+$', '') AS s FROM n),
+    cw AS (SELECT name, s, lower(s) AS low, regexp_split_to_array(lower(s), '\\s+') AS w, lower(s) IN (SELECT g FROM g) AS listed FROM ca),
+    cn AS (SELECT name, CASE WHEN listed THEN s WHEN s = '' OR low IN ({_quoted(lx.LEGAL_TERMS)}) OR len(list_filter(w, lambda x: x NOT IN ({_quoted(lx.DEFINED_TERMS)}))) = 0 OR NOT regexp_matches(s, '[A-Z]') OR regexp_matches(s, '^[A-Z]{{2,5}}$')
       OR (len(w) >= 4 AND NOT regexp_matches(s, '{_sq(lx.CORPORATE_SUFFIX)}')) OR regexp_matches(low, '{_sq(_WHOLE(lx.CATEGORY))}') OR regexp_matches(low, '{_sq(_WHOLE(lx.GENERIC))}')
-      OR regexp_matches(low, '(?:authority|commission|regulation|directive|shield|act)$') THEN NULL ELSE s END AS cleaned FROM w""")
+      OR regexp_matches(low, '(?:authority|commission|regulation|directive|shield|act)$') THEN NULL ELSE s END AS cleaned FROM cw)"""
+_LISTED_NAMES = "g AS (SELECT DISTINCT lower(trim(name)) AS g FROM gazetteer)"
+
+
+@query(f"WITH n AS (SELECT DISTINCT entity AS name FROM collect_edges WHERE entity <> '' UNION SELECT DISTINCT data_type FROM collect_edges WHERE data_type <> ''), {_LISTED_NAMES}, {_CLEANED} SELECT name, cleaned FROM cn")
 def n3_clean_org(spark, d):
     t = Tables(spark, d)
     n = t.collect_edges.select(F.explode(F.array("entity", "data_type")).alias("name")).where("name <> ''").distinct()
@@ -212,6 +215,19 @@ def s15_characters_read(spark, d):
     return x.select("doc_id", read(typology.BRIEF).alias("brief"), read(typology.WHOLE).alias("whole"))
 
 
+@query(f"""WITH x AS (SELECT doc_id, min(coalesce(evidence, '')) AS evidence, any_value(coalesce(named_orgs, [])) AS orgs FROM doc_classification GROUP BY 1), n AS (SELECT DISTINCT unnest(orgs) AS name FROM x), {_LISTED_NAMES}, {_CLEANED},
+    gt AS (SELECT lower(trim(name)) AS g, max(coalesce(org_type, 'company')) AS t FROM gazetteer GROUP BY 1), f AS (SELECT doc_id, g AS o FROM x JOIN g ON contains(lower(evidence), g)),
+    r AS (SELECT DISTINCT doc_id, cleaned AS o FROM (SELECT doc_id, unnest(orgs) AS name FROM x) u JOIN cn USING (name) WHERE cleaned IS NOT NULL), a AS (SELECT * FROM f UNION SELECT * FROM r WHERE (doc_id, lower(o)) NOT IN (SELECT doc_id, o FROM f)),
+    k AS (SELECT doc_id, o, coalesce(t, CASE WHEN len(regexp_split_to_array(lower(trim(o)), '\\s+')) >= 2 AND regexp_split_to_array(lower(trim(o)), '\\s+')[-1] IN ({_quoted(lx.SERVICE_TAILS)}) THEN 'service' ELSE 'unknown' END) AS kind FROM a LEFT JOIN gt ON gt.g = lower(trim(o))),
+    t AS (SELECT doc_id, array_to_string(list_sort(list(o)), ';') AS orgs, list(DISTINCT kind) FILTER (WHERE kind <> 'unknown') AS ks FROM k GROUP BY 1)
+    SELECT x.doc_id, coalesce(t.orgs, '') AS orgs, CASE WHEN t.orgs IS NULL THEN '' WHEN coalesce(len(ks), 0) = 0 THEN 'unknown' WHEN len(ks) > 1 THEN 'mixed' ELSE ks[1] END AS typing FROM x LEFT JOIN t USING (doc_id)""")
+def n4_detect_orgs(spark, d):
+    t = Tables(spark, d)
+    x = t.doc_classification.groupBy("doc_id").agg(F.min(F.coalesce("evidence", F.lit(""))).alias("evidence"), F.first(F.coalesce("named_orgs", F.array().cast(_NONE))).alias("named_orgs"))
+    o = en.detect_orgs(F.col("evidence"), t.gazetteer_(), None, F.col("named_orgs"))
+    return x.select("doc_id", o.alias("o")).select("doc_id", j("o.orgs", "orgs"), "o.typing")
+
+
 # -- steps of the classification ---------------------------------------------------------
 
 _STRUCT = f"""w AS (SELECT p.doc_id, concat_ws(' ', coalesce(title, ''), coalesce(dc.url, ''), coalesce(dc.role, '')) AS w, coalesce(dc.role, '') AS role, coalesce(title, '') || chr(10) || substr(coalesce(text, ''), 1, 600) AS head, lower(coalesce(text, '')) AS low

@@ -348,14 +348,6 @@ def n2_classify_org(spark, d):
     return n.select("name", en.classify_org(F.col("name"), t.gazetteer_()).alias("kind"))
 
 
-@query(None)
-def n4_detect_orgs(spark, d):
-    t = Tables(spark, d)
-    x = t.doc_classification.select("doc_id", "evidence", "named_orgs").dropDuplicates(["doc_id"])
-    o = en.detect_orgs(F.coalesce("evidence", F.lit("")), t.gazetteer_(), None, F.coalesce("named_orgs", F.array().cast("array<string>")))
-    return x.select("doc_id", o.alias("o")).select("doc_id", j("o.orgs", "orgs"), "o.typing")
-
-
 @query("""WITH x AS (SELECT DISTINCT doc_id, unnest(coalesce(named_orgs, [])) AS o FROM doc_classification), k AS (SELECT doc_id, lower(o) AS l, min(o) AS o FROM x GROUP BY 1, 2)
     SELECT doc_id, array_to_string(list(o ORDER BY l), ';') AS orgs FROM k GROUP BY 1""")
 def n14_merge_orgs(spark, d):
