@@ -12,13 +12,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import lexicons as lx
-from tessella.functions.html import parse_documents
-from tessella.functions.html import sentences as node_sentences
-from tessella.functions.text import purposes_or_other, split_sentences
+from tessella.functions.html import read_html
+from tessella.functions.text import purposes_or_other
 from tessella.operators.graph import UNSPECIFIED_DATA, UNSPECIFIED_PARTY, WE, acyclic_subsumptions, closure, graph_edges, graph_nodes
 from tessella.operators.scratch import materialize, work_partitions
 
@@ -169,9 +169,9 @@ def phrase_edges(sentences: DataFrame, tagger: Callable[[str], list[tuple]] = ta
             yield pd.DataFrame(rows, columns=cols)
 
     n = work_partitions(sentences.sparkSession)
-    at = sentences.select("doc_id", "sent_id", "text", F.md5("text").alias("key")).where("text <> ''")
+    at = materialize(sentences.select("doc_id", "sent_id", "text", F.unhex(F.md5("text")).alias("key")).where("text <> ''"), "sentences")
     distinct = at.select("key", "text").repartition(n, "key").dropDuplicates(["key"])
-    tagged = distinct.mapInPandas(run, "key string, " + EDGE)
+    tagged = distinct.mapInPandas(run, "key binary, " + EDGE)
     # places carry the key of their sentence, not the sentence
     return at.select("doc_id", "sent_id", "key").join(tagged, "key").drop("key")
 
@@ -321,20 +321,53 @@ def normalized_edges(edges: DataFrame, companies: tuple[str, ...] = ()) -> DataF
     )
 
 
+def page_sentences(raw: str | None) -> list[tuple[int, int, int, str]]:
+    """``(node, variant, k, text)`` of the sentences of a page, furniture left out.
+
+    Variant 0 is a node's own text; a list item whose lead-in has a colon also
+    stands behind it as variant 1, so that what the lead-in says holds for the
+    item (the colon would end its clause and goes).  Of tables, cells of three
+    words or more are taken.
+    """
+    nodes = {n["node_id"]: n for n in read_html(raw)["nodes"]}
+    out: list[tuple[int, int, int, str]] = []
+    for i, n in nodes.items():
+        if n["boilerplate"] or n["type"] == "ROOT":
+            continue
+        texts = [(0, n["text"])]
+        if n["type"] == "TABLE":
+            texts = [(0, c) for c in n["text"].split(" • ") if len(c.split()) >= 3]
+        elif n["type"] == "LISTITEM":
+            lead = (nodes[n["parent_id"]]["text"] if n["parent_id"] in nodes else "").rstrip()
+            if lead.endswith(":"):
+                texts.append((1, f"{_COLON.sub(' ', lead[:-1])} {n['text']}"))
+        for variant, text in texts:
+            out += [(i, variant, k, t) for k, t in enumerate(x for x in _ENDS.split(text) if x.strip())]
+    return out
+
+
+_COLON, _ENDS = re.compile(r":\s+"), re.compile(r"(?<=[.!?])\s+")
+
+
 def document_sentences(pages: DataFrame, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """``(doc_id, sent_id, text)`` of pages' markup, furniture left out.
+    """``(doc_id, sent_id, text)`` of ``page_sentences`` for every page; ``sent_id`` is ``(node, variant, k)``.
 
-    List items also stand behind their lead-ins, so that what a lead-in says
-    holds for its items; ``sent_id`` is ``(node, variant, k)``.
+    A page is one row, so its list items meet their lead-ins without a join.
     """
-    nodes = parse_documents(pages, id_col, raw_col, ("nodes",)).select(F.col("id").alias("doc_id"), F.inline("doc.nodes"))
-    made = node_sentences(materialize(nodes, "nodes"))
-    # only a lead-in with a colon says something of its items; the colon would end its clause before the item
-    made = made.where("variant = 0 OR (variant = 1 AND contains(text, ': '))")
-    made = made.withColumn("text", F.when(F.col("variant") > 0, F.regexp_replace("text", r":\s+", " ")).otherwise(F.col("text")))
-    return made.select("doc_id", "node_id", "variant", F.posexplode(split_sentences(F.col("text"))).alias("k", "text")).select(
-        "doc_id", F.struct("node_id", "variant", "k").alias("sent_id"), "text"
-    )
+    src = pages.select(F.col(id_col).alias("doc_id"), F.col(raw_col).alias("raw")).where("raw IS NOT NULL")
+    kind = dict(src.dtypes)["doc_id"]
+
+    def fn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, rows = [], []
+            for i, raw in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist()):
+                found = page_sentences(raw)
+                ids += [i] * len(found)
+                rows += found
+            where = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int32()) for k in range(3)], names=["node", "variant", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), where, pa.array([r[3] for r in rows], pa.string())], names=["doc_id", "sent_id", "text"])
+
+    return src.mapInArrow(fn, f"doc_id {kind}, sent_id struct<node:int,variant:int,k:int>, text string")
 
 
 def build_graphs(sentences: DataFrame, companies: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -102,6 +102,13 @@ def test_lists_pointers_and_cycles_in_graphs(spark):
     assert len([e for e in annotate.tag_sentence(many) if e[4] == "SUBSUME"]) == 16
 
 
+def test_sentences_of_a_page():
+    page = "<nav><p>Start</p></nav><h1>Notice</h1><p>One. Two!</p><p>We keep: these:</p><ul><li>names. dates</li></ul><p>No colon</p><ul><li>item</li></ul><table><tr><td>Lamp</td><td>counts of the hall</td></tr></table>"
+    got = [(v, t) for _, v, _, t in annotate.page_sentences(page)]
+    assert got == [(0, "Notice"), (0, "One."), (0, "Two!"), (0, "We keep: these:"), (0, "names."), (0, "dates"), (1, "We keep these names."), (1, "dates"), (0, "No colon"), (0, "item"), (0, "counts of the hall")]
+    assert annotate.page_sentences(None) == annotate.page_sentences("") == []
+
+
 def test_companies_are_whole_words(spark):
     one = spark.range(1)
     v = lambda x: one.select(annotate.normalize_entity(F.lit(x), ("meta",)).alias("v")).first()["v"]
