@@ -7,17 +7,27 @@ and SUBSUME.  Many graphs live in one table, keyed by ``graph_id``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessella import lexicons as lx
 from tessella.operators.scratch import materialize, work_partitions
 
 WE, UNSPECIFIED_PARTY, UNSPECIFIED_DATA = "we", "unspecified third party", "unspecified data"
 _NONE = "array<string>"
+#: Rows that a pass over graphs hands on at once.
+FOLDED_ROWS = 10_000
+#: Edges up to which every task of a closure holds them all, in memory that is small and known beforehand.
+SMALL = 500_000
+#: Pairs of terms that are broadcast at most.
+FEW_PAIRS = 500_000
 
 
 def _united(col: str) -> Column:
@@ -34,15 +44,51 @@ def graph_edges(mentions: DataFrame) -> DataFrame:
     """COLLECT and NOT_COLLECT edges from ``mentions(graph_id, entity, data_type, edge_type, action, subject, purposes, text)``.
 
     One edge per graph, ends, type, action and subject; purposes and texts add
-    up.  Null or empty ends are left out.
+    up.  Null or empty ends are left out.  Without a column ``text`` edges have none.
     """
     e = mentions.withColumn("src", F.lower(F.trim("entity"))).withColumn("dst", F.lower(F.trim(F.regexp_replace("data_type", r"\s+", " "))))
     return (
         e.where("src <> '' AND dst <> ''").groupBy("graph_id", "src", "dst", F.col("edge_type").alias("etype"), "action", "subject")
-        .agg(_united("purposes").alias("purposes"), _united("text").alias("text"))
+        .agg(*[_united(c).alias(c) for c in ("purposes", "text") if c in mentions.columns])
     )
 
 
+def _folded(rows: DataFrame, fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``fold`` over the rows of each graph, which has all columns but ``graph_id``; what it gives follows ``graph_id`` in ``schema``.
+
+    Joins by graph and term would shuffle every table once for each term; here
+    each row is moved once, and one pass goes through many small graphs.  One
+    graph lies in memory at a time; a graph is one document's.
+    """
+    of = [c for c in rows.columns if c != "graph_id"]
+    fields = StructType.fromDDL(f"graph_id {dict(rows.dtypes)['graph_id']}, {schema}")
+    kinds = to_arrow_schema(fields)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, kinds)], schema=kinds)
+
+        graph_id, own = None, []
+        for rb in it:
+            ids = rb.column("graph_id").to_pylist()
+            for g, *row in zip(ids, *(rb.column(c).to_pylist() for c in of)):
+                if g != graph_id:
+                    out += [(graph_id, *x) for x in fold(own)] if own else []
+                    graph_id, own = g, []
+                    if len(out) >= FOLDED_ROWS:
+                        yield batch()
+                own.append(row)
+        out += [(graph_id, *x) for x in fold(own)] if own else []
+        yield batch()
+
+    n = work_partitions(rows.sparkSession)
+    return rows.where("graph_id IS NOT NULL").repartition(n, "graph_id").sortWithinPartitions("graph_id").mapInArrow(run, fields)
+
+
 _SUB = "graph_id string, src string, dst string"
 
 
@@ -94,14 +140,50 @@ def acyclic_subsumptions(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     return e.repartition(n, "graph_id").sortWithinPartitions("graph_id", "ord", "src", "dst").select("graph_id", "src", "dst").mapInArrow(fold, _SUB)
 
 
-def closure(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+def _closure_by_source(base: DataFrame) -> DataFrame:
+    """Closure of a small table ``(ancestor, descendant)``: each task gets all edges and walks down from its share of the ancestors."""
+    n = work_partitions(base.sparkSession)
+
+    def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares, below = set(), defaultdict(set)
+        for rb in it:
+            shares.update(rb.column("share").to_pylist())
+            for a, d in zip(rb.column("ancestor").to_pylist(), rb.column("descendant").to_pylist()):
+                below[a].add(d)
+        up, down = [], []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(up, pa.string()), pa.array(down, pa.string())], names=["ancestor", "descendant"])
+
+        for a in [a for a in below if zlib.crc32(a.encode()) % n in shares]:
+            seen, stack = set(), [a]
+            while stack:
+                fresh = below.get(stack.pop(), set()) - seen
+                seen |= fresh
+                stack += fresh
+            up += [a] * len(seen)
+            down += seen
+            if len(up) >= FOLDED_ROWS:
+                yield batch()
+                up, down = [], []
+        if up:
+            yield batch()
+
+    copies = base.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "share")
+    return copies.mapInArrow(walk, "ancestor string, descendant string")
+
+
+def closure(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst", max_rounds: int = 64, small: int = SMALL) -> DataFrame:
     """Transitive closure ``(keys.., ancestor, descendant)`` without the reflexive pairs, by a frontier of new pairs until there is none.
 
     Cycles are allowed; a node on one is its own ancestor.  Nulls are left
     out.  A closure that ``max_rounds`` doublings don't complete is an error.
+    Up to ``small`` edges without keys are walked by tasks that hold them all, with the same result.
     """
     keys = keys or []
     base = materialize(edges.select(*keys, F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct(), "closure")
+    if not keys and dict(base.dtypes)["ancestor"] == "string" and base.count() <= small:
+        return materialize(_closure_by_source(base), "closure")
     done = fresh = base
     # only pairs found in the last round are extended, by everything known; distances double from round to round
     for _ in range(max_rounds):
@@ -124,6 +206,24 @@ def reflexive(closed: DataFrame, names: DataFrame, keys: list[str] | None = None
     return closed.unionByName(own).distinct()
 
 
+def within_graphs(terms: DataFrame, up: DataFrame, few: int = FEW_PAIRS) -> DataFrame:
+    """``(graph_id, ancestor, descendant)``: pairs of ``up(ancestor, descendant)`` with the ancestor among ``names`` and the descendant among ``below`` of one row of ``terms(graph_id, names, below)``.
+
+    A broad term lies above most others and in most graphs, so graphs are
+    never joined with all that lies below their terms.  Pairs that no graph
+    uses go first; few of them are held beside each graph, more are joined from below.
+    """
+    used = lambda c: terms.select(F.explode(c).alias("name")).distinct()
+    pairs = up.select("ancestor", "descendant").join(used("names").withColumnRenamed("name", "ancestor"), "ancestor", "left_semi")
+    pairs = materialize(pairs.join(used("below").withColumnRenamed("name", "descendant"), "descendant", "left_semi").distinct(), "pairs")
+    low = terms.select("graph_id", "names", F.explode("below").alias("descendant"))
+    if pairs.count() <= few:
+        above = pairs.groupBy("descendant").agg(F.collect_list("ancestor").alias("above"))
+        return low.join(F.broadcast(above), "descendant").select("graph_id", F.explode(F.array_intersect("above", "names")).alias("ancestor"), "descendant")
+    at = terms.select("graph_id", F.explode("names").alias("ancestor"))
+    return pairs.join(low.drop("names"), "descendant").join(at, ["graph_id", "ancestor"]).select("graph_id", "ancestor", "descendant")
+
+
 def without_cycles(edges: DataFrame, keys: list[str] | None = None, src: str = "src", dst: str = "dst") -> DataFrame:
     """Edges without those that lie on a cycle and come last in order of their ends: both ends reach each other and src >= dst."""
     keys = keys or []
@@ -161,15 +261,34 @@ def collects(queries: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFram
     """Rows of ``queries(graph_id, entity, data_type)`` with the purposes of the COLLECT edges that answer them.
 
     An edge (n, d) answers (N, D) if N subsumes n and d subsumes D, both
-    reflexively; ``reach(graph_id, ancestor, descendant)`` is that relation.
-    Unanswered rows are left out.
+    reflexively; ``reach(graph_id, ancestor, descendant)`` is that relation,
+    with or without the pairs of equal terms.  Unanswered rows are left out.
     """
-    pos = edges.where("etype = 'COLLECT'").select("graph_id", "src", "dst", "purposes")
-    q = queries.select("graph_id", "entity", "data_type").distinct()
-    qn = q.join(reach.select("graph_id", F.col("ancestor").alias("entity"), F.col("descendant").alias("src")), ["graph_id", "entity"])
-    qd = qn.join(reach.select("graph_id", F.col("descendant").alias("data_type"), F.col("ancestor").alias("dst")), ["graph_id", "data_type"])
-    hit = qd.join(pos, ["graph_id", "src", "dst"])
-    return hit.groupBy("graph_id", "entity", "data_type").agg(_united("purposes").alias("purposes"))
+    none = F.lit(None).cast(_NONE)
+    row = lambda df, kind, a, b, p=none: df.select("graph_id", F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), p.alias("p"))
+    rows = (
+        row(edges.where("etype = 'COLLECT'"), "said", "src", "dst", F.col("purposes"))
+        .unionByName(row(reach.where("ancestor <> descendant"), "reach", "ancestor", "descendant")).unionByName(row(queries, "asked", "entity", "data_type"))
+    )
+
+    def fold(own: list[tuple]) -> Iterator[tuple]:
+        above, below, asked, found = defaultdict(set), defaultdict(set), set(), {}
+        for kind, a, b, _ in own:
+            if kind == "reach":
+                above[b].add(a)
+                below[a].add(b)
+            elif kind == "asked":
+                asked.add((a, b))
+        for kind, a, b, p in own:
+            if kind == "said":
+                for n in (a, *above.get(a, ())):
+                    for d in (b, *below.get(b, ())):
+                        if (n, d) in asked:
+                            found.setdefault((n, d), set()).update(p or ())
+        for (n, d), p in found.items():
+            yield n, d, sorted(p, key=lambda x: (x is None, x))
+
+    return _folded(rows, fold, "entity string, data_type string, purposes array<string>")
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -235,30 +354,55 @@ def contradictions(edges: DataFrame, reach: DataFrame, global_reach: DataFrame |
 
     Same action and subject; entities equal or with a common descendant; data
     types the same, locally or in ``global_reach(ancestor, descendant)``; the
-    negative edge without purposes or with a common one.  The equal keys make
-    it a hash join; conflicts are semi-joins on common descendants.
+    negative edge without purposes or with a common one.  A term is its own
+    descendant, whether or not the relations hold that pair.
     """
-    cols = ["graph_id", "action", "subject"]
-    pos = edges.where("etype = 'COLLECT'").select(*cols, F.col("src").alias("entity_pos"), F.col("dst").alias("data_pos"), F.col("purposes").alias("purposes_pos"))
-    neg = edges.where("etype = 'NOT_COLLECT'").select(*cols, F.col("src").alias("entity_neg"), F.col("dst").alias("data_neg"), F.col("purposes").alias("purposes_neg"))
-    pairs = pos.join(neg, cols).where("size(purposes_neg) = 0 OR arrays_overlap(purposes_pos, purposes_neg)")
-
-    def conflict(a: str, b: str, also: DataFrame | None) -> DataFrame:
-        want = pairs.select("graph_id", F.col(a).alias("x"), F.col(b).alias("y")).distinct()
-        down = reach.select("graph_id", "ancestor", "descendant")
-        local = want.join(down.select("graph_id", F.col("ancestor").alias("x"), "descendant"), ["graph_id", "x"]).join(
-            down.select("graph_id", F.col("ancestor").alias("y"), "descendant"), ["graph_id", "y", "descendant"]
-        )
-        out = want.where("x = y").select("graph_id", "x", "y").unionByName(local.select("graph_id", "x", "y"))
-        if also is not None:
-            g = want.join(also.select(F.col("ancestor").alias("x"), "descendant"), "x").join(also.select(F.col("ancestor").alias("y"), "descendant"), ["y", "descendant"])
-            out = out.unionByName(g.select("graph_id", "x", "y"))
-        return out.distinct().withColumnsRenamed({"x": a, "y": b})
-
-    return pairs.join(conflict("entity_pos", "entity_neg", None), ["graph_id", "entity_pos", "entity_neg"], "left_semi").join(
-        conflict("data_pos", "data_neg", global_reach), ["graph_id", "data_pos", "data_neg"], "left_semi"
+    none = F.lit(None).cast(_NONE)
+    cols = ["graph_id", "etype", "action", "subject", "src", "dst", "purposes"]
+    rows = edges.where("etype IN ('COLLECT', 'NOT_COLLECT') AND action IS NOT NULL AND subject IS NOT NULL").select(*cols).unionByName(
+        reach.where("ancestor <> descendant").select("graph_id", F.lit("reach").alias("etype"), F.lit("").alias("action"), F.lit("").alias("subject"), F.col("ancestor").alias("src"), F.col("descendant").alias("dst"), none.alias("purposes"))
     )
 
+    def fold(own: list[tuple]) -> Iterator[tuple]:
+        below, pos = defaultdict(set), defaultdict(list)
+        for etype, action, subject, src, dst, p in own:
+            if etype == "reach":
+                below[src].add(dst)
+            elif etype == "COLLECT":
+                pos[action, subject].append((src, dst, p))
+
+        def meet(a: str, b: str) -> bool:
+            return a == b or b in below.get(a, ()) or a in below.get(b, ()) or not below.get(a, set()).isdisjoint(below.get(b, ()))
+
+        for etype, action, subject, src, dst, p in own:
+            if etype == "NOT_COLLECT" and p is not None:
+                for s, d, q in pos.get((action, subject), ()):
+                    if (not p or not {x for x in p if x is not None}.isdisjoint(q or ())) and meet(s, src):
+                        yield action, subject, s, d, q, src, dst, p, meet(d, dst)
+
+    found = _folded(rows, fold, "action string, subject string, entity_pos string, data_pos string, purposes_pos array<string>, entity_neg string, data_neg string, purposes_neg array<string>, local boolean")
+    if global_reach is None:
+        return found.where("local").drop("local")
+    found = materialize(found, "pairs")
+    x, y = F.col("data_pos").alias("x"), F.col("data_neg").alias("y")
+    same = _meeting(found.where("NOT local").select(x, y).distinct(), global_reach).withColumnsRenamed({"x": "data_pos", "y": "data_neg"})
+    return found.where("local").unionByName(found.where("NOT local").join(same, ["data_pos", "data_neg"], "left_semi")).drop("local")
+
+
+def _meeting(pairs: DataFrame, reach: DataFrame) -> DataFrame:
+    """Rows of ``pairs(x, y)``, two different terms each, of which one lies below the other or another term lies below both by ``reach(ancestor, descendant)``."""
+    r = materialize(reach.where("ancestor <> descendant").select("ancestor", "descendant"), "strict")
+    pairs = materialize(pairs, "asked")
+    down = pairs.join(r.select(F.col("ancestor").alias("x"), F.col("descendant").alias("y")), ["x", "y"], "left_semi")
+    up = pairs.join(r.select(F.col("ancestor").alias("y"), F.col("descendant").alias("x")), ["y", "x"], "left_semi").select("x", "y")
+    near = materialize(down.unionByName(up).distinct(), "near")
+    # of the others, the term with less below it is followed down, never the broad one
+    size = r.groupBy("ancestor").agg(F.count("*").alias("n"))
+    rest = pairs.join(near, ["x", "y"], "left_anti").join(size.select(F.col("ancestor").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("ancestor").alias("y"), F.col("n").alias("ny")), "y")
+    rest = rest.select("x", "y", F.expr("IF(nx <= ny, x, y)").alias("few"), F.expr("IF(nx <= ny, y, x)").alias("many"))
+    both = rest.join(r.withColumnRenamed("ancestor", "few"), "few").join(r.withColumnRenamed("ancestor", "many"), ["many", "descendant"], "left_semi")
+    return near.unionByName(both.select("x", "y").distinct())
+
 
 def classify_flows(flows: DataFrame, nodes: DataFrame, edges: DataFrame, reach: DataFrame, data_up: DataFrame, entity_up: DataFrame | None = None) -> DataFrame:
     """Verdict on each observed ``flows(graph_id, entity, data_type)``: clear, vague or inconsistent, with purposes.

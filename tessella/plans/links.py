@@ -391,8 +391,20 @@ def _low(t: Tables) -> DataFrame:
     return graph.ontology_edges(t.ccpa_data_ontology).select(F.lower("hypernym").alias("hypernym"), F.lower("hyponym").alias("hyponym"))
 
 
+def _bare(t: Tables) -> DataFrame:
+    """Edges of the graphs without their sentences, which the applications don't read; those of a graph lie together."""
+    e = t.edges().select(F.col("doc_id").alias("graph_id"), "entity", "data_type", "edge_type", "action", "subject", "purposes")
+    return materialize(graph.graph_edges(e.repartition("graph_id")), "edges")
+
+
+def _terms(e: DataFrame) -> DataFrame:
+    """``(graph_id, entities, data)``: the distinct ends of each graph's edges."""
+    return e.groupBy("graph_id").agg(F.collect_set("src").alias("entities"), F.collect_set("dst").alias("data"))
+
+
 def _ends(e: DataFrame) -> DataFrame:
-    return e.select("graph_id", F.inline(F.array(F.struct(F.col("src").alias("name"), F.lit("ENTITY").alias("ty")), F.struct(F.col("dst").alias("name"), F.lit("DATA").alias("ty"))))).distinct()
+    of = lambda c, ty: F.transform(c, lambda x: F.struct(x.alias("name"), F.lit(ty).alias("ty")))
+    return _terms(e).select("graph_id", F.inline(F.concat(of("entities", "ENTITY"), of("data", "DATA"))))
 
 
 def _subsumed(t: Tables, e: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -402,13 +414,11 @@ def _subsumed(t: Tables, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     unspecified third party all entities but the first.
     """
     up = graph.closure(_low(t), src="hypernym", dst="hyponym")
-    ends = materialize(_ends(e), "ends")
-    n = ends.select("graph_id", "name").distinct()
-    data = up.join(n.withColumnRenamed("name", "ancestor"), "ancestor").join(n.withColumnRenamed("name", "descendant"), ["graph_id", "descendant"])
-    some = ends.where(F.col("name") == graph.UNSPECIFIED_PARTY).select("graph_id", F.col("name").alias("ancestor")).distinct()
-    third = some.join(ends.where(F.col("ty") == "ENTITY").where(F.col("name") != graph.WE).select("graph_id", F.col("name").alias("descendant")), "graph_id")
-    cols = ["graph_id", "ancestor", "descendant"]
-    return materialize(graph.reflexive(data.select(cols).unionByName(third.select(cols)), n, ["graph_id"]), "reach"), up
+    terms = materialize(_terms(e).withColumn("names", F.array_union("entities", "data")), "terms")
+    data = graph.within_graphs(terms.select("graph_id", "names", F.col("names").alias("below")), up)
+    third = terms.where(F.array_contains("names", graph.UNSPECIFIED_PARTY)).select("graph_id", F.lit(graph.UNSPECIFIED_PARTY).alias("ancestor"), F.explode("entities").alias("descendant")).where(F.col("descendant") != graph.WE)
+    own = terms.select("graph_id", F.explode("names").alias("ancestor")).withColumn("descendant", F.col("ancestor"))
+    return materialize(data.unionByName(third).where("ancestor <> descendant").distinct().unionByName(own), "reach"), up
 
 
 _R = "WITH RECURSIVE "
@@ -435,7 +445,7 @@ _RF = ", rf AS (SELECT a, b FROM up UNION SELECT lower(label), lower(label) FROM
 
 
 def _contradictions(t: Tables) -> DataFrame:
-    e = materialize(_graph(t), "edges")
+    e = _bare(t)
     reach, up = _subsumed(t, e)
     names = t.ccpa_data_ontology.where("id IS NOT NULL").groupBy("id").agg(F.min(F.coalesce("label", "id")).alias("label")).select(F.lower("label").alias("name")).distinct()
     c = graph.contradictions(e, reach, graph.reflexive(up, names))
