@@ -257,6 +257,35 @@ def validate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return found.unionByName(s.join(back, ["graph_id", "src", "dst"], "left_semi").select("graph_id", "src", "dst", "etype", F.lit("cycle").alias("problem")))
 
 
+def _row(df: DataFrame, kind: str, a: str | Column, b: str | Column, p: str | None = None) -> DataFrame:
+    one = lambda c: F.col(c) if isinstance(c, str) else c
+    return df.select("graph_id", F.lit(kind).alias("kind"), one(a).alias("a"), one(b).alias("b"), (F.col(p) if p else F.lit(None).cast(_NONE)).alias("p"))
+
+
+def _said(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """Rows ``(graph_id, kind, a, b, p)`` of COLLECT edges and of the reach between different terms."""
+    return _row(edges.where("etype = 'COLLECT'"), "said", "src", "dst", "purposes").unionByName(_row(reach.where("ancestor <> descendant"), "reach", "ancestor", "descendant"))
+
+
+def _answers(own: list[tuple]) -> dict[tuple, set]:
+    """Purposes of every pair (N, D) that the edges of one graph answer, from its rows of ``_said``."""
+    above, below, found = defaultdict(set), defaultdict(set), {}
+    for kind, a, b, _ in own:
+        if kind == "reach":
+            above[b].add(a)
+            below[a].add(b)
+    for kind, a, b, p in own:
+        if kind == "said":
+            for n in {a, *above.get(a, ())}:
+                for d in {b, *below.get(b, ())}:
+                    found.setdefault((n, d), set()).update(p or ())
+    return found
+
+
+def _in_order(p: set) -> list:
+    return sorted(p, key=lambda x: (x is None, x))
+
+
 def collects(queries: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Rows of ``queries(graph_id, entity, data_type)`` with the purposes of the COLLECT edges that answer them.
 
@@ -264,29 +293,13 @@ def collects(queries: DataFrame, edges: DataFrame, reach: DataFrame) -> DataFram
     reflexively; ``reach(graph_id, ancestor, descendant)`` is that relation,
     with or without the pairs of equal terms.  Unanswered rows are left out.
     """
-    none = F.lit(None).cast(_NONE)
-    row = lambda df, kind, a, b, p=none: df.select("graph_id", F.lit(kind).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), p.alias("p"))
-    rows = (
-        row(edges.where("etype = 'COLLECT'"), "said", "src", "dst", F.col("purposes"))
-        .unionByName(row(reach.where("ancestor <> descendant"), "reach", "ancestor", "descendant")).unionByName(row(queries, "asked", "entity", "data_type"))
-    )
+    rows = _said(edges, reach).unionByName(_row(queries, "asked", "entity", "data_type"))
 
     def fold(own: list[tuple]) -> Iterator[tuple]:
-        above, below, asked, found = defaultdict(set), defaultdict(set), set(), {}
-        for kind, a, b, _ in own:
-            if kind == "reach":
-                above[b].add(a)
-                below[a].add(b)
-            elif kind == "asked":
-                asked.add((a, b))
-        for kind, a, b, p in own:
-            if kind == "said":
-                for n in (a, *above.get(a, ())):
-                    for d in (b, *below.get(b, ())):
-                        if (n, d) in asked:
-                            found.setdefault((n, d), set()).update(p or ())
-        for (n, d), p in found.items():
-            yield n, d, sorted(p, key=lambda x: (x is None, x))
+        asked = {(a, b) for kind, a, b, _ in own if kind == "asked"}
+        for (n, d), p in _answers(own).items():
+            if (n, d) in asked:
+                yield n, d, _in_order(p)
 
     return _folded(rows, fold, "entity string, data_type string, purposes array<string>")
 
@@ -412,21 +425,36 @@ def classify_flows(flows: DataFrame, nodes: DataFrame, edges: DataFrame, reach:
     several, the least pair counts.  Else inconsistent.
     """
     f = flows.select("graph_id", F.lower(F.trim("entity")).alias("entity"), F.lower(F.trim("data_type")).alias("data_type")).distinct()
-    have = nodes.select("graph_id", "name")
-    known = f.join(have.withColumnRenamed("name", "entity"), ["graph_id", "entity"], "left_semi").join(have.withColumnRenamed("name", "data_type"), ["graph_id", "data_type"], "left_semi")
-    clear = collects(known, edges, reach).withColumnRenamed("purposes", "clear")
-    up_d = f.select("data_type").distinct().join(data_up.select(F.col("descendant").alias("data_type"), F.col("ancestor").alias("d2")), "data_type", "left").select("data_type", F.explode(F.array_distinct(F.array_compact(F.array("data_type", "d2")))).alias("d2")).distinct()
-    if entity_up is None:
-        up_e = f.select("entity", F.col("entity").alias("e2")).distinct()
-    else:
-        up_e = f.select("entity").distinct().join(entity_up.select(F.col("descendant").alias("entity"), F.col("ancestor").alias("e2")), "entity", "left").select("entity", F.explode(F.array_distinct(F.array_compact(F.array("entity", "e2")))).alias("e2")).distinct()
-    wide = f.join(up_d, "data_type").join(up_e, "entity").where("d2 <> data_type OR e2 <> entity")
-    said = collects(wide.select("graph_id", F.col("e2").alias("entity"), F.col("d2").alias("data_type")), edges, reach).withColumnsRenamed({"entity": "e2", "data_type": "d2"})
-    vague = wide.join(said, ["graph_id", "e2", "d2"]).groupBy("graph_id", "entity", "data_type").agg(F.min_by("purposes", F.struct("d2", "e2")).alias("vague"))
-    out = f.join(clear, ["graph_id", "entity", "data_type"], "left").join(vague, ["graph_id", "entity", "data_type"], "left")
-    verdict = F.when(F.col("clear").isNotNull(), "clear").when(F.col("vague").isNotNull(), "vague").otherwise("inconsistent")
-    purposes = F.coalesce("clear", "vague", F.array().cast(_NONE))
-    return out.select("graph_id", "entity", "data_type", verdict.alias("disclosure"), purposes.alias("purposes"), (verdict != "inconsistent").alias("consistent"), purpose_class(purposes).alias("purpose_class"))
+    # a broader term that the graph doesn't have answers nothing
+    has = edges.where("etype = 'COLLECT'").select("graph_id", F.array("src", "dst").alias("n")).unionByName(reach.where("ancestor <> descendant").select("graph_id", F.array("ancestor", "descendant").alias("n")))
+    has = has.groupBy("graph_id").agg(F.array_distinct(F.flatten(F.collect_set("n"))).alias("names"))
+    terms = materialize(has.join(f.groupBy("graph_id").agg(F.collect_set("data_type").alias("below"), F.collect_set("entity").alias("entities")), "graph_id"), "terms")
+    rows = _said(edges, reach).unionByName(_row(f, "flow", "entity", "data_type"))
+    rows = rows.unionByName(_row(nodes.groupBy("graph_id").agg(F.collect_set("name").alias("n")), "nodes", F.lit(""), F.lit(""), "n"))
+    rows = rows.unionByName(_row(within_graphs(terms, data_up), "data", "descendant", "ancestor"))
+    if entity_up is not None:
+        rows = rows.unionByName(_row(within_graphs(terms.select("graph_id", "names", F.col("entities").alias("below")), entity_up), "entity", "descendant", "ancestor"))
+
+    def fold(own: list[tuple]) -> Iterator[tuple]:
+        said, known = _answers(own), set()
+        wide = {"data": defaultdict(set), "entity": defaultdict(set)}
+        for kind, a, b, p in own:
+            if kind in wide:
+                wide[kind][a].add(b)
+            elif kind == "nodes":
+                known.update(p)
+        for kind, n, d, _ in own:
+            if kind == "flow":
+                if n in known and d in known and (n, d) in said:
+                    yield n, d, "clear", _in_order(said[n, d])
+                    continue
+                broad = [(y, x) for y in {d, *wide["data"].get(d, ())} for x in {n, *wide["entity"].get(n, ())} if (x, y) != (n, d) and (x, y) in said]
+                y, x = min(broad, default=(None, None))
+                yield n, d, "vague" if broad else "inconsistent", _in_order(said[x, y]) if broad else []
+
+    out = _folded(rows, fold, "entity string, data_type string, disclosure string, purposes array<string>")
+    out = out.unionByName(f.where("graph_id IS NULL").withColumns({"disclosure": F.lit("inconsistent"), "purposes": F.array().cast(_NONE)}))
+    return out.select("graph_id", "entity", "data_type", "disclosure", "purposes", (F.col("disclosure") != "inconsistent").alias("consistent"), purpose_class(F.col("purposes")).alias("purpose_class"))
 
 
 def purpose_class(purposes: Column) -> Column:

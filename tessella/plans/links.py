@@ -429,7 +429,7 @@ _R = "WITH RECURSIVE "
     JOIN ge ON ge.graph_id = q.graph_id AND ge.src = n.b AND ge.dst = c.a AND ge.etype = 'COLLECT' GROUP BY 1, 2, 3""")
 def q6_collects(spark, d):
     t = Tables(spark, d)
-    e = materialize(_graph(t), "edges")
+    e = _bare(t)
     reach, _ = _subsumed(t, e)
     ends = _ends(e)
     some = ends.where(F.col("name") == graph.UNSPECIFIED_PARTY).where("ty = 'ENTITY'").select("graph_id", F.col("name").alias("entity"))

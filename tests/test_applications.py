@@ -49,3 +49,9 @@ def test_contradictions_below_a_broad_term(spark, folder):
     own = {(f"d{i}", "collect", "general user", "we", "any", "we", f"leaf {i}") for i in range(GRAPHS)}
     third = {(f"d{i}", "collect", "general user", "unspecified third party", "mid", "acme", "other") for i in range(GRAPHS)}
     assert run(spark, folder, "a1_contradictions") == own | third
+
+
+def test_what_is_collected_below_a_broad_term(spark, folder):
+    assert run(spark, folder, "q6_collects") == {(f"d{i}", *x) for i in range(GRAPHS) for x in [
+        ("we", "any", "services"), ("we", f"leaf {i}", "services"), ("unspecified third party", "mid", "legal"), ("unspecified third party", f"leaf {i}", "legal"),
+    ]}
