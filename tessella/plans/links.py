@@ -473,7 +473,7 @@ def a9_contradiction_report(spark, d):
 def a5_flow_consistency(spark, d):
     """Every pair of ends of an edge, affirmed or denied, looked at as a flow that was observed."""
     t = Tables(spark, d)
-    e = materialize(_graph(t), "edges")
+    e = _bare(t)
     reach, up = _subsumed(t, e)
     flows = e.select("graph_id", F.col("src").alias("entity"), F.col("dst").alias("data_type"))
     r = graph.classify_flows(flows, _ends(e), e, reach, up)

@@ -55,3 +55,24 @@ def test_what_is_collected_below_a_broad_term(spark, folder):
     assert run(spark, folder, "q6_collects") == {(f"d{i}", *x) for i in range(GRAPHS) for x in [
         ("we", "any", "services"), ("we", f"leaf {i}", "services"), ("unspecified third party", "mid", "legal"), ("unspecified third party", f"leaf {i}", "legal"),
     ]}
+
+
+def test_flows_below_a_broad_term(spark, folder):
+    assert run(spark, folder, "a5_flow_consistency") == {(f"d{i}", *x) for i in range(GRAPHS) for x in [
+        ("we", "any", "clear", True, "core", "services"), ("we", f"leaf {i}", "clear", True, "core", "services"),
+        ("unspecified third party", "mid", "clear", True, "core", "legal"), ("acme", "other", "inconsistent", False, "unknown", ""),
+    ]}
+
+
+def test_flows_of_broader_entities_and_of_no_graph(spark):
+    edges = spark.createDataFrame([("g", "partners", "any", "COLLECT", ["legal"]), ("g", "vendors", "mid", "COLLECT", ["services"])], "graph_id string, src string, dst string, etype string, purposes array<string>")
+    nodes = spark.createDataFrame([("g", n) for n in ("partners", "vendors", "any", "mid")], "graph_id string, name string")
+    reach = nodes.select("graph_id", F.col("name").alias("ancestor"), F.col("name").alias("descendant"))
+    data = spark.createDataFrame([("any", "mid"), ("any", "leaf"), ("mid", "leaf")], "ancestor string, descendant string")
+    who = spark.createDataFrame([("partners", "acme"), ("vendors", "acme")], "ancestor string, descendant string")
+    flows = spark.createDataFrame([("g", "acme", "leaf"), ("g", "acme", "any"), ("g", None, "any"), (None, "vendors", "mid"), ("g", "vendors", "mid")], "graph_id string, entity string, data_type string")
+    got = {(r["graph_id"], r["entity"], r["data_type"]): (r["disclosure"], r["purposes"]) for r in g.classify_flows(flows, nodes, edges, reach, data, who).collect()}
+    assert got == {
+        ("g", "acme", "leaf"): ("vague", ["legal"]), ("g", "acme", "any"): ("vague", ["legal"]), ("g", None, "any"): ("inconsistent", []),
+        (None, "vendors", "mid"): ("inconsistent", []), ("g", "vendors", "mid"): ("clear", ["services"]),
+    }
