@@ -76,3 +76,7 @@ def test_flows_of_broader_entities_and_of_no_graph(spark):
         ("g", "acme", "leaf"): ("vague", ["legal"]), ("g", "acme", "any"): ("vague", ["legal"]), ("g", None, "any"): ("inconsistent", []),
         (None, "vendors", "mid"): ("inconsistent", []), ("g", "vendors", "mid"): ("clear", ["services"]),
     }
+
+
+def test_terms_are_checked_without_sentences(spark, folder):
+    assert run(spark, folder, "a7_check_terms") == {(f"d{i}", "", "") for i in range(GRAPHS)}
