@@ -38,11 +38,12 @@ def relations_from_graph(nodes: DataFrame, edges: DataFrame, reach: DataFrame, f
     e = e.join(ex, ["graph_id", "src"], "left")
     e = e.join(first_party.select("graph_id", "tokens"), "graph_id", "left") if first_party is not None else e.withColumn("tokens", none)
     own = (F.col("src") == WE) | is_first_party(F.col("src"), F.coalesce("tokens", none))
+    text = F.coalesce(F.get("text", F.lit(0)), F.lit("")) if "text" in edges.columns else F.lit("")
     return e.select(
         F.col("graph_id").cast("string").alias("doc_id"), F.col("src").alias("entity"), F.when(own, "first").otherwise("third").alias("party"),
         (F.col("src") == UNSPECIFIED_PARTY).alias("unspecified"), F.col("dst").alias("data_type"), "action", (F.col("etype") == "NOT_COLLECT").alias("negative"),
         F.coalesce("purposes", none).alias("purposes"), F.when(own, none).otherwise(F.coalesce("ex", none)).alias("examples"), F.lit("").alias("qualifier"),
-        F.array(F.lit("policy")).alias("sources"), F.substring(F.coalesce(F.get("text", F.lit(0)), F.lit("")), 1, 300).alias("text"),
+        F.array(F.lit("policy")).alias("sources"), F.substring(text, 1, 300).alias("text"),
     )
 
 

@@ -500,7 +500,7 @@ def a7_check_terms(spark, d):
       CASE WHEN src = 'we' THEN '' ELSE coalesce(ex, '') END AS examples FROM ge LEFT JOIN ex USING (graph_id, src) WHERE regexp_split_to_array(src, '\\s+')[-1] NOT IN ({_quoted(lx.NOT_ACTORS)})""")
 def r10_graph_relations(spark, d):
     t = Tables(spark, d)
-    e = materialize(_graph(t), "edges")
+    e = _bare(t)
     reach, _ = _subsumed(t, e)
     r = relations.relations_from_graph(_ends(e).withColumnRenamed("ty", "ntype"), e, reach)
     return r.select("doc_id", "entity", "party", "unspecified", "data_type", "action", "negative", F.array_join("purposes", ";").alias("purposes"), F.array_join("examples", ";").alias("examples"))

@@ -80,3 +80,11 @@ def test_flows_of_broader_entities_and_of_no_graph(spark):
 
 def test_terms_are_checked_without_sentences(spark, folder):
     assert run(spark, folder, "a7_check_terms") == {(f"d{i}", "", "") for i in range(GRAPHS)}
+
+
+def test_reports_and_relations_below_a_broad_term(spark, folder):
+    assert run(spark, folder, "a9_contradiction_report") == {(f"d{i}", f"unspecified third party collect mid <> not acme other\nwe collect any <> not we leaf {i}") for i in range(GRAPHS)}
+    assert run(spark, folder, "r10_graph_relations") == {(f"d{i}", *x) for i in range(GRAPHS) for x in [
+        ("we", "first", False, "any", "collect", False, "services", ""), ("we", "first", False, f"leaf {i}", "collect", True, "", ""),
+        ("unspecified third party", "third", True, "mid", "collect", False, "legal", "acme"), ("acme", "third", False, "other", "collect", True, "legal", ""),
+    ]}
