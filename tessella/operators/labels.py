@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.operators.scratch import materialize, numbered
+from tessella.operators.scratch import materialize, numbered, work_partitions
 
 SEED = 1234
 EVIDENCE = 200
+#: Bytes of repeated lists that one slice of a data type's clauses takes at most in the propagation sheet, if no list is longer.
+SLICE_BYTES = 256_000_000
 # Columns of the sheets, all text.
 RELEVANCE = ("label_order", "target_id", "target_type", "doc_id", "role", "url", "predicted_medium", "predicted_relevant", "predicted_evidence", "gold_relevant", "notes")
 TYPOLOGY = ("label_order", "target_id", "target_type", "doc_id", "role", "url", "predicted_medium", "predicted_doc_facets", "predicted_target_class", "gold_facets", "notes")
@@ -87,9 +89,7 @@ def data_type_clauses(relations: DataFrame, order: str = "ord") -> DataFrame:
 
 def propagation_sheet(relations: DataFrame, reach: DataFrame, prior: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """Rows of the propagation sheet: for each clause the terms that its data type subsumes."""
-    c = data_type_clauses(relations)
-    down = reach.where("ancestor <> descendant").groupBy(F.col("ancestor").alias("data_type")).agg(F.array_join(F.array_sort(F.collect_set("descendant")), ";").alias("predicted_propagated"))
-    c = c.join(down, "data_type", "left").withColumn("clause_id", F.concat_ws("::", "target_id", "entity", "data_type"))
+    c = data_type_clauses(relations).withColumn("clause_id", F.concat_ws("::", "target_id", "entity", "data_type"))
     c = c.join(shuffled_targets(c, None, seed), "target_id")
     if prior is not None:
         rows = prior if "_row" in prior.columns else prior.withColumn("_row", F.monotonically_increasing_id())
@@ -97,6 +97,19 @@ def propagation_sheet(relations: DataFrame, reach: DataFrame, prior: DataFrame |
         c = c.join(old, "clause_id", "left")
     else:
         c = c.withColumn("gold_correct", F.lit("")).withColumn("notes", F.lit(""))
+    # long lists come last and pass straight into the result: no shuffle or sort holds a copy for each clause
+    c = materialize(c, "clauses")
+    down = reach.where("ancestor <> descendant").join(c.select(F.col("data_type").alias("ancestor")).distinct(), "ancestor", "left_semi").groupBy(F.col("ancestor").alias("data_type"))
+    down = materialize(down.agg(F.array_join(F.array_sort(F.collect_set("descendant")), ";").alias("predicted_propagated")), "below")
+    # a data type whose clauses take up much room is cut into slices, each with a copy of the list
+    room = c.groupBy("data_type").agg(F.count("*").alias("_n")).join(down.select("data_type", F.octet_length("predicted_propagated").alias("_l")), "data_type")
+    slices = room.select("data_type", F.expr(f"cast(ceil(_n * _l / {SLICE_BYTES}) as int)").alias("_k")).where("_k > 1")
+    slices = F.broadcast(slices)  # few: each stands for a slice of room at least
+    c = c.join(slices, "data_type", "left").withColumn("_s", F.expr("cast(pmod(xxhash64(clause_id), coalesce(_k, 1)) as int)")).drop("_k")
+    down = down.join(slices, "data_type", "left").withColumn("_s", F.explode(F.expr("sequence(0, coalesce(_k, 1) - 1)"))).drop("_k")
+    # hashed, not sorted: clauses with long lists stay spread among the others, so no page of the result is made of them alone
+    n = work_partitions(relations.sparkSession)
+    c = c.repartition(n, "data_type", "_s").join(down.repartition(n, "data_type", "_s").hint("shuffle_hash"), ["data_type", "_s"], "left")
     return c.select(*[F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in PROPAGATION])
 
 

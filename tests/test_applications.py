@@ -88,3 +88,14 @@ def test_reports_and_relations_below_a_broad_term(spark, folder):
         ("we", "first", False, "any", "collect", False, "services", ""), ("we", "first", False, f"leaf {i}", "collect", True, "", ""),
         ("unspecified third party", "third", True, "mid", "collect", False, "legal", "acme"), ("acme", "third", False, "other", "collect", True, "legal", ""),
     ]}
+
+
+def test_propagation_sheet_in_slices(spark, monkeypatch):
+    from tessella.operators import labels
+
+    r = spark.createDataFrame([(f"t{i % 3}", f"e{i}", "any" if i % 2 else "none", False, i) for i in range(30)], "target_id string, entity string, data_type string, negative boolean, ord int")
+    up = spark.createDataFrame([("any", "b"), ("any", "a"), ("any", "any"), ("else", "c")], "ancestor string, descendant string")
+    whole = sorted(map(tuple, labels.propagation_sheet(r, up).collect()))
+    assert len(whole) == 30 and {(x[4], x[5]) for x in whole} == {("any", "a;b"), ("none", "")}
+    monkeypatch.setattr(labels, "SLICE_BYTES", 6)
+    assert sorted(map(tuple, labels.propagation_sheet(r, up).collect())) == whole
