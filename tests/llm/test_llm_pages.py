@@ -165,6 +165,13 @@ def test_segment_join_is_complete(spark, k):
     assert got == {(a, b) for a, b in combinations(sorted(keys), 2) if names.osa(a, b, k) <= k}
 
 
+def test_windows_of_keys_are_not_gathered_on_the_driver(spark, tmp_path):
+    path = str(tmp_path / "keys")
+    spark.range(2000).select(F.concat(F.lit("bafmud"), F.col("id").cast("string"), F.lit("dovetail")).alias("s")).write.parquet(path)  # far below the threshold as a file
+    plan = names.segment_candidates(spark.read.parquet(path), "s", 2, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 GROUPS = [
     ["Bafmud Dovetail Technologies GmbH", "bafmud dovetail tech. gmbh", "Bafmud Dovetail", "BAFMUD / DOVETAIL TECHNOLOGIES", "Technologies, Bafmud Dovetail", "Dovetail Technologies Bafmud", "bafmuddovetail.example", "Bafmud Dovetail Technologies (BDT)",
      "Bafmdu Dovetail Technologies", "Báfmud  Dovetail Technologies G.m.b.H.", "BafmudDovetail", "The Bafmud Dovetail Technologies group", "Bafmud d/b/a Dovetail Technologies"],
