@@ -53,12 +53,13 @@ def graph_edges(mentions: DataFrame) -> DataFrame:
     )
 
 
-def _folded(rows: DataFrame, fold: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+def _folded(rows: DataFrame, fold: Callable[[list[tuple]], Iterable[tuple]], schema: str, together: bool = False) -> DataFrame:
     """``fold`` over the rows of each graph, which has all columns but ``graph_id``; what it gives follows ``graph_id`` in ``schema``.
 
     Joins by graph and term would shuffle every table once for each term; here
     each row is moved once, and one pass goes through many small graphs.  One
-    graph lies in memory at a time; a graph is one document's.
+    graph lies in memory at a time; a graph is one document's.  ``together``:
+    the rows of a graph are in one partition already.
     """
     of = [c for c in rows.columns if c != "graph_id"]
     fields = StructType.fromDDL(f"graph_id {dict(rows.dtypes)['graph_id']}, {schema}")
@@ -85,8 +86,9 @@ def _folded(rows: DataFrame, fold: Callable[[list[tuple]], Iterable[tuple]], sch
         out += [(graph_id, *x) for x in fold(own)] if own else []
         yield batch()
 
-    n = work_partitions(rows.sparkSession)
-    return rows.where("graph_id IS NOT NULL").repartition(n, "graph_id").sortWithinPartitions("graph_id").mapInArrow(run, fields)
+    rows = rows.where("graph_id IS NOT NULL")
+    rows = rows if together else rows.repartition(work_partitions(rows.sparkSession), "graph_id")
+    return rows.sortWithinPartitions("graph_id").mapInArrow(run, fields)
 
 
 _SUB = "graph_id string, src string, dst string"
@@ -181,21 +183,20 @@ def closure(edges: DataFrame, keys: list[str] | None = None, src: str = "src", d
     Up to ``small`` edges without keys are walked by tasks that hold them all, with the same result.
     """
     keys = keys or []
-    base = materialize(edges.select(*keys, F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct(), "closure")
+    ends = [*keys, "ancestor", "descendant"]
+    base = materialize(edges.select(*keys, F.col(src).alias("ancestor"), F.col(dst).alias("descendant")).where("ancestor IS NOT NULL AND descendant IS NOT NULL").distinct(), "closure", free=True)
     if not keys and dict(base.dtypes)["ancestor"] == "string" and base.count() <= small:
-        return materialize(_closure_by_source(base), "closure")
-    done = fresh = base
-    # only pairs found in the last round are extended, by everything known; distances double from round to round
-    for _ in range(max_rounds):
-        up = done.select(*keys, F.col("ancestor"), F.col("descendant").alias("mid"))
-        down = done.select(*keys, F.col("ancestor").alias("mid"), "descendant")
-        step = fresh.withColumnRenamed("descendant", "mid").join(down, [*keys, "mid"]).select(*keys, "ancestor", "descendant").unionByName(
-            up.join(fresh.withColumnRenamed("ancestor", "mid"), [*keys, "mid"]).select(*keys, "ancestor", "descendant")
-        )
-        fresh = materialize(step.distinct().join(done, [*keys, "ancestor", "descendant"], "left_anti"), "closure")
+        return materialize(_closure_by_source(base), "closure", free=True)
+    done = last = base.withColumn("n", F.lit(1).cast("bigint"))
+    # n is the distance; all pairs are extended by those whose distance is the doubled one only, so a pair is made once for each of its middles there, not for each middle on its way
+    for k in range(max_rounds):
+        head, tail = done.withColumnRenamed("descendant", "mid"), last.select(*keys, F.col("ancestor").alias("mid"), "descendant")
+        step = head.join(tail, [*keys, "mid"]).groupBy(*ends).agg((F.min("n") + 2**k).alias("n"))
+        fresh = materialize(step.join(done.select(*ends), ends, "left_anti"), "closure", free=True)
         if fresh.isEmpty():
-            return done
+            return done.select(*ends)
         done = done.unionByName(fresh)
+        last = fresh.where(F.col("n") == 2 ** (k + 1))
     raise RuntimeError(f"closure isn't complete after {max_rounds} rounds")
 
 
@@ -362,6 +363,56 @@ def local_ontology(nodes: DataFrame, edges: DataFrame, ntype: str) -> DataFrame:
 # -- applications -----------------------------------------------------------
 
 
+def _opposed(own: list[tuple]) -> Iterator[tuple]:
+    """Of the edges ``(etype, action, subject, src, dst, purposes)`` of one graph: action and subject, and ends and purposes of a COLLECT and of a NOT_COLLECT edge, the negative one without purposes or with a common one."""
+    pos = defaultdict(list)
+    for etype, action, subject, src, dst, p in own:
+        if etype == "COLLECT":
+            pos[action, subject].append((src, dst, p))
+    for etype, action, subject, src, dst, p in own:
+        if etype == "NOT_COLLECT" and p is not None:
+            for s, d, q in pos.get((action, subject), ()):
+                if not p or not {x for x in p if x is not None}.isdisjoint(q or ()):
+                    yield action, subject, s, d, q, src, dst, p
+
+
+_PAIR = ["action", "subject", "entity_pos", "data_pos", "entity_neg", "data_neg"]
+
+
+def opposed(edges: DataFrame) -> DataFrame:
+    """``(graph_id, action, subject, entity_pos, data_pos, entity_neg, data_neg)``: pairs of edges that contradict each other if their entities and their data types meet.  The edges of a graph are in one partition."""
+    rows = edges.where("etype IN ('COLLECT', 'NOT_COLLECT') AND action IS NOT NULL AND subject IS NOT NULL").select("graph_id", "etype", "action", "subject", "src", "dst", "purposes")
+    fold = lambda own: ((*x[:4], *x[5:7]) for x in _opposed(own))
+    return _folded(rows, fold, ", ".join(f"{c} string" for c in _PAIR), together=True)
+
+
+def contradictions_without_reach(pairs: DataFrame, terms: DataFrame, up: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``pairs`` of ``opposed``, those that are contradictions, and the ``graph_id`` of graphs that can't be told without their reach; none of their pairs are among the first.
+
+    Terms subsume those below them by ``up(ancestor, descendant)``, which has
+    the terms ``terms(name)``; the unspecified third party subsumes all
+    entities but the first.  What two data types of a graph have in common
+    there they have in common by ``up``, and entities that ``up`` doesn't have
+    meet only themselves and the unspecified third party.  So the reach counts
+    only where ``up`` has the entities, or where data has that party's name.
+    """
+    special = lambda c: F.col(c) == UNSPECIFIED_PARTY
+    met = (F.col("entity_pos") == F.col("entity_neg")) | (special("entity_pos") & (F.col("entity_neg") != WE)) | (special("entity_neg") & (F.col("entity_pos") != WE))
+    pairs = materialize(pairs.withColumn("met", met), "opposed", free=True)
+    known = terms.select("name").unionByName(terms.sparkSession.createDataFrame([(UNSPECIFIED_PARTY,)], "name string")).distinct()
+    asked = pairs.where("NOT met").select("graph_id", "entity_pos", "entity_neg")
+    for c in ("entity_pos", "entity_neg"):
+        asked = asked.join(known.withColumnRenamed("name", c), c, "left_semi")
+    named = pairs.where("met AND data_pos <> data_neg").where(special("data_pos") | special("data_neg"))
+    odd = materialize(asked.select("graph_id").unionByName(named.select("graph_id")).distinct(), "odd", free=True)
+    pairs = pairs.where("met").select("graph_id", *_PAIR)
+    if not odd.isEmpty():
+        pairs = materialize(pairs.join(odd, "graph_id", "left_anti"), "plain", free=True)
+    rest = pairs.where("data_pos <> data_neg")
+    same = _meeting(rest.select(F.col("data_pos").alias("x"), F.col("data_neg").alias("y")).distinct(), up).withColumnsRenamed({"x": "data_pos", "y": "data_neg"})
+    return pairs.where("data_pos = data_neg").unionByName(rest.join(same, ["data_pos", "data_neg"], "left_semi").select(*pairs.columns)), odd
+
+
 def contradictions(edges: DataFrame, reach: DataFrame, global_reach: DataFrame | None = None) -> DataFrame:
     """Pairs of a COLLECT and a NOT_COLLECT edge of one graph that can't both hold.
 
@@ -377,21 +428,17 @@ def contradictions(edges: DataFrame, reach: DataFrame, global_reach: DataFrame |
     )
 
     def fold(own: list[tuple]) -> Iterator[tuple]:
-        below, pos = defaultdict(set), defaultdict(list)
-        for etype, action, subject, src, dst, p in own:
+        below = defaultdict(set)
+        for etype, _, _, src, dst, _ in own:
             if etype == "reach":
                 below[src].add(dst)
-            elif etype == "COLLECT":
-                pos[action, subject].append((src, dst, p))
 
         def meet(a: str, b: str) -> bool:
             return a == b or b in below.get(a, ()) or a in below.get(b, ()) or not below.get(a, set()).isdisjoint(below.get(b, ()))
 
-        for etype, action, subject, src, dst, p in own:
-            if etype == "NOT_COLLECT" and p is not None:
-                for s, d, q in pos.get((action, subject), ()):
-                    if (not p or not {x for x in p if x is not None}.isdisjoint(q or ())) and meet(s, src):
-                        yield action, subject, s, d, q, src, dst, p, meet(d, dst)
+        for x in _opposed(own):
+            if meet(x[2], x[5]):
+                yield *x, meet(x[3], x[6])
 
     found = _folded(rows, fold, "action string, subject string, entity_pos string, data_pos string, purposes_pos array<string>, entity_neg string, data_neg string, purposes_neg array<string>, local boolean")
     if global_reach is None:
@@ -404,17 +451,18 @@ def contradictions(edges: DataFrame, reach: DataFrame, global_reach: DataFrame |
 
 def _meeting(pairs: DataFrame, reach: DataFrame) -> DataFrame:
     """Rows of ``pairs(x, y)``, two different terms each, of which one lies below the other or another term lies below both by ``reach(ancestor, descendant)``."""
-    r = materialize(reach.where("ancestor <> descendant").select("ancestor", "descendant"), "strict")
-    pairs = materialize(pairs, "asked")
+    pairs = materialize(pairs, "asked", free=True)
+    of = pairs.select(F.explode(F.array("x", "y")).alias("ancestor")).distinct()
+    r = materialize(reach.where("ancestor <> descendant").select("ancestor", "descendant").join(of, "ancestor", "left_semi"), "strict", free=True)
     down = pairs.join(r.select(F.col("ancestor").alias("x"), F.col("descendant").alias("y")), ["x", "y"], "left_semi")
     up = pairs.join(r.select(F.col("ancestor").alias("y"), F.col("descendant").alias("x")), ["y", "x"], "left_semi").select("x", "y")
-    near = materialize(down.unionByName(up).distinct(), "near")
+    near = materialize(down.unionByName(up).distinct(), "near", free=True)
     # of the others, the term with less below it is followed down, never the broad one
     size = r.groupBy("ancestor").agg(F.count("*").alias("n"))
     rest = pairs.join(near, ["x", "y"], "left_anti").join(size.select(F.col("ancestor").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("ancestor").alias("y"), F.col("n").alias("ny")), "y")
     rest = rest.select("x", "y", F.expr("IF(nx <= ny, x, y)").alias("few"), F.expr("IF(nx <= ny, y, x)").alias("many"))
     both = rest.join(r.withColumnRenamed("ancestor", "few"), "few").join(r.withColumnRenamed("ancestor", "many"), ["many", "descendant"], "left_semi")
-    return near.unionByName(both.select("x", "y").distinct())
+    return near.unionByName(materialize(both.select("x", "y").distinct(), "both", free=True))
 
 
 def classify_flows(flows: DataFrame, nodes: DataFrame, edges: DataFrame, reach: DataFrame, data_up: DataFrame, entity_up: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from tessella.functions import text as tx
 from tessella.functions import urls
 from tessella.functions.registry import relation
 from tessella.operators import collect, graph, recognise, relations, tables, typology
-from tessella.operators.scratch import materialize, scratch_root
+from tessella.operators.scratch import materialize, scratch_root, work_partitions
 from tessella.plans.queries import _CASES, _DOCS, _EDGES, _GRAPH, _ONTO, _TARGETS, Tables, _graph, _nodes, _sq, j, query
 from tessella.sources import corpus, fetch
 
@@ -393,8 +393,11 @@ def _low(t: Tables) -> DataFrame:
 
 def _bare(t: Tables) -> DataFrame:
     """Edges of the graphs without their sentences, which the applications don't read; those of a graph lie together."""
-    e = t.edges().select(F.col("doc_id").alias("graph_id"), "entity", "data_type", "edge_type", "action", "subject", "purposes")
-    return materialize(graph.graph_edges(e.repartition("graph_id")), "edges")
+    return materialize(graph.graph_edges(_unsaid(t).repartition("graph_id")), "edges")
+
+
+def _unsaid(t: Tables) -> DataFrame:
+    return t.edges().select(F.col("doc_id").alias("graph_id"), "entity", "data_type", "edge_type", "action", "subject", "purposes")
 
 
 def _terms(e: DataFrame) -> DataFrame:
@@ -414,11 +417,15 @@ def _subsumed(t: Tables, e: DataFrame) -> tuple[DataFrame, DataFrame]:
     unspecified third party all entities but the first.
     """
     up = graph.closure(_low(t), src="hypernym", dst="hyponym")
+    return _reach(e, up), up
+
+
+def _reach(e: DataFrame, up: DataFrame) -> DataFrame:
     terms = materialize(_terms(e).withColumn("names", F.array_union("entities", "data")), "terms")
     data = graph.within_graphs(terms.select("graph_id", "names", F.col("names").alias("below")), up)
     third = terms.where(F.array_contains("names", graph.UNSPECIFIED_PARTY)).select("graph_id", F.lit(graph.UNSPECIFIED_PARTY).alias("ancestor"), F.explode("entities").alias("descendant")).where(F.col("descendant") != graph.WE)
     own = terms.select("graph_id", F.explode("names").alias("ancestor")).withColumn("descendant", F.col("ancestor"))
-    return materialize(data.unionByName(third).where("ancestor <> descendant").distinct().unionByName(own), "reach"), up
+    return materialize(data.unionByName(third).where("ancestor <> descendant").distinct().unionByName(own), "reach")
 
 
 _R = "WITH RECURSIVE "
@@ -445,11 +452,15 @@ _RF = ", rf AS (SELECT a, b FROM up UNION SELECT lower(label), lower(label) FROM
 
 
 def _contradictions(t: Tables) -> DataFrame:
-    e = _bare(t)
-    reach, up = _subsumed(t, e)
-    names = t.ccpa_data_ontology.where("id IS NOT NULL").groupBy("id").agg(F.min(F.coalesce("label", "id")).alias("label")).select(F.lower("label").alias("name")).distinct()
-    c = graph.contradictions(e, reach, graph.reflexive(up, names))
-    return c.select("graph_id", "action", "subject", "entity_pos", "data_pos", "entity_neg", "data_neg").distinct()
+    low = materialize(_low(t), "low", free=True)
+    up = graph.closure(low, src="hypernym", dst="hyponym")
+    edges = graph.graph_edges(_unsaid(t).repartition(work_partitions(t.spark), "graph_id"))
+    names = low.select(F.explode(F.array("hypernym", "hyponym")).alias("name")).distinct()
+    c, odd = graph.contradictions_without_reach(graph.opposed(edges), names, up)
+    if not odd.isEmpty():
+        e = materialize(edges.join(odd, "graph_id", "left_semi"), "edges", free=True)
+        c = c.unionByName(graph.contradictions(e, _reach(e, up), up).select(*c.columns))
+    return c
 
 
 @query(_R + _GE + ", " + _UP + _REACH + _RF + " " + _BOTH)

@@ -90,6 +90,75 @@ def test_reports_and_relations_below_a_broad_term(spark, folder):
     ]}
 
 
+def test_closure_of_chains_and_cycles_by_distance(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(37)]
+    ring = [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("r0", "r3"), ("c37", "r2"), ("self", "self")]
+    want = {(f"c{i}", f"c{j}") for i in range(38) for j in range(i + 1, 38)} | {(f"r{i}", f"r{j}") for i in range(7) for j in range(7)} | {(f"c{i}", f"r{j}") for i in range(38) for j in range(7)} | {("self", "self")}
+    e = spark.createDataFrame(chain + ring, "src string, dst string")
+    got = [tuple(r) for r in g.closure(e, small=0).collect()]
+    assert set(got) == want and len(got) == len(want)
+    keyed = g.closure(e.withColumn("g", F.lit(3)).unionByName(e.limit(5).withColumn("g", F.lit(4))), ["g"])
+    assert keyed.where("g = 3").count() == len(want)
+    with pytest.raises(RuntimeError):
+        g.closure(e, small=0, max_rounds=3)
+
+
+def _no_reach(*_):
+    raise AssertionError("the reach of every graph was made")
+
+
+def test_contradictions_make_no_reach_of_every_graph(spark, folder, monkeypatch):
+    monkeypatch.setattr(g, "within_graphs", _no_reach)
+    assert len(run(spark, folder, "a1_contradictions")) == 2 * GRAPHS
+    assert len(run(spark, folder, "a9_contradiction_report")) == GRAPHS
+
+
+def _shuffled(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum("shuffle_" in files.apply(i).getName() for i in range(files.size()))
+
+
+def test_what_is_shuffled_for_a_closure_is_deleted_at_once(spark):
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+    e = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(9)], "src string, dst string")
+    before = _shuffled(spark)
+    closed = g.closure(e, small=0)
+    assert _shuffled(spark) <= before
+    assert closed.count() == 45 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_contradictions_where_entities_are_terms_of_the_ontology(spark, tmp_path, monkeypatch):
+    """Random graphs whose terms are entities and data types at once, "we" and the unspecified third party among them, against the SQL."""
+    import duckdb
+
+    rnd = random.Random(11)
+    we, third = "we", g.UNSPECIFIED_PARTY
+    terms = [f"t{i}" for i in range(12)]
+    onto = [(x, x, sorted(rnd.sample(terms[:i], min(i, rnd.randrange(3))))) for i, x in enumerate(terms)] + [("we", we, ["t3"]), ("t11", "t11", [we]), ("u", third, ["t2"]), ("t10", "t10", ["u"])]
+    names = [*terms, we, third, "acme", "other"]
+    rows = []
+    for i in range(300):
+        for _ in range(rnd.randrange(2, 11)):
+            # every other graph has entities only that the ontology doesn't have
+            who = rnd.choice(names if i % 2 else ["acme", "other", "x", third, "x"])
+            rows.append((len(rows), "t", f"d{i}", who, rnd.choice(names if i % 2 else [*terms, "lone"]), rnd.choice(["COLLECT", "NOT_COLLECT"]), rnd.choice([["legal"], [], ["legal", "services"], ["security"]]), rnd.choice(["use", "use", "collect", None]), rnd.choice(["child", "child", "child", None]), 0))
+    rows += [(*rows[0][:-1], 1), (len(rows), "t", None, "acme", "t1", "COLLECT", [], "use", "child", 0), (len(rows) + 1, "t", None, "acme", "t1", "NOT_COLLECT", [], "use", "child", 0)]
+    d = str(tmp_path)
+    spark.createDataFrame(onto, "id string, label string, parents array<string>").coalesce(1).write.parquet(f"{d}/ccpa_data_ontology.parquet")
+    e = spark.createDataFrame(rows, "edge_id long, target_id string, doc_id string, entity string, data_type string, edge_type string, purposes array<string>, action string, subject string, loaded_at int")
+    e.withColumn("text", F.array(F.lit("s"))).coalesce(1).write.parquet(f"{d}/collect_edges.parquet")
+    monkeypatch.setattr(g.closure, "__defaults__", (*g.closure.__defaults__[:-1], 0))
+    db = duckdb.connect()
+    for t in ("ccpa_data_ontology", "collect_edges"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet/*.parquet'")
+    want = db.execute(entry.oracle_sql()["a9_contradiction_report"]).fetchall()
+    got = [tuple(r) for r in entry.queries()["a9_contradiction_report"](spark, d).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
 def test_propagation_sheet_in_slices(spark, monkeypatch):
     from tessella.operators import labels
 
